@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, language_id, source_mix, substring_dedup, suffix_dedup, token_counts
+from . import chat_format, decontamination, embedding_dedup, language_id, ngram_join, quality_classifier, source_mix, substring_dedup, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_classifier.fit(docs).score(docs)
+    return scored.select("doc_id", "quality", (F.col("quality") >= 0.5).alias("kept"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and benchmark item that it holds."""
     found = decontamination.find_overlaps(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
@@ -76,7 +82,21 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", _covered("removed").alias("n_removed"), F.sha2("kept_words", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_language_id, op3_token_counts, op5_decontamination, op6_chat_format, op7_suffix_dedup, op8_substring_dedup)}
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.lattice_join(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(_table(spark, sf_dir, "documents")).drop("tie")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_source_mix, op2_language_id, op3_token_counts, op4_quality_classifier, op5_decontamination,
+        op6_chat_format, op7_suffix_dedup, op8_substring_dedup, op9_embedding_dedup, op10_ngram_join,
+    )
+}
 
 ORACLE_SQL = {
     "op6_chat_format": """
@@ -111,5 +131,36 @@ kept AS (
   FROM each LEFT JOIN gone USING (doc_id, p) GROUP BY each.doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM words LEFT JOIN kept USING (doc_id)
+""",
+    "op9_embedding_dedup": """
+WITH RECURSIVE sound AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (SELECT vec_id AS id, vec_id AS other FROM embeddings UNION SELECT reach.id, link.b FROM reach JOIN link ON link.a = reach.other),
+least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id),
+degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN least ON least.id = e.vec_id LEFT JOIN degree ON degree.a = e.vec_id
+""",
+    "op10_ngram_join": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s:s + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS s FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE common.n * 5 >= 4 * (x.n + y.n - common.n)),
+reach AS (SELECT doc_id AS id, doc_id AS other FROM documents UNION SELECT reach.id, link.b FROM reach JOIN link ON link.a = reach.other),
+least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id),
+degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_links, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN least ON least.id = d.doc_id LEFT JOIN degree ON degree.a = d.doc_id
 """,
 }

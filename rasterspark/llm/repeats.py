@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, mix64, random_table, segments
@@ -47,22 +47,23 @@ def word_units(text: bytes) -> np.ndarray:
 UNITS = {"byte": byte_units, "word": word_units}
 
 
-def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, tied) of every row; ``tied`` tells that some id has several rows.
+def tie_of(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """Tells texts under one id apart: a hash of the text, or 0 where no id has several rows."""
+    tied = bool(docs.groupBy(id_col).count().where("count > 1").limit(1).count())
+    return F.xxhash64(text_of(text_col)) if tied else F.lit(0).cast("long")
 
-    Null id: ``NO_ID``, after all others.  Null text: empty.
-    """
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-    )
-    tied = bool(rows.groupBy("id").count().where("count > 1").limit(1).count())
-    return rows.withColumn("tied", F.lit(tied))
+
+def text_of(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
-def tie_of(raw: bytes, tied: bool) -> int:
-    """Tells texts under one id apart; 0 where no id has several rows."""
-    return xxhash.xxh3_64_intdigest(raw) >> 1 if tied else 0
+def id_of(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+
+
+def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tie, text) of every row.  Null id: ``NO_ID``, after all others.  Null text: empty."""
+    return docs.select(id_of(id_col).alias("id"), tie_of(docs, id_col, text_col).alias("tie"), text_of(text_col).alias("text"))
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -71,8 +72,7 @@ def packed(rows: DataFrame) -> DataFrame:
     def pack(frames):
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for pdf in frames:
-            raw = [t.encode() for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "tie": [tie_of(t, k) for t, k in zip(raw, pdf["tied"], strict=True)], "packed": [squeeze(t) for t in raw]})
+            yield pd.DataFrame({"id": pdf["id"], "tie": pdf["tie"], "packed": [squeeze(t.encode()) for t in pdf["text"]]})
 
     return rows.mapInPandas(pack, DOC)
 
@@ -121,11 +121,11 @@ def cut(rows: DataFrame, unit: str, window: int, gram: int, batch: int = 4 << 20
 
         size = 0
         for pdf in frames:
-            for i, text, tied in zip(pdf["id"], pdf["text"], pdf["tied"], strict=True):
+            for i, tie, text in zip(pdf["id"], pdf["tie"], pdf["text"], strict=True):
                 raw = text.encode()
                 u = units(raw)
                 if len(u) >= window:
-                    held.append(u), ids.append(i), ties.append(tie_of(raw, tied))
+                    held.append(u), ids.append(i), ties.append(tie)
                     size += len(u)
                     if size >= batch:
                         flush()

@@ -137,3 +137,11 @@ def mix(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, seed: int = 7, blo
     keep = ["id", "source", "size", "n_rows", "pick"]
     done = sure.select(*keep) if done is None else done.select(*keep).unionByName(sure.select(*keep))
     return done.join(of, done["source"].eqNullSafe(of["plan_source"])).select("id", "source", "size", "n_rows", "source_size", "target", (F.col("whole") + F.col("pick").cast("int")).alias("copies"))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", out: str = "copies", **options) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, and how often, in column ``out``."""
+    mixed = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options).where("copies > 0")
+    mixed = mixed.select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
+    same = docs[id_col].cast("long").eqNullSafe(mixed["_id"]) & docs[source_col].cast("string").eqNullSafe(mixed["_source"]) & (n_words(docs[text_col]) == mixed["_size"])
+    return docs.join(mixed, same).select(*docs.columns, F.col("_copies").alias(out))

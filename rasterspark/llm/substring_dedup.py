@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NO_ID, materialise
-from .repeats import SPAN, WINDOW, copies_of, covered, cut, fetch, packed, routed, rows_of, runs_of, sort_out, start_n, unpack, window_hashes, with_spans, word_units
+from .repeats import SPAN, WINDOW, copies_of, covered, cut, fetch, id_of, packed, routed, rows_of, runs_of, sort_out, start_n, tie_of, unpack, window_hashes, with_spans, word_units
 
 SORTED = "route long, content long, id long, tie long, place long, copy boolean, open boolean"
 
@@ -146,7 +146,7 @@ def _later(frames):
 def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 5, n_batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents without the words of later copies, by an index fed in batches of ids.
 
-    Returns per row: the id column, ``kept`` (the words that stay, each run with
+    Returns per row: the id column, ``tie`` (see ``repeats.tie_of``), ``kept`` (the words that stay, each run with
     its own white space, runs joined by a space), ``kept_words`` (the same,
     joined by one space), ``n_words`` and ``removed``, an array of [start, end)
     word ranges.
@@ -166,7 +166,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 5, n_batches:
     def keep(frames):
         for pdf in frames:
             out = []
-            for i, z, found in zip(pdf["id"], pdf["packed"], pdf["spans"], strict=True):
+            for i, tie, z, found in zip(pdf["id"], pdf["tie"], pdf["packed"], pdf["spans"], strict=True):
                 raw = unpack(z)
                 words = raw.split()
                 mask = covered(found, window, len(words))
@@ -182,8 +182,18 @@ def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 5, n_batches:
                     kept = b" ".join(raw[ends[a][0] : ends[b - 1][1]] for a, b in stay)
                 else:
                     kept_words, kept = b" ".join(words), raw
-                out.append((i, kept.decode(), kept_words.decode(), len(words), [{"start": int(a), "end": int(b)} for a, b in removed]))
-            yield pd.DataFrame(out, columns=["id", "kept", "kept_words", "n_words", "removed"])
+                out.append((i, tie, kept.decode(), kept_words.decode(), len(words), [{"start": int(a), "end": int(b)} for a, b in removed]))
+            yield pd.DataFrame(out, columns=["id", "tie", "kept", "kept_words", "n_words", "removed"])
 
-    result = with_spans(packed(rows), spans).mapInPandas(keep, "id long, kept string, kept_words string, n_words long, removed array<struct<start: long, end: long>>")
-    return result.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "kept", "kept_words", "n_words", "removed")
+    result = with_spans(packed(rows), spans).mapInPandas(keep, "id long, tie long, kept string, kept_words string, n_words long, removed array<struct<start: long, end: long>>")
+    return result.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "tie", "kept", "kept_words", "n_words", "removed")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with what stays of each text; rows of which no word stays are dropped."""
+    kept = substring_dedup(docs, id_col=id_col, text_col=text_col, **options)
+    kept = kept.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("_id"), F.col("tie").alias("_tie"), F.col("kept").alias("_kept"), ((F.col("n_words") > 0) & (F.col("kept_words") == "")).alias("_gone")).dropDuplicates(["_id", "_tie"])
+    rest = [c for c in docs.columns if c != text_col]
+    keyed = docs.select(*rest, id_of(id_col).alias("_id"), tie_of(docs, id_col, text_col).alias("_tie"), F.col(text_col).isNull().alias("_null"))
+    out = keyed.join(kept.where("NOT _gone"), ["_id", "_tie"])
+    return out.withColumn(text_col, F.when(~F.col("_null"), F.col("_kept"))).select(*docs.columns)
