@@ -44,26 +44,24 @@ def measures(text: str) -> dict[str, float]:
         "distinct": len(set(words)) / n,
         "doubled": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
         "marked": sum(len(w) > 2 and w[-1] == w[-2] and not w[-2:].isalnum() for w in words) / n,
+        "stops": sum(w[-1] in b".,?" and (len(w) < 2 or w[-2:-1].isalnum() or w[-2] >= 128) for w in words) / n,
         "bars": sum(kinds[c] for c in b"|\t") / n,
         "alone": sum(len(w) < 4 and not w.translate(None, _MARKS) for w in words) / n,
     }
 
 
-def _vote(good: bool, bad: bool) -> int:
-    return int(good) - int(bad)
-
-
-#: Labellers by name; each has its own margin of doubt.
+#: Labellers by name, each with its own margin of doubt.  Most know only one kind
+#: of bad text, and say nothing about others.
 LABELLERS = {
-    "upper": lambda m: _vote(m["upper"] < 0.1, m["upper"] > 0.3),
-    "marks": lambda m: _vote(m["marks"] < 0.06, m["marks"] > 0.09),
-    "digits": lambda m: _vote(m["digits"] < 0.02, m["digits"] > 0.2),
-    "distinct": lambda m: _vote(m["distinct"] > 0.3, m["distinct"] < 0.15 and m["words"] >= 20),
-    "doubled": lambda m: _vote(m["doubled"] < 0.05, m["doubled"] > 0.2),
-    "marked": lambda m: _vote(m["marked"] < 0.01, m["marked"] > 0.08),
-    "bars": lambda m: _vote(m["bars"] < 0.02, m["bars"] > 0.15),
-    "alone": lambda m: _vote(m["alone"] < 0.02, m["alone"] > 0.1),
-    "length": lambda m: _vote(False, m["words"] < 4),
+    "upper": lambda m: -(m["upper"] > 0.3),
+    "marks": lambda m: -(m["marks"] > 0.09),
+    "digits": lambda m: -(m["digits"] > 0.2),
+    "distinct": lambda m: -(m["distinct"] < 0.15 and m["words"] >= 20),
+    "doubled": lambda m: -(m["doubled"] > 0.15),
+    "marked": lambda m: -(m["marked"] > 0.05),
+    "bars": lambda m: -(m["bars"] > 0.03),
+    "alone": lambda m: -(m["alone"] > 0.06),
+    "sentences": lambda m: int(0.02 < m["stops"] < 0.3 and m["words"] >= 20),
 }
 
 
@@ -76,10 +74,10 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tup
     """EM over vote patterns: (chance of good per pattern, accuracy table).
 
     The table has, per labeller, class (bad, good) and vote (-1, 0, 1), the
-    estimated chance of the vote.  Starts from the majority of votes.
+    estimated chance of the vote.  Starts from the sum of the votes, and good where there is none.
     """
     one = (patterns[:, :, None] == np.array([-1, 0, 1])).astype(float)  # pattern, labeller, vote
-    good = 1 / (1 + np.exp(-1.5 * patterns.sum(axis=1)))
+    good = 1 / (1 + np.exp(-1 - 3 * patterns.sum(axis=1)))
     table = np.zeros((patterns.shape[1], 2, 3))
     for _ in range(rounds):
         weight = np.stack([(1 - good) * counts, good * counts])
