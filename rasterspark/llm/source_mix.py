@@ -91,6 +91,19 @@ def flight(picks: np.ndarray, rows: np.ndarray, sizes: np.ndarray, rng: np.rando
     return np.array(p)
 
 
+#: With more sources than this, rows meet their source's figures by a salted shuffle.
+MOST_BROADCAST, SALTS = 20_000, 64
+
+
+def _with_source(rows: DataFrame, figures: DataFrame, n_sources: int) -> DataFrame:
+    """``rows`` with the figures of their source; one source may hold most rows."""
+    same = rows["source"].eqNullSafe(figures["plan_source"])
+    if n_sources <= MOST_BROADCAST:
+        return rows.join(F.broadcast(figures), same).drop("plan_source")
+    salted = figures.withColumn("plan_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(salted, same & (F.pmod(F.xxhash64("id"), F.lit(SALTS)) == salted["plan_salt"])).drop("plan_source", "plan_salt")
+
+
 def mix(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, seed: int = 7, block: int = 4096, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """How often each document is taken.
 
@@ -109,8 +122,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, seed: int = 7, blo
         whole = math.floor(r + 1e-9)
         plan.append((s, size, target[s], whole, max(0.0, r - whole), n))
     of = spark.createDataFrame(plan, "plan_source string, source_size long, target double, whole int, part double, n long")
-    same = lambda other: units["source"].eqNullSafe(other["plan_source"])
-    units = units.join(of, same(of)).drop("plan_source")
+    units = _with_source(units, of, len(plan))
 
     def fly(land_all: bool):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -125,7 +137,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, seed: int = 7, blo
     done, counts = None, {s: n for s, _, _, _, part, n in plan if part > 0}
     while counts:
         blocks = spark.createDataFrame([(s, math.ceil(n / block)) for s, n in counts.items()], "plan_source string, blocks int")
-        step = open_.where("pick > 0 AND pick < 1").join(blocks, open_["source"].eqNullSafe(blocks["plan_source"]))
+        step = _with_source(open_.where("pick > 0 AND pick < 1"), blocks, len(counts))
         step = step.withColumn("mark", F.xxhash64("id", "size", F.lit(seed + len(counts))))
         step = step.withColumn("block", F.pmod("mark", F.col("blocks"))).select("id", "source", "size", "n_rows", "pick", "mark", "block", "blocks")
         flown = materialise(step.groupBy("source", "block").applyInPandas(fly(False), UNIT), "flight")
@@ -136,7 +148,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, seed: int = 7, blo
     sure = units.where(F.col("part") <= 0).withColumn("pick", F.lit(0.0))
     keep = ["id", "source", "size", "n_rows", "pick"]
     done = sure.select(*keep) if done is None else done.select(*keep).unionByName(sure.select(*keep))
-    return done.join(of, done["source"].eqNullSafe(of["plan_source"])).select("id", "source", "size", "n_rows", "source_size", "target", (F.col("whole") + F.col("pick").cast("int")).alias("copies"))
+    return _with_source(done, of, len(plan)).select("id", "source", "size", "n_rows", "source_size", "target", (F.col("whole") + F.col("pick").cast("int")).alias("copies"))
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", out: str = "copies", **options) -> DataFrame:
