@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, mix64, random_table, segments
+from .common import NO_ID, RangeHash, mix64, random_table, segments
 
 DOC = "id long, tie long, packed binary"
 #: place: start << 32 | n << 1 | repeats.  route: the key, or a spread-out hash for copies.
@@ -173,17 +173,9 @@ def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(per_doc, ["id", "tie"])
 
 
-def window_hashes(units: np.ndarray, start: int, n: int, window: int) -> np.ndarray:
-    """Two independent hashes of each of the ``n`` windows from ``start``."""
-    part = units[start : start + n + window - 1]
-    powers = np.arange(1, window + 1, dtype=np.uint64)
-    views = np.lib.stride_tricks.sliding_window_view(part, window)
-    out = []
-    with np.errstate(over="ignore"):
-        for seed in (21, 22):
-            weights = mix64(powers * random_table(seed, 1)[0]) | np.uint64(1)
-            out.append(mix64(mix64(views ^ np.uint64(seed)).dot(weights)).view(np.int64))
-    return np.stack(out)
+def window_hashes(units: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each window of a document, by its start."""
+    return RangeHash(units, 21).all(window).view(np.int64), RangeHash(units, 22).all(window).view(np.int64)
 
 
 def covered(spans, window: int, length: int) -> np.ndarray:

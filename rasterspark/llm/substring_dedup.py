@@ -117,11 +117,9 @@ def _windows(window: int):
         parts = []
         for pdf in frames:
             for i, tie, z, wanted in zip(pdf["id"], pdf["tie"], pdf["packed"], pdf["wanted"], strict=True):
-                units = word_units(unpack(z))
-                for w in wanted:
-                    start, n = w["place"] >> 32, w["place"] >> 1 & 0x7FFFFFFF
-                    a, b = window_hashes(units, start, n, window)
-                    parts.append((a, b, np.full(n, i), np.full(n, tie), np.arange(start, start + n)))
+                a, b = window_hashes(word_units(unpack(z)), window)
+                starts = np.concatenate([np.arange(w["place"] >> 32, (w["place"] >> 32) + (w["place"] >> 1 & 0x7FFFFFFF)) for w in wanted])
+                parts.append((a[starts], b[starts], np.full(len(starts), i), np.full(len(starts), tie), starts))
         if parts:
             columns = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
             order, copy, _ = copies_of(columns)

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .repeats import SPAN, covered, cut, fetch, packed, rows_of, runs_of, sort_out, start_n, unpack, with_spans
 
-#: Units that the suffix order and match lengths go by.
-DEPTH = 128
+#: Bytes of the buckets that share a suffix array (a larger bucket has its own).
+TOGETHER = 1 << 17
 
 #: Parts strings of one suffix array; UTF-8 has no such byte.
 PARTING = b"\xff"
@@ -43,47 +43,62 @@ def _nearest_smaller(values: np.ndarray) -> np.ndarray:
     return before
 
 
-def longest_previous(text: np.ndarray) -> np.ndarray:
-    """Longest-previous-factor array of bytes, capped at DEPTH - 1.
+def longest_previous(text: np.ndarray, cap: int = 128, places: np.ndarray | None = None) -> np.ndarray:
+    """Longest-previous-factor array of bytes, capped at ``cap`` (at least 8).
 
-    Entry i is the length of the longest prefix of the suffix at i that also
-    starts at a smaller place.
+    Entry k is the length of the longest prefix of the suffix at place k that
+    also starts at a smaller place.  ``places`` (ascending) may name the only
+    places that count.  Suffixes are sorted by ranks of 8 bytes, then of several
+    such ranks in a row, and so on, as many as fit into 64 bits.
     """
     n = len(text)
-    if not n:
+    places = np.arange(n) if places is None else places
+    if not len(places):
         return np.zeros(0, np.int64)
-    padded = np.zeros(n + 2 * DEPTH, np.uint8)
+    padded = np.zeros(n + 2 * cap + 8, np.uint8)
     padded[:n] = text
-    first = np.zeros(n + 2 * DEPTH - 8, np.uint64)
+    key = np.zeros(n, np.uint64)
     for k in range(8):
-        first = first << np.uint64(8) | padded[k : k + len(first)]
-
-    def rank(keys):
-        order = np.argsort(keys, kind="stable")
-        found = keys[order]
-        ranks = np.zeros(n + 2 * DEPTH, np.uint64)
-        ranks[order] = np.cumsum(np.r_[0, found[1:] != found[:-1]]) + 1
-        return ranks, order
-
-    ranks, order = rank(first[:n])
-    levels, width = {8: ranks}, 8
-    while width < DEPTH:
-        ranks, order = rank(ranks[:n] << np.uint64(32) | ranks[width : n + width])
-        width *= 2
-        levels[width] = ranks
-    lpf = np.zeros(n, np.int64)
-    for places in (order, order[::-1]):  # previous, then next smaller places in suffix order
-        near = _nearest_smaller(places)
-        mine, other = places[near >= 0], places[near[near >= 0]]
-        length = np.zeros(len(mine), np.int64)
-        for width in (64, 32, 16, 8):
-            length += width * (levels[width][mine + length] == levels[width][other + length])
-        for _ in range(7):  # less than 8 are left
-            same = padded[mine + length] == padded[other + length]
-            length += same & (length < DEPTH - 1)
-            if not same.any():
-                break
-        np.maximum.at(lpf, mine, length)
+        key = key << np.uint64(8) | padded[k : k + n]
+    bits = int(n + 1).bit_length()
+    fit, width, levels = 64 // bits, 8, []
+
+    def ranks_of(key):
+        order = np.argsort(key)
+        found = key[order]
+        ranks = np.zeros(n + 2 * cap + 8, np.uint32)
+        ranks[order] = np.cumsum(np.r_[True, found[1:] != found[:-1]], dtype=np.uint32)
+        return ranks
+
+    def joined(at, offsets):
+        key = np.zeros(len(at), np.uint64)
+        for o in offsets:
+            key = key << np.uint64(bits) | ranks[at + o]
+        return key
+
+    ranks = ranks_of(key)
+    levels.append((width, ranks))
+    everywhere = np.arange(n)
+    while width * fit < cap:
+        ranks = ranks_of(joined(everywhere, range(0, width * fit, width)))
+        width *= fit
+        levels.append((width, ranks))
+    key = joined(places, [*range(0, cap - width, width), cap - width])
+    order = np.argsort(key)
+    key = key[order]
+    lpf = np.zeros(len(places), np.int64)
+    for order, key in ((order, key), (order[::-1], key[::-1])):  # previous, then next smaller places in suffix order
+        near = _nearest_smaller(order)
+        some = np.flatnonzero(near >= 0)
+        mine, length = order[some], np.full(len(some), cap)
+        short = np.flatnonzero(key[some] != key[near[some]])
+        a, b, found = places[mine[short]], places[order[near[some[short]]]], np.zeros(len(short), np.int64)
+        for width, ranks in [*levels[::-1], (1, padded)]:
+            for _ in range(fit if width > 1 else 7):
+                found += width * (ranks[a + found] == ranks[b + found])
+            found = np.minimum(found, cap - 1)
+        length[short] = found
+        lpf[mine] = np.maximum(lpf[mine], length)
     return lpf
 
 
@@ -98,11 +113,13 @@ def repeated_windows(docs: DataFrame, packed_docs: DataFrame, window: int, gram:
 
     def texts(frames):
         for pdf in frames:
+            out = []
             for i, tie, z, wanted in zip(pdf["id"], pdf["tie"], pdf["packed"], pdf["wanted"], strict=True):
                 raw = unpack(z)
-                route, place = [w["route"] for w in wanted], [w["place"] for w in wanted]
-                part = [raw[p >> 32 : (p >> 32) + (p >> 1 & 0x7FFFFFFF) + window - 1] for p in place]
-                yield pd.DataFrame({"route": route, "id": i, "tie": tie, "place": place, "part": part})
+                for w in wanted:
+                    p = w["place"]
+                    out.append((w["route"], i, tie, p, raw[p >> 32 : (p >> 32) + (p >> 1 & 0x7FFFFFFF) + window - 1]))
+            yield pd.DataFrame(out, columns=["route", "id", "tie", "place", "part"])
 
     def compare(frames):
         frames = [f for f in frames if len(f)]
@@ -111,18 +128,16 @@ def repeated_windows(docs: DataFrame, packed_docs: DataFrame, window: int, gram:
         pdf = pd.concat(frames, ignore_index=True).drop_duplicates(["id", "tie", "place"]).sort_values(["route", "id", "tie", "place"], ignore_index=True)
         route, length = pdf["route"].to_numpy(), pdf["part"].str.len().to_numpy()
         new = np.flatnonzero(np.r_[True, route[1:] != route[:-1]])
-        before = np.r_[0, np.cumsum(length)[new[1:] - 1]] // (4 << 20)
-        for rows in _split(pdf, new[1:][before[1:] != before[:-1]]):  # whole buckets, about 4 MB together
+        before = np.r_[0, np.cumsum(length)[new[1:] - 1]] // TOGETHER
+        for rows in _split(pdf, new[1:][before[1:] != before[:-1]]):  # whole buckets
             text = np.frombuffer(PARTING.join(rows["part"]) + PARTING, np.uint8)
             starts = np.r_[0, np.cumsum(rows["part"].str.len().to_numpy() + 1)[:-1]]
-            lpf = longest_previous(text)
             n = (rows["place"].to_numpy() >> 1) & 0x7FFFFFFF
-            found = np.zeros(len(text) + 1, bool)
-            found[: len(text)] = lpf >= window
-            valid = np.zeros(len(text) + 1, np.int32)
-            np.add.at(valid, starts, 1)
-            np.add.at(valid, starts + n, -1)
-            spans = runs_of(found[:-1] & (np.cumsum(valid)[:-1] > 0))
+            before = np.cumsum(n) - n
+            places = np.repeat(starts - before, n) + np.arange(n.sum())  # the starts of whole windows
+            found = np.zeros(len(text), bool)
+            found[places] = longest_previous(text, window, places) >= window
+            spans = runs_of(found)
             if len(spans):
                 at = np.searchsorted(starts, spans[:, 0], "right") - 1
                 yield pd.DataFrame({"id": rows["id"].to_numpy()[at], "tie": rows["tie"].to_numpy()[at], "start": (rows["place"].to_numpy()[at] >> 32) + spans[:, 0] - starts[at], "n": spans[:, 1] - spans[:, 0]})
