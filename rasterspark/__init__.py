@@ -1,0 +1 @@
+"""Time series of multi-band raster observations as Spark DataFrames."""
