@@ -103,7 +103,7 @@ def routed(first: np.ndarray, copy: np.ndarray, seed: int) -> np.ndarray:
     return np.where(copy, anywhere, first).view(np.int64)
 
 
-def cut(rows: DataFrame, unit: str, window: int, gram: int, batch: int = 4 << 20) -> DataFrame:
+def cut(rows: DataFrame, unit: str, window: int, gram: int, batch: int = 1 << 18) -> DataFrame:
     """Segments of all documents; later copies within a map partition are marked ``copy``."""
 
     def run(frames):
