@@ -24,7 +24,7 @@ def normalised(matrix: DataFrame, *by: str) -> DataFrame:
 
 def per_class(matrix: DataFrame, *by: str) -> DataFrame:
     """tp, fp, fn, tn, support and the metrics of each class (0 where undefined)."""
-    one = matrix.select(*by, F.col("n"), F.explode(F.array_distinct(F.array(F.struct(F.col("truth").alias("k")), F.struct(F.col("pred").alias("k"))))).getField("k").alias("class_id"), "truth", "pred")
+    one = matrix.select(*by, "n", "truth", "pred", F.explode(F.array_distinct(F.array("truth", "pred"))).alias("class_id"))
     hit = (F.col("truth") == F.col("class_id"), F.col("pred") == F.col("class_id"))
     total = matrix.groupBy(*by).agg(F.sum("n").alias("total"))
     own = one.groupBy(*by, "class_id").agg(
