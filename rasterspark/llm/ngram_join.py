@@ -171,7 +171,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, gram: int = 5, toleran
         for block in by_block(frames, ["cluster", "left", "right"]):
             sets = [shingles(unpack(z), gram) for z in block["packed"]]
             real = np.array([node_of(s) == n for s, n in zip(sets, block["node"], strict=True)])  # an id may have other texts too
-            keep = np.flatnonzero(real & ~block.duplicated(["node", "side"]).to_numpy())
+            keep = np.flatnonzero(real)
+            keep = keep[~block.iloc[keep].duplicated(["node", "side"]).to_numpy()]
             block, sets = block.iloc[keep], [sets[k] for k in keep]
             node, sig = block["node"].to_numpy(), np.stack([np.frombuffer(x, np.uint8) for x in block["signature"]])
             a, b = np.flatnonzero(block["side"] != 1), np.flatnonzero(block["side"] != 0)
