@@ -33,6 +33,10 @@ from .common import NO_ID, materialise, mix64
 from .links import by_block, components, in_chunks, local_forest
 
 
+#: Cells of so few vectors are compared many at a time.
+FEW = 64
+
+
 @functools.cache
 def least_vectors() -> np.ndarray:
     """The 240 shortest vectors of E8."""
@@ -88,6 +92,27 @@ def unit_rows(vectors) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def slabs(block: np.ndarray, length: np.ndarray, places: np.ndarray, most: int = 16384):
+    """``places`` in slabs of whole blocks of one vector length, about ``most`` rows each."""
+    places = places[np.lexsort((block[places], length[places]))]
+    first = np.flatnonzero(np.diff(block[places], prepend=-1))
+    turns = np.flatnonzero(np.diff(length[places], prepend=-1))
+    cuts = first[np.searchsorted(first, np.arange(0, first[-1] + 1, most))] if len(first) else first
+    return np.split(places, np.union1d(cuts, turns)[1:]) if len(places) else []
+
+
+def neighbours(x: np.ndarray, block: np.ndarray, threshold: float):
+    """Pairs (i, j) within a block of cosine ``threshold`` or more; each block's rows are adjacent."""
+    i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(1, len(block)):
+        at = np.flatnonzero(block[step:] == block[:-step])
+        if not len(at):
+            break
+        at = at[np.einsum("ij,ij->i", x[at], x[at + step]) >= threshold]
+        i.append(at), j.append(at + step)
+    return np.concatenate(i), np.concatenate(j)
+
+
 def lattice_join(vectors: DataFrame, threshold: float = 0.9, tables: int = 32, probes: int = 8, blocks: int = 2, scale: float = 1.5, chunk: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: id, ``n_links``, ``component_id``, ``kept``."""
     vector = F.col(vector_col).cast("array<double>")
@@ -114,13 +139,24 @@ def lattice_join(vectors: DataFrame, threshold: float = 0.9, tables: int = 32, p
         keep = node[i] < node[j] if (block["side"] == 2).all() else node[i] != node[j]
         return node, i[keep], j[keep]
 
+    def tree(node, i, j):
+        low = local_forest(len(node), i, j)
+        far = np.flatnonzero(low != np.arange(len(node)))
+        return pd.DataFrame({"a": node[low[far]], "b": node[far]})
+
     def candidates(frames):
-        for block in by_block(frames, ["cell", "left", "right"]):
-            node, i, j = linked(block)
-            low = local_forest(len(node), i, j)
-            far = np.flatnonzero(low != np.arange(len(node)))
-            if len(far):
-                yield pd.DataFrame({"a": node[low[far]], "b": node[far]})
+        frames = [f for f in frames if len(f)]
+        if not frames:
+            return
+        rows = pd.concat(frames, ignore_index=True)
+        block = rows.groupby(["cell", "left", "right"], sort=False).ngroup().to_numpy()
+        few = (np.bincount(block)[block] <= FEW) & (rows["side"] == 2).to_numpy()
+        for _, part in rows[~few].groupby(block[~few], sort=False):
+            yield tree(*linked(part))
+        for places in slabs(block, rows["vector"].str.len().to_numpy(), np.flatnonzero(few)):
+            x, of = unit_rows(rows["vector"].to_numpy()[places]), block[places]
+            i, j = neighbours(x, of, threshold)
+            yield tree(rows["node"].to_numpy()[places], i, j)
 
     def count(frames):
         for block in by_block(frames, ["cluster", "left", "right"]):
