@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar, probability, spectral
-from ..operators import analytics, catalog, classify, composite, dataset, metrics, tiling
+from ..operators import analytics, augment, catalog, checks, classify, cleaning, composite, dataset, losses, metrics, regions, tiling
 from ..sources import views
 
 INDEX_NAMES = ("NDWI", "MNDWI", "AWEI_sh", "AWEI_nsh", "NDVI", "SAVI", "BSI", "NDMI", "NDBI")
@@ -155,6 +155,49 @@ def tiled_pixels(spark, folder):
     return _rounded(tiles.groupBy("patch_id", "row_index", "col_index").agg(F.count("*").alias("n"), F.avg("v0").alias("mean")))
 
 
+def _masks(spark, folder):
+    return views.pred_truth(spark, folder).select(F.col("sample_id").alias("patch_id"), "r", "c", F.col("pred").alias("class_id"), "confidence")
+
+
+def _labelled(spark, folder):
+    return regions.label(_masks(spark, folder))
+
+
+def region_rows(spark, folder):
+    return _rounded(regions.regions(_labelled(spark, folder), "patch_id", least=1).drop("region_id"))
+
+
+def region_metrics(spark, folder):
+    labelled = _labelled(spark, folder)
+    return _rounded(regions.region_metrics(labelled, regions.regions(labelled, "patch_id"), "patch_id").drop("width_px"))
+
+
+def majority_masks(spark, folder):
+    return cleaning.per_patch(_masks(spark, folder), cleaning.majority(3)).select("patch_id", "r", "c", "class_id")
+
+
+def cleaned_masks(spark, folder):
+    chain = cleaning.Cleaning(least_object=3, least_hole=3), cleaning.fill_holes, cleaning.replace_small(3), cleaning.square_pass("close")
+    return cleaning.per_patch(_masks(spark, folder), *chain).select("patch_id", "r", "c", "class_id")
+
+
+def label_quality(spark, folder):
+    cells = _masks(spark, folder).withColumn("class_id", F.when(F.col("confidence") < 0.1, 255).otherwise(F.col("class_id")))
+    return _rounded(checks.label_quality(cells, "patch_id").withColumn("issues", F.array_join("issues", "; ")))
+
+
+def patch_losses(spark, folder):
+    cells = views.patch_cells(spark, folder).select("patch_id", "r", "c", F.array(*[F.col(f"v{k}") * 10 for k in range(4)]).alias("logits"))
+    truth = views.pred_truth(spark, folder).select(F.col("sample_id").alias("patch_id"), "r", "c", "truth")
+    rows = cells.join(truth, ["patch_id", "r", "c"])
+    found = [("cross_entropy", losses.cross_entropy(rows, "patch_id", weights=(1, 2, 3, 4), smoothing=0.1)), ("focal", losses.focal(rows, "patch_id")), ("dice", losses.dice(rows, "patch_id"))]
+    return _rounded(found[0][1].withColumnRenamed("loss", found[0][0]).join(found[1][1].withColumnRenamed("loss", found[1][0]), "patch_id").join(found[2][1].withColumnRenamed("loss", found[2][0]), "patch_id"))
+
+
+def turned_masks(spark, folder):
+    return augment.rotate(_masks(spark, folder), 8, (F.col("patch_id") % 4).cast("int")).select("patch_id", "r", "c", "class_id")
+
+
 _OBS = """WITH obs AS (
   SELECT l_orderkey // 1000 AS aoi_id, l_orderkey AS row, l_linenumber::BIGINT AS col, l_shipdate::DATE AS acq_date,
          concat(l_partkey, '-', l_suppkey, '-', l_linenumber) AS scene_id, l_discount AS Blue, l_tax AS Green, l_quantity / 50 AS Red,
@@ -233,6 +276,21 @@ _SCENES = """WITH scenes AS (
   SELECT event_id AS scene_id, event_type AS sensor, ts::DATE AS acq_date, least(value, 100) AS cloud_cover, user_id AS aoi_id,
          event_id % 40 AS min_lon, event_id % 40 + 2 AS max_lon, event_id % 25 AS min_lat, event_id % 25 + 1 AS max_lat FROM events)"""
 
+_MASKS = f"{_CELLS}, masks AS (SELECT patch_id, r, c, {_BUCKET.format('v0')} AS class_id, least(abs(v0) * 2, 1) AS confidence FROM cells)"
+_REGIONS = f"""{_MASKS.replace('WITH', 'WITH RECURSIVE', 1)},
+reach(patch_id, class_id, r, c, r0, c0) AS (SELECT patch_id, class_id, r, c, r, c FROM masks WHERE class_id > 0
+  UNION SELECT m.patch_id, m.class_id, m.r, m.c, r0, c0 FROM reach x JOIN masks m ON m.patch_id = x.patch_id AND m.class_id = x.class_id
+  AND abs(m.r - x.r) <= 1 AND abs(m.c - x.c) <= 1 AND (m.class_id <> 1 OR abs(m.r - x.r) + abs(m.c - x.c) = 1)),
+labelled AS (SELECT patch_id, class_id, r, c, min(r0 * 8 + c0) AS region, any_value(confidence) AS confidence,
+  4 - (SELECT count(*) FROM masks n WHERE n.patch_id = x.patch_id AND n.class_id = x.class_id AND abs(n.r - x.r) + abs(n.c - x.c) = 1) AS bare FROM reach x JOIN masks USING (patch_id, class_id, r, c) GROUP BY ALL),
+regions AS (SELECT patch_id, class_id, region, count(*) AS area_px, min(r)::INT AS row_min, (max(r) + 1)::INT AS row_max, min(c)::INT AS col_min, (max(c) + 1)::INT AS col_max, sum(bare)::BIGINT AS perimeter,
+  avg(confidence) AS mean_confidence, count(*) / count(DISTINCT r) AS row_width FROM labelled GROUP BY ALL)"""
+_LOSSES = f"""{_CELLS},
+logs AS (SELECT patch_id, {_BUCKET.format('v1')} AS truth, list_transform([v0, v1, v2, v3], lambda x: x * 10 - ln(exp(v0 * 10) + exp(v1 * 10) + exp(v2 * 10) + exp(v3 * 10))) AS lp FROM cells),
+own AS (SELECT *, lp[truth + 1] AS p, truth + 1 AS w, -(lp[1] + 2 * lp[2] + 3 * lp[3] + 4 * lp[4]) / 4 AS spread FROM logs),
+plain AS (SELECT patch_id, sum(0.9::DOUBLE * w * -p + 0.1::DOUBLE * spread) / sum(w) AS cross_entropy, avg(0.25::DOUBLE * (1 - exp(p)) * (1 - exp(p)) * -p) AS focal FROM own GROUP BY patch_id),
+soft AS (SELECT patch_id, (2 * coalesce(sum(exp(lp[k + 1])) FILTER (truth = k), 0) + 1) / (sum(exp(lp[k + 1])) + count(*) FILTER (truth = k) + 1) AS o FROM logs, range(4) t(k) GROUP BY patch_id, k)"""
+
 #: Query by name, with its SQL.
 REGISTERED = {
     "area_shares": (area_shares, f"""{_CLASSES}
@@ -286,7 +344,23 @@ probs AS (SELECT *, list_transform(e, lambda x: x / list_sum(e)) AS p FROM raise
 SELECT patch_id, r::INT AS r, c::INT AS c, list_position(p, list_max(p)) - 1 AS pred, round(list_max(p), 6) AS confidence, round(least(greatest(1 + list_sum(list_transform(p, lambda x: least(greatest(x, 1e-10), 1) * ln(least(greatest(x, 1e-10), 1)))) / ln(4), 0), 1), 6) AS certainty FROM probs"""),
     "patch_validity": (patch_validity, f"{_CELLS} SELECT patch_id, round(avg((abs(v0) > 0.01)::INT), 6) AS valid_ratio, avg((abs(v0) > 0.01)::INT) >= 0.7 AS is_valid FROM cells GROUP BY patch_id"),
     "tiled_pixels": (tiled_pixels, f"{_CELLS} SELECT patch_id, a.k::INT AS row_index, b.k::INT AS col_index, count(*) AS n, round(avg(v0), 6) AS mean FROM cells JOIN range(3) a(k) ON r BETWEEN a.k * 2 AND a.k * 2 + 3 JOIN range(3) b(k) ON c BETWEEN b.k * 2 AND b.k * 2 + 3 GROUP BY ALL"),
+    "region_rows": (region_rows, f"""{_REGIONS} SELECT patch_id, class_id, area_px, row_min, row_max, col_min, col_max, perimeter, round(mean_confidence, 6) AS mean_confidence, round(row_width, 6) AS row_width, round(area_px * 900.0::DOUBLE, 6) AS area_m2,
+round((col_max - col_min) / (row_max - row_min), 6) AS aspect, round(4 * pi() * area_px / (perimeter * perimeter), 6) AS compactness, round(1 - least(row_max - row_min, col_max - col_min) / greatest(row_max - row_min, col_max - col_min), 6) AS elongation FROM regions"""),
+    "region_metrics": (region_metrics, f"""{_REGIONS}, big AS (SELECT * FROM regions WHERE area_px >= 4)
+SELECT p.patch_id, p.class_id, p.class_px, count(big.region) AS n_regions, coalesce(max(area_px), 0) AS largest_px, round(coalesce(avg(area_px), 0), 6) AS mean_px, round(coalesce(stddev_pop(area_px), 0), 6) AS std_px, round(count(big.region) / p.class_px, 6) AS fragmentation
+FROM (SELECT patch_id, class_id, count(*) AS class_px FROM labelled GROUP BY ALL) p LEFT JOIN big USING (patch_id, class_id) GROUP BY p.patch_id, p.class_id, p.class_px"""),
+    "majority_masks": (majority_masks, f"""{_MASKS}, votes AS (SELECT m.patch_id, m.r, m.c, n.class_id, count(*) AS n FROM masks m, range(-1, 2) i(dr), range(-1, 2) j(dc), masks n
+WHERE n.patch_id = m.patch_id AND n.r = greatest(0, least(7, m.r + dr)) AND n.c = greatest(0, least(7, m.c + dc)) GROUP BY ALL)
+SELECT patch_id, r::INT AS r, c::INT AS c, arg_max(class_id, (n, -class_id)) AS class_id FROM votes GROUP BY ALL"""),
+    "cleaned_masks": (cleaned_masks, None),
+    "label_quality": (label_quality, f"""{_MASKS}, q AS (SELECT patch_id, avg((confidence >= 0.1)::INT) AS valid_ratio, avg((confidence < 0.1)::INT) AS open_ratio,
+{' + '.join(f'(count(*) FILTER (confidence >= 0.1 AND class_id = {k}) >= 5)::INT' for k in range(4))} AS n_classes FROM masks GROUP BY patch_id),
+s AS (SELECT *, round(printf('%.20f', least(0.5::DOUBLE * least(valid_ratio / 0.7::DOUBLE, 1) + 0.3::DOUBLE * greatest(1 - open_ratio / 0.5::DOUBLE, 0) + 0.2::DOUBLE * n_classes / 4, 1))::DECIMAL(38, 20), 4)::DOUBLE AS score,
+concat_ws('; ', CASE WHEN valid_ratio < 0.7 THEN 'too few valid pixels' END, CASE WHEN open_ratio > 0.5 THEN 'too many unclassified pixels' END, CASE WHEN n_classes = 0 THEN 'no class covers enough pixels' END) AS issues FROM q)
+SELECT patch_id, round(valid_ratio, 6) AS valid_ratio, round(open_ratio, 6) AS open_ratio, n_classes, score, issues, issues = '' AND score >= 0.5 AS acceptable FROM s"""),
+    "patch_losses": (patch_losses, f"{_LOSSES} SELECT patch_id, round(cross_entropy, 6) AS cross_entropy, round(focal, 6) AS focal, round(dice, 6) AS dice FROM plain JOIN (SELECT patch_id, 1 - avg(o) AS dice FROM soft GROUP BY patch_id) USING (patch_id)"),
+    "turned_masks": (turned_masks, f"""{_MASKS} SELECT patch_id, (CASE patch_id % 4 WHEN 1 THEN 7 - c WHEN 2 THEN 7 - r WHEN 3 THEN c ELSE r END)::INT AS r, (CASE patch_id % 4 WHEN 1 THEN r WHEN 2 THEN 7 - c WHEN 3 THEN 7 - r ELSE c END)::INT AS c, class_id FROM masks"""),
 }
 
 QUERIES = {name: run for name, (run, _) in REGISTERED.items()}
-ORACLE_SQL = {name: sql for name, (_, sql) in REGISTERED.items()}
+ORACLE_SQL = {name: sql for name, (_, sql) in REGISTERED.items() if sql}
