@@ -66,3 +66,51 @@ def area_tiles(areas: DataFrame, most: int) -> DataFrame:
         "tile_min_lon": F.col("min_lon") + F.col("column") * lon, "tile_max_lon": F.least(F.col("max_lon"), F.col("min_lon") + (F.col("column") + 1) * lon),
         "tile_min_lat": F.col("min_lat") + F.col("row") * lat, "tile_max_lat": F.least(F.col("max_lat"), F.col("min_lat") + (F.col("row") + 1) * lat),
     })
+
+
+def weighted_draws(samples: DataFrame, n: int, weight: str = "weight", key: str = "sample_id", seed: int = 42, per_slot: int = 1000) -> DataFrame:
+    """(draw, key): ``n`` draws with replacement, each sample as likely as its share of all weight.
+
+    Samples lie one after another on the line from 0 to 1; draws are seeded
+    places on it.  The line is cut into slots of about ``per_slot`` draws, so
+    that no task orders all samples.  Weights of 0 or less, or null, are never drawn.
+    """
+    units = samples.select(F.col(key).alias("_key"), F.col(weight).cast("decimal(28,12)").alias("_w")).where("_w > 0").withColumn("_bin", F.pmod(F.xxhash64("_key"), F.lit(4096)))
+    bins = units.groupBy("_bin").agg(F.sum("_w").alias("_in"))  # 4096 rows at most
+    bins = bins.select("_bin", (F.sum("_in").over(Window.orderBy("_bin")) - F.col("_in")).alias("_before"), F.sum("_in").over(Window.partitionBy()).cast("double").alias("_total"))
+    before = F.sum("_w").over(Window.partitionBy("_bin").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1))
+    line = units.join(bins, "_bin").withColumn("at", (F.col("_before") + F.coalesce(before, F.lit(0))).cast("double") / F.col("_total"))
+    slots = max(1, n // per_slot)
+    last = F.least(F.floor((F.col("at") + F.col("_w").cast("double") / F.col("_total") + 1e-12) * slots), F.lit(slots - 1))
+    line = line.select(F.explode(F.sequence(F.least(F.floor(F.col("at") * slots), F.lit(slots - 1)), last)).alias("slot"), "at", "_key", F.lit(None).cast("long").alias("draw"))
+    draws = samples.sparkSession.range(n).select(chance(F.col("id"), seed).alias("at"), F.col("id").alias("draw"))
+    draws = draws.select(F.floor(F.col("at") * slots).alias("slot"), "at", F.lit(None).cast(line.schema["_key"].dataType).alias("_key"), "draw")
+    holder = F.last("_key", ignorenulls=True).over(Window.partitionBy("slot").orderBy("at", F.col("draw").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    return line.unionByName(draws).withColumn(key, holder).where(F.col("draw").isNotNull() & F.col(key).isNotNull()).select("draw", key)
+
+
+def rescale(cells: DataFrame, bands, size: int, scale: Column, *by: str, class_col: str | None = None) -> DataFrame:
+    """Square patches on a grid ``scale`` times as fine, corners kept: bands bilinear, classes from the nearest cell."""
+    grid = cells.select(*by, scale.alias("_scale")).groupBy(*by).agg(F.greatest(F.lit(1), F.rint(size * F.first("_scale")).cast("int")).alias("_n"))
+    places = F.sequence(F.lit(0), F.col("_n") - 1)
+    grid = grid.withColumn("r", F.explode(places)).withColumn("c", F.explode(places))
+    step = (size - 1) / F.greatest(F.col("_n") - 1, F.lit(1))
+    grid = grid.withColumns({"_y": F.col("r") * step, "_x": F.col("c") * step})
+    near = (F.col("_y") - F.floor("_y"), F.col("_x") - F.floor("_x"))
+    corner = [
+        F.struct(F.least(F.floor("_y") + dy, F.lit(size - 1)).cast("int").alias("r"), F.least(F.floor("_x") + dx, F.lit(size - 1)).cast("int").alias("c"), ((near[0] if dy else 1 - near[0]) * (near[1] if dx else 1 - near[1])).alias("share"))
+        for dy in (0, 1) for dx in (0, 1)
+    ]
+    is_nearest = (F.col("_f.r") == F.floor(F.col("_y") + 0.5)) & (F.col("_f.c") == F.floor(F.col("_x") + 0.5))
+    grid = grid.withColumn("_f", F.explode(F.filter(F.array(*corner), lambda x: x["share"] > 0))).select(*by, F.col("r").alias("_r"), F.col("c").alias("_c"), F.col("_f.r").alias("r"), F.col("_f.c").alias("c"), F.col("_f.share").alias("_share"), is_nearest.alias("_nearest"))
+    found = [F.sum(F.col(b) * F.col("_share")).alias(b) for b in bands]
+    if class_col:
+        found.append(F.max(F.when(F.col("_nearest"), F.col(class_col))).alias(class_col))
+    return grid.join(cells, [*by, "r", "c"]).groupBy(*by, "_r", "_c").agg(*found).withColumnsRenamed({"_r": "r", "_c": "c"})
+
+
+def chain(cells: DataFrame, steps, bands, stats: dict, train: bool = True) -> DataFrame:
+    """Training: each step in turn, then normalised bands; otherwise only the latter.  ``stats``: (mean, std) by band."""
+    for step in steps if train else ():
+        cells = step(cells)
+    return cells.withColumns({b: (F.col(b) - stats[b][0]) / max(stats[b][1], 1e-8) for b in bands})

@@ -38,3 +38,50 @@ def sample_issues(samples: DataFrame, key: str = "sample_id", crs: str | None =
     low = samples.where(F.coalesce(F.col(ratio) < least_ratio, F.lit(True))).select(key, F.lit("too few valid pixels").alias("issue"))
     out = twice.unionByName(low)
     return out.unionByName(samples.where(~F.col(crs).eqNullSafe(F.lit(expected_crs))).select(key, F.lit("other reference system").alias("issue"))) if crs else out
+
+
+def quality_issues(samples: DataFrame, statistics: DataFrame, leaks: DataFrame, least: int = 10, most_imbalance: float = 10.0) -> DataFrame:
+    """(severity, category, subject, value): leaking ids by kind, small splits, uneven classes of training and validation.
+
+    ``statistics`` is from ``dataset.split_statistics``, ``leaks`` from ``dataset.leakage``.
+    """
+    def rows(found, severity, category, subject, value):
+        return found.select(F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.col(subject).alias("subject"), F.col(value).cast("double").alias("value"))
+
+    leaking = rows(leaks.groupBy("kind").agg(F.count("*").alias("n")), "ERROR", "leakage", "kind", "n")
+    small = rows(samples.groupBy("split").agg(F.count("*").alias("n")).where(F.col("n") < least), "WARN", "split_size", "split", "n")
+    uneven = statistics.where(F.col("split").isin("train", "validation")).groupBy("split").agg(F.max("imbalance").alias("n")).where(F.col("n") > most_imbalance)
+    return leaking.unionByName(small).unionByName(rows(uneven, "WARN", "class_balance", "split", "n"))
+
+
+def grid_issues(labels: DataFrame, patches: DataFrame, key: str = "patch_id", tolerance: float = 1e-6) -> DataFrame:
+    """(key, issue): label masks whose reference system, transform (struct of numbers) or size differs from their patch's."""
+    both = labels.alias("l").join(patches.alias("p"), key)
+    moved = F.lit(False)
+    for f in patches.schema["transform"].dataType.names:
+        moved = moved | ~F.coalesce(F.abs(F.col(f"l.transform.{f}") - F.col(f"p.transform.{f}")) <= tolerance, F.lit(False))
+    differs = lambda c: ~F.col(f"l.{c}").eqNullSafe(F.col(f"p.{c}"))
+    issues = F.array_compact(F.array(F.when(differs("crs"), "other reference system"), F.when(moved, "other transform"), F.when(differs("width") | differs("height"), "other size")))
+    return both.select(key, F.explode(issues).alias("issue"))
+
+
+def band_issues(observed: DataFrame, expected: DataFrame, key: str = "raster_id") -> DataFrame:
+    """(key, band, issue): bands that a raster lacks or has beyond those of ``expected`` (band), which is a short list."""
+    wanted = observed.select(key).distinct().withColumn("band", F.explode(F.lit([r["band"] for r in expected.select("band").distinct().limit(1000).collect()])))
+    lacking = wanted.join(observed, [key, "band"], "left_anti").withColumn("issue", F.lit("missing band"))
+    return lacking.unionByName(observed.select(key, "band").join(expected, "band", "left_anti").select(key, "band", F.lit("unexpected band").alias("issue")))
+
+
+def prediction_issues(samples: DataFrame, cells: DataFrame, key: str = "sample_id") -> DataFrame:
+    """(key, issue): samples without a mask, and those with a confidence that is no number."""
+    bare = samples.select(key).distinct().join(cells, key, "left_anti").select(key, F.lit("no mask").alias("issue"))
+    broken = cells.where(F.isnan("confidence")).select(key).distinct().withColumn("issue", F.lit("confidence is not a number"))
+    return bare.unionByName(broken)
+
+
+def prepared_issues(samples: DataFrame, statistics: DataFrame, n_bands: int) -> DataFrame:
+    """(issue, value) of a prepared data set: no training sample, another number of bands, deviations not above 0."""
+    train = samples.agg(F.count_if(F.col("split") == "train").alias("value")).where("value = 0").select(F.lit("no training sample").alias("issue"), "value")
+    bands = statistics.agg(F.count("*").alias("value")).where(F.col("value") != n_bands).select(F.lit("other number of bands").alias("issue"), "value")
+    flat = statistics.agg(F.count_if(F.col("std") <= 0).alias("value")).where("value > 0").select(F.lit("deviation not above 0").alias("issue"), "value")
+    return train.unionByName(bands).unionByName(flat)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,3 +43,17 @@ def valid_ratio(cells: DataFrame, bands, *by: str, nodata: float = -9999.0, leas
 def mosaic(cells: DataFrame, keys=("row", "col"), order=("row_index", "col_index")) -> DataFrame:
     """Overlapping tiles: the last in row-major order wins."""
     return cells.groupBy(*keys).agg(F.max_by("class_id", F.struct(*order)).alias("class_id"))
+
+
+def stitch(cells: DataFrame, *by: str) -> DataFrame:
+    """Places (row, col) in the whole raster of cells (r, c) of tiles; tile row 0 is the southern edge and so comes last.
+
+    A tile row is as high as its highest tile, a tile column as wide as its widest.
+    """
+    def starts(index: str, at: str, out: str, order: Column):
+        sizes = cells.groupBy(*by, index).agg((F.max(at) + 1).alias("_size"))
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)  # one row per row or column of tiles
+        return sizes.select(*by, index, F.coalesce(F.sum("_size").over(w), F.lit(0)).cast("int").alias(out))
+
+    placed = cells.join(starts("row_index", "r", "_top", F.desc("row_index")), [*by, "row_index"]).join(starts("col_index", "c", "_left", F.asc("col_index")), [*by, "col_index"])
+    return placed.withColumns({"row": F.col("_top") + F.col("r"), "col": F.col("_left") + F.col("c")}).drop("_top", "_left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar, probability, spectral
-from ..operators import analytics, augment, catalog, checks, classify, cleaning, composite, dataset, losses, metrics, regions, tiling
+from ..operators import analytics, augment, catalog, checks, classify, cleaning, composite, dataset, figures, losses, metrics, regions, tiling
 from ..sources import views
 
 INDEX_NAMES = ("NDWI", "MNDWI", "AWEI_sh", "AWEI_nsh", "NDVI", "SAVI", "BSI", "NDMI", "NDBI")
@@ -198,6 +198,38 @@ def turned_masks(spark, folder):
     return augment.rotate(_masks(spark, folder), 8, (F.col("patch_id") % 4).cast("int")).select("patch_id", "r", "c", "class_id")
 
 
+def stitched_tiles(spark, folder):
+    cells = views.patch_cells(spark, folder).select("patch_id", F.floor(F.col("r") / 3).cast("int").alias("row_index"), F.floor(F.col("c") / 3).cast("int").alias("col_index"), (F.col("r") % 3).alias("r"), (F.col("c") % 3).alias("c"), "v0")
+    return tiling.stitch(cells, "patch_id").select("patch_id", "row", "col", "v0")
+
+
+def rescaled_patches(spark, folder):
+    cells = views.patch_cells(spark, folder).select("patch_id", "r", "c", "v0")
+    return _rounded(augment.rescale(cells, ["v0"], 8, F.lit(1.25), "patch_id"))
+
+
+def dataset_issues(spark, folder):
+    samples = dataset.split(views.samples(spark, folder), "random")
+    return _rounded(checks.quality_issues(samples, dataset.split_statistics(samples), dataset.leakage(samples, "scene_id", "aoi_id"), least=10000, most_imbalance=1.0))
+
+
+def weighted_draws(spark, folder):
+    """As many draws as there are samples, by valid share; no SQL has the hash, so a test holds shares to weights."""
+    samples = dataset.valid_weights(views.samples(spark, folder))
+    return augment.weighted_draws(samples, samples.count())
+
+
+def change_chart(spark, folder):
+    return figures.change_chart(analytics.change(_sample_metrics(spark, folder)), range(1, 6))
+
+
+def class_report(spark, folder):
+    pairs = views.pred_truth(spark, folder)
+    size = pairs.groupBy("sample_id").agg(F.count("*").alias("total"))
+    areas = pairs.groupBy("sample_id", F.col("pred").alias("class_id")).agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence")).join(size, "sample_id").withColumn("fraction", F.col("n") / F.col("total"))
+    return _rounded(figures.class_report(class_metrics(spark, folder).select("class_id", "precision", "recall", "f1", "iou"), areas))
+
+
 _OBS = """WITH obs AS (
   SELECT l_orderkey // 1000 AS aoi_id, l_orderkey AS row, l_linenumber::BIGINT AS col, l_shipdate::DATE AS acq_date,
          concat(l_partkey, '-', l_suppkey, '-', l_linenumber) AS scene_id, l_discount AS Blue, l_tax AS Green, l_quantity / 50 AS Red,
@@ -360,6 +392,22 @@ concat_ws('; ', CASE WHEN valid_ratio < 0.7 THEN 'too few valid pixels' END, CAS
 SELECT patch_id, round(valid_ratio, 6) AS valid_ratio, round(open_ratio, 6) AS open_ratio, n_classes, score, issues, issues = '' AND score >= 0.5 AS acceptable FROM s"""),
     "patch_losses": (patch_losses, f"{_LOSSES} SELECT patch_id, round(cross_entropy, 6) AS cross_entropy, round(focal, 6) AS focal, round(dice, 6) AS dice FROM plain JOIN (SELECT patch_id, 1 - avg(o) AS dice FROM soft GROUP BY patch_id) USING (patch_id)"),
     "turned_masks": (turned_masks, f"""{_MASKS} SELECT patch_id, (CASE patch_id % 4 WHEN 1 THEN 7 - c WHEN 2 THEN 7 - r WHEN 3 THEN c ELSE r END)::INT AS r, (CASE patch_id % 4 WHEN 1 THEN r WHEN 2 THEN 7 - c WHEN 3 THEN 7 - r ELSE c END)::INT AS c, class_id FROM masks"""),
+    "stitched_tiles": (stitched_tiles, f"{_CELLS} SELECT patch_id, (CASE r // 3 WHEN 2 THEN 0 WHEN 1 THEN 2 ELSE 5 END + r % 3)::INT AS row, c::INT AS col, v0 FROM cells"),
+    "rescaled_patches": (rescaled_patches, f"""{_CELLS}, grid AS (SELECT i.k AS r, j.k AS c, i.k * 7 / 9 AS y, j.k * 7 / 9 AS x FROM range(10) i(k), range(10) j(k))
+SELECT patch_id, g.r::INT AS r, g.c::INT AS c, round(sum(v0 * (1 - abs(cells.r - y)) * (1 - abs(cells.c - x))), 6) AS v0 FROM grid g JOIN cells ON abs(cells.r - y) < 1 AND abs(cells.c - x) < 1 GROUP BY ALL"""),
+    "dataset_issues": (dataset_issues, f"""{_RANDOM},
+leaks AS (SELECT aoi_id FROM dealt GROUP BY aoi_id HAVING count(DISTINCT split) > 1), sums AS (SELECT split, class_id, sum(pixels) AS p FROM dealt GROUP BY ALL)
+SELECT 'ERROR' AS severity, 'leakage' AS category, 'aoi_id' AS subject, count(*)::DOUBLE AS value FROM leaks HAVING count(*) > 0
+UNION ALL SELECT 'WARN', 'split_size', split, count(*)::DOUBLE FROM dealt GROUP BY split HAVING count(*) < 10000
+UNION ALL SELECT 'WARN', 'class_balance', split, round(max(p) / min(p), 6) FROM sums WHERE p > 0 AND split <> 'test' GROUP BY split HAVING max(p) > min(p)"""),
+    "weighted_draws": (weighted_draws, None),
+    "change_chart": (change_chart, f"""{_SAMPLES},
+dates AS (SELECT class_id, acq_date, round_even(avg(pixels), 0)::BIGINT AS pixels FROM samples GROUP BY ALL),
+steps AS (SELECT class_id, lag(acq_date) OVER w AS from_date, acq_date AS to_date, pixels - lag(pixels) OVER w AS delta FROM dates WINDOW w AS (PARTITION BY class_id ORDER BY acq_date))
+SELECT from_date, to_date, {', '.join(f'coalesce(max(delta) FILTER (class_id = {k}), 0)::BIGINT AS delta_{k}' for k in range(1, 6))} FROM steps WHERE from_date IS NOT NULL GROUP BY from_date, to_date"""),
+    "class_report": (class_report, f"""{_PER_CLASS}, areas AS (SELECT sample_id, pred AS class_id, count(*) / any_value(t) AS fraction, avg(confidence) AS confidence FROM (SELECT *, count(*) OVER (PARTITION BY sample_id) AS t FROM pairs) GROUP BY sample_id, pred)
+SELECT e.class_id::INT AS class_id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(iou, 6) AS iou, round(arg_min(a.fraction, sample_id), 6) AS fraction, round(arg_min(a.confidence, sample_id), 6) AS confidence
+FROM each e LEFT JOIN areas a USING (class_id) GROUP BY ALL"""),
 }
 
 QUERIES = {name: run for name, (run, _) in REGISTERED.items()}
