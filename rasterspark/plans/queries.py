@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,33 +19,33 @@ def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
-def _clear(spark, folder):
-    return views.observations(spark, folder).where(spectral.usable(F.col("QA")))
+def _clear(spark, folder, observed=views.observations):
+    return observed(spark, folder).where(spectral.usable(F.col("QA")))
 
 
-def _indexed(spark, folder):
-    middle = composite.median(_clear(spark, folder))
+def _indexed(spark, folder, observed=views.observations):
+    middle = composite.median(_clear(spark, folder, observed))
     return middle.select("aoi_id", "row", "col", *spectral.feature_columns())
 
 
-def area_shares(spark: SparkSession, folder: str) -> DataFrame:
+def area_shares(spark: SparkSession, folder: str, observed=views.observations) -> DataFrame:
     """Share of water, sand, vegetation and background per area, from masked median composites."""
-    return _rounded(classify.shares(classify.classify(_indexed(spark, folder)), "aoi_id"))
+    return _rounded(classify.shares(classify.classify(_indexed(spark, folder, observed)), "aoi_id"))
 
 
 def composite_of(method: str, **options):
-    def run(spark, folder):
-        return _rounded(composite.composite(_clear(spark, folder), method, **options), 9)
+    def run(spark, folder, observed=views.observations):
+        return _rounded(composite.composite(_clear(spark, folder, observed), method, **options), 9)
 
     return run
 
 
-def mosaic_latest(spark, folder):
-    return composite.mosaic(_clear(spark, folder))
+def mosaic_latest(spark, folder, observed=views.observations):
+    return composite.mosaic(_clear(spark, folder, observed))
 
 
-def medoid_composite(spark, folder):
-    return composite.medoid(_clear(spark, folder)).select(*composite.PIXEL, *spectral.OPTICAL)
+def medoid_composite(spark, folder, observed=views.observations):
+    return composite.medoid(_clear(spark, folder, observed)).select(*composite.PIXEL, *spectral.OPTICAL)
 
 
 def spectral_indices(spark, folder):
@@ -410,5 +412,10 @@ SELECT e.class_id::INT AS class_id, round(precision, 6) AS precision, round(reca
 FROM each e LEFT JOIN areas a USING (class_id) GROUP BY ALL"""),
 }
 
+#: The same over observations of which most are usable; those above see the few whose part number has five low bits of 0.
+_BRIGHT = _OBS.replace("(l_partkey % 256)::INT AS QA", "CASE WHEN l_discount > 0.095 THEN 8 WHEN l_tax > 0.075 THEN 4 ELSE 64 END AS QA")
+_MASKED = ("area_shares", "composite_median", "composite_mean", "composite_percentile", "composite_mosaic", "composite_medoid")
+REGISTERED |= {f"{name}_bright": (partial(run, observed=views.bright_masked), sql.replace(_OBS, _BRIGHT)) for name in _MASKED for run, sql in [REGISTERED[name]]}
+
 QUERIES = {name: run for name, (run, _) in REGISTERED.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in REGISTERED.items() if sql}

@@ -29,6 +29,12 @@ def observations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def bright_masked(spark: SparkSession, folder: str) -> DataFrame:
+    """The observations with a mask as clouds make it: cloud where Blue, cirrus where Green is brightest, clear elsewhere."""
+    qa = F.when(F.col("Blue") > 0.095, 8).when(F.col("Green") > 0.075, 4).otherwise(64)
+    return observations(spark, folder).withColumn("QA", qa)
+
+
 def scenes(spark: SparkSession, folder: str) -> DataFrame:
     """Events as scenes; the event type stands for the sensor, the user for the area."""
     return table(spark, folder, "events").select(

@@ -109,3 +109,21 @@ def test_calendar_and_probability(spark):
     assert got[3] == pytest.approx(0.0, abs=1e-9)
     with pytest.raises(ValueError):
         calendar.season(F.lit(1), {"a": (1,), "b": (1,)})
+
+
+def test_masked_queries_see_most_observations(spark, tmp_path):
+    from rasterspark.plans import queries
+    from rasterspark.sources import views
+
+    rows = [(k // 20, 1 + k, 7, k // 2 % 10, float(k % 50), 100.0 * k, k % 11 / 100, k % 9 / 100, datetime.datetime(2020, 1, 1 + k % 28)) for k in range(990)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate timestamp"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen = [r for r in rows if r[6] < 0.095 and r[7] < 0.075]
+    assert views.bright_masked(spark, str(tmp_path)).where(spectral.usable(F.col("QA"))).count() == len(seen) == 800
+    pixels: dict = {}
+    for r in seen:
+        pixels.setdefault((r[0], r[3]), []).append(r[4] / 50)
+    assert sum(len(x) > 1 for x in pixels.values()) > len(pixels) / 2
+    got = queries.QUERIES["composite_mean_bright"](spark, str(tmp_path)).collect()
+    assert {(r.row, r.col): r.Red for r in got} == {k: pytest.approx(sum(x) / len(x)) for k, x in pixels.items()}
+    assert sum(r.pixels for r in queries.QUERIES["area_shares_bright"](spark, str(tmp_path)).collect()) == len(pixels)
