@@ -150,7 +150,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, gram: int = 5, toleran
     rows = rows_of(docs, id_col, text_col)
     rule = least_matches(threshold, tolerance, step)
     signed = materialise(sign(rows, gram), "signed")
-    classes = materialise(signed.where("node <> 0").groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct("id", "tie")).alias("row"), F.first("signature").alias("signature"), F.first("bands").alias("bands")).withColumn("id", F.col("row.id")), "classes")
+    classes = materialise(signed.where("node <> 0").groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct("id", "tie")).alias("row"), F.first("signature").alias("signature"), F.first("bands").alias("bands")), "classes")
     signatures = classes.select("node", "signature")
 
     def candidates(frames):
@@ -170,10 +170,6 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, gram: int = 5, toleran
     def compare(frames):
         for block in by_block(frames, ["cluster", "left", "right"]):
             sets = [shingles(unpack(z), gram) for z in block["packed"]]
-            real = np.array([node_of(s) == n for s, n in zip(sets, block["node"], strict=True)])  # an id may have other texts too
-            keep = np.flatnonzero(real)
-            keep = keep[~block.iloc[keep].duplicated(["node", "side"]).to_numpy()]
-            block, sets = block.iloc[keep], [sets[k] for k in keep]
             node, sig = block["node"].to_numpy(), np.stack([np.frombuffer(x, np.uint8) for x in block["signature"]])
             a, b = np.flatnonzero(block["side"] != 1), np.flatnonzero(block["side"] != 0)
             i, j = prune(sig[a], sig[b], rule, bool((block["side"] == 2).all()))
@@ -186,9 +182,10 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, gram: int = 5, toleran
             if len(some):
                 yield pd.DataFrame({"a": node[low[some]], "b": node[some], "n": n[some].astype(np.int64)})
 
-    whole = classes.select("node", "id", "copies", "signature").join(clusters, "node")
-    blocks = in_chunks(whole.select("cluster", "node", "id", "copies", "signature"), "cluster", "node", 512)
-    blocks = blocks.join(packed(rows).select("id", "packed"), "id")
+    whole = classes.select("node", "row.id", "row.tie", "copies", "signature").join(clusters, "node")
+    blocks = in_chunks(whole.select("cluster", "node", "id", "tie", "copies", "signature"), "cluster", "node", 512)
+    texts = packed(rows).groupBy("id", "tie").agg(F.first("packed").alias("packed"))  # an id may have many texts, and a text many rows
+    blocks = blocks.join(texts, ["id", "tie"])
     found = materialise(blocks.repartition("cluster", "left", "right").mapInPandas(compare, "a long, b long, n long"), "links")
     linked = found.groupBy(F.col("b").alias("node")).agg(F.sum("n").alias("n"))
     groups = components(found.select("a", "b")).select(F.col("id").alias("node"), F.col("component").alias("group"))
