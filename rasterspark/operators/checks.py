@@ -65,9 +65,12 @@ def grid_issues(labels: DataFrame, patches: DataFrame, key: str = "patch_id", to
     return both.select(key, F.explode(issues).alias("issue"))
 
 
-def band_issues(observed: DataFrame, expected: DataFrame, key: str = "raster_id") -> DataFrame:
-    """(key, band, issue): bands that a raster lacks or has beyond those of ``expected`` (band), which is a short list."""
-    wanted = observed.select(key).distinct().withColumn("band", F.explode(F.lit([r["band"] for r in expected.select("band").distinct().limit(1000).collect()])))
+def band_issues(observed: DataFrame, expected: DataFrame, key: str = "raster_id", most: int = 100_000) -> DataFrame:
+    """(key, band, issue): bands that a raster lacks or has beyond those of ``expected`` (band); an error above ``most`` of those."""
+    bands = expected.select("band").distinct()
+    if (n := bands.count()) > most:
+        raise ValueError(f"{n} expected bands, at most {most} can be checked")
+    wanted = observed.select(key).distinct().crossJoin(F.broadcast(bands))
     lacking = wanted.join(observed, [key, "band"], "left_anti").withColumn("issue", F.lit("missing band"))
     return lacking.unionByName(observed.select(key, "band").join(expected, "band", "left_anti").select(key, "band", F.lit("unexpected band").alias("issue")))
 

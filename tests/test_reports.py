@@ -61,3 +61,11 @@ def test_figures(spark):
     assert tuple(figures.change_chart(change, (1, 2)).first()) == ("a", "b", 5, 0)
     seasonal = spark.createDataFrame([("winter", 1, 0.5, 0.1)], "season string, class_id int, mean_fraction double, std_fraction double")
     assert tuple(figures.seasonal_chart(seasonal, (1, 2)).first()) == ("winter", 0.5, 0.1, 0.0, 0.0)
+
+
+def test_band_issues_check_every_expected_band(spark):
+    observed = spark.range(1500).where("id <> 1234").select(F.lit(1).alias("raster_id"), F.concat(F.lit("b"), "id").alias("band"))
+    expected = spark.range(1500).select(F.concat(F.lit("b"), "id").alias("band"))
+    assert [(r.band, r.issue) for r in checks.band_issues(observed, expected).collect()] == [("b1234", "missing band")]
+    with pytest.raises(ValueError, match="1500 expected bands"):
+        checks.band_issues(observed, expected, most=1000)
