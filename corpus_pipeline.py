@@ -14,15 +14,26 @@ from pyspark.sql import functions as F
 from rasterspark.llm import decontamination, language_id, ngram_join, source_mix, substring_dedup
 from rasterspark.llm.common import materialise
 
-#: The language model's best guess must be at least as likely as this.  With four
-#: languages 0.25 says nothing; very short clean texts reach 0.35.
-LEAST_SCORE = 0.3
+#: How many times as likely as each other language (all alike) the best guess must be at least.
+#: Of four languages that is a score of 0.3; very short clean texts reach 0.35 there.
+LEAST_ODDS = 9 / 7
+
+
+def least_score(n_languages: int) -> float:
+    """The score at ``LEAST_ODDS``, above 1 / n_languages from two languages on; one language has nothing to compare with."""
+    return LEAST_ODDS / (LEAST_ODDS + n_languages - 1)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those that look like no language of the table."""
-    told = language_id.fit(docs).predict(docs, lang_out="_lang_pred", score_out="_score")
-    return told.where((F.col("_lang_pred") != language_id.UNDETERMINED) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    """Drops documents without a letter, and those that look like no language of the table.
+
+    Where no row has a language there is nothing to learn: all with a letter stay.
+    """
+    model = language_id.fit(docs)
+    if not model.languages:
+        return docs.where(F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
+    told = model.predict(docs, lang_out="_lang_pred", score_out="_score")
+    return told.where((F.col("_lang_pred") != language_id.UNDETERMINED) & (F.col("_score") >= least_score(len(model.languages)))).select(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -319,6 +319,31 @@ def test_pipeline(spark, tmp_path):
     assert not math.isnan(len(texts))
 
 
+@pytest.mark.parametrize(("n", "least"), [(2, 40), (3, 40), (4, 20), (10, 5)])
+def test_language_stage_rejects_by_score(spark, n, least):
+    """Of 60 texts in another script at least ``least`` go; short texts of the languages all stay."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    own = lambda k: "".join(chr(0x4E00 + 40 * k + rng.randrange(8)) for _ in range(5))
+    word = lambda k: "".join(chr(97 + rng.randrange(26)) for _ in range(5)) if rng.random() > 0.5 else own(k)
+    rows = [(i, " ".join(word(i % n) for _ in range(rng.randint(1, 12))), f"l{i % n}") for i in range(80 * n)]
+    short = [(5000 + i, own(i % n), None) for i in range(30)]
+    planted = [(9000 + i, " ".join("".join(chr(0x430 + rng.randrange(32)) for _ in range(5)) for _ in range(rng.randint(1, 12))), None) for i in range(60)]
+    df = spark.createDataFrame([*rows, *short, *planted], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, df, "").collect()}
+    assert {r[0] for r in short} <= kept
+    assert sum(r[0] not in kept for r in planted) >= least
+
+
+def test_language_stage_without_labels_keeps_documents(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(1, "some words", None), (2, "слово", None), (3, "12 !", None), (4, None, None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.known_language(spark, df, "").collect()} == {1, 2}
+    assert corpus_pipeline.least_score(4) == pytest.approx(0.3)
+
+
 def test_shared_dir(spark):
     assert common.shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert hashlib.sha256(b"").hexdigest()
