@@ -1,7 +1,7 @@
 """Chat formatting with Spark expressions only.
 
 The turns of a conversation are collected as structs, sorted, and adjacent
-turns of one role are merged into a block:
+turns of one role are merged into a block by joining the array:
 
     <|im_start|>ROLE\\nTEXT<|im_sep|>TEXT<|im_end|>\\n
 
@@ -11,13 +11,16 @@ control string can occur there and ``parse`` gives back every turn unchanged.
 ``loss_spans`` marks the (escaped) text of each turn of the ``loss_role``.
 
 Rows without conv_id form one conversation, null.  Null text or role: empty.
-Turns sort by turn (null first), then role, then text; repeated rows stay.
-Other columns are not read.
+Turns sort by turn (null first), then role, then text; repeated rows stay.  An
+empty table gives no rows.  A conversation of any length is one row, so it must
+fit a task; where its turns and spans stand comes from running sums, so the work
+grows with their number (``loss_text`` looks up each span from the start of the
+string).  Other columns, of whatever name, are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -45,31 +48,23 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     ``loss_spans`` is an array of (start, length) in characters of ``formatted``,
     start counting from 1.
     """
-    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    sorted_ = turns.select(F.col(conv).alias("conv"), F.struct(F.col(turn).alias("turn"), empty(role).alias("role"), empty(text).alias("text")).alias("t")).groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    at = lambda i: F.get("turns", i)
-    # each turn with what stands before and after its text
-    pieces = F.transform(
-        "turns",
-        lambda t, i: F.struct(
-            F.when((i > 0) & (at(i - 1)["role"] == t["role"]), F.lit(SEP)).otherwise(F.concat(F.lit(START), _escape_role(t["role"]), F.lit("\n"))).alias("before"),
-            escape(t["text"]).alias("text"),
-            F.when(at(i + 1)["role"] == t["role"], F.lit("")).otherwise(F.lit(END + "\n")).alias("after"),
-            (t["role"] == loss_role).alias("loss"),
-        ),
-    )
-    step = lambda acc, p: F.struct(
-        (acc["at"] + F.length(p["before"]) + F.length(p["text"]) + F.length(p["after"])).alias("at"),
-        F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(p["before"])).alias("start"), F.length(p["text"]).alias("length"))))).otherwise(acc["spans"]).alias("spans"),
-    )
-    none = F.struct(F.lit(1).alias("at"), F.expr("CAST(array() AS array<struct<start: int, length: int>>)").alias("spans"))
-    return sorted_.select(
+    value = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    empty = lambda c: F.coalesce(value(c).cast("string"), F.lit(""))
+    rows = turns.select(value(conv).alias("conv"), value(turn).alias("turn"), empty(role).alias("role"), empty(text).alias("raw"))
+    order = Window.partitionBy("conv").orderBy("turn", "role", "raw")  # the grouping below has the same keys: one shuffle
+    rows = rows.select(
+        "conv", F.row_number().over(order).alias("place"), (F.col("role") == loss_role).alias("loss"), escape(F.col("raw")).alias("text"),
+        F.when(F.lag("role").over(order) == F.col("role"), F.lit(SEP)).otherwise(F.concat(F.lit(START), _escape_role(F.col("role")), F.lit("\n"))).alias("before"),
+        F.when(F.lead("role").over(order) == F.col("role"), F.lit("")).otherwise(F.lit(END + "\n")).alias("after"),
+    )
+    length = F.length("before") + F.length("text") + F.length("after")
+    start = F.coalesce(F.sum(length).over(Window.partitionBy("conv").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.length("before") + 1
+    pieces = rows.withColumn("start", start.cast("int")).groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("place", "before", "text", "after", "loss", "start"))).alias("pieces"))
+    marked = F.filter("pieces", lambda p: p["loss"])
+    return pieces.select(
         F.col("conv").alias(conv),
-        pieces.alias("pieces"),
-    ).select(
-        conv,
         F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], p["text"], p["after"])), "").alias("formatted"),
-        F.aggregate("pieces", none, step, lambda acc: acc["spans"]).alias("loss_spans"),
+        F.transform(marked, lambda p: F.struct(p["start"].alias("start"), F.length(p["text"]).alias("length"))).alias("loss_spans"),
     )
 
 

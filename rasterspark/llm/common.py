@@ -1,11 +1,14 @@
-"""What several operators share: the shared folder, materialised steps, words."""
+"""What several operators share: the shared folder, materialised steps, free column names, words."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,25 +22,122 @@ NO_ID = (1 << 63) - 1
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the session has none (tests, a laptop), a temporary one is set.
+    Where a local session has none (tests, a laptop), a temporary one is set; on
+    a cluster that is an error, as executors would write to their own disks.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(found)
+        context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def setting(spark: SparkSession, **values):
+    """The session with other values of some settings (``__`` stands for a dot)."""
+    values = {k.replace("__", "."): v for k, v in values.items()}
+    old = {k: spark.conf.get(k) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def materialise(df: DataFrame, name: str, batch: int = 2048) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, not the steps before.
+    Python steps get Arrow batches of ``batch`` rows, so that whole texts need
+    little memory.  ``discard`` deletes the table when nothing reads it any more.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with setting(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(batch)):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.shared_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where ``docs`` already has a column of that name."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(*names: str) -> list[str]:
+    """Column names as references, whatever characters they hold."""
+    return ["`" + name.replace("`", "``") + "`" for name in names]
+
+
+def with_output(docs: DataFrame, out: dict) -> list:
+    """The columns of ``docs`` plus those of ``out``, which replace columns of their names."""
+    new = {name.lower() for name in out}
+    return [*quoted(*(c for c in docs.columns if c.lower() not in new)), *(column.alias(name) for name, column in out.items())]
+
+
+def whole_groups(frames, keys: list[str]):
+    """Frames that hold whole groups only, from frames in which each group's rows are adjacent.
+
+    No more than the open group and one frame is held.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        own = [frame[k].to_numpy() for k in keys]
+        other = np.logical_or.reduce([c != c[-1] for c in own])
+        last = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0  # where the last group begins
+        if held and (last or any(c[0] != held[-1][k].iat[0] for c, k in zip(own, keys, strict=True))):
+            if not last:
+                yield _joined(held)
+                held = [frame]
+                continue
+            held.append(frame.iloc[:last])
+            yield _joined(held)
+            held = [frame.iloc[last:]]
+        else:
+            if last:
+                yield frame.iloc[:last]
+            held.append(frame.iloc[last:])
+    if held:
+        yield _joined(held)
+
+
+def _joined(frames: list[pd.DataFrame]) -> pd.DataFrame:
+    return (frames[0] if len(frames) == 1 else pd.concat(frames)).reset_index(drop=True)
+
+
+def in_slices(rows, columns: list[str], size, most: int = 1 << 22):
+    """Frames of about ``most`` bytes out of tuples; ``size`` gives the bytes of one."""
+    held, so_far = [], 0
+    for row in rows:
+        held.append(row)
+        so_far += size(row)
+        if so_far >= most:
+            yield pd.DataFrame(held, columns=columns)
+            held, so_far = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
 
 
 def n_words(text) -> F.col:

@@ -7,11 +7,18 @@ non-overlapping common runs, longest first, by running Karp-Rabin matching; the
 share of an item's words that some tile covers is its coverage, whatever the
 order of the passages in the document.
 
-The benchmark goes out in blocks of at most ``max_words`` words, so what is
-broadcast is bounded whatever its size; documents are never shuffled.
-
-Null or empty documents and items match nothing.  Repeated items each count.
-Texts of any length are whole.  Other columns pass unread.
+Items are cut into seeds by a Spark job.  One scan of the documents keeps those
+that hold a seed, by a bit table of 2 ** ``filter_bits`` bits (8 MB by default,
+whatever the size of the benchmark; a fuller table only lets more through), and a
+join on the seed gives the pairs to tile.  Documents of equal text are tiled
+once.  Neither benchmark nor documents pass through the driver.
+
+Null or empty documents and items match nothing.  Items that repeat id and text
+count once; an id with several texts has an entry for each that matches.  Tiles
+of one length are marked in the order of their places in the document, then in
+the item.  Rows that repeat have one result each.  Texts of any length are
+whole.  Empty tables give no overlap.  Other columns, of whatever name, pass
+through; a column of the name ``out`` is replaced.
 """
 
 from __future__ import annotations
@@ -21,10 +28,10 @@ import string
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash
+from .common import RangeHash, free_names, in_slices, materialise, quoted, with_output
 
 _PLAIN = bytes(32 if chr(c) in string.punctuation else c for c in range(256))
 MATCHES = "array<struct<item: string, coverage: double, tiles: array<struct<doc_start: int, item_start: int, length: int>>>>"
@@ -88,70 +95,128 @@ def tile(pattern: list[int], text: list[int], least: int) -> list[tuple[int, int
     return tiles
 
 
-def find_overlaps(docs: DataFrame, items: DataFrame, threshold: float = 0.5, seed_words: int = 5, max_words: int = 2_000_000, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "overlaps") -> DataFrame:
-    """``docs`` plus ``out``: the items whose coverage reaches ``threshold``, with their tiles."""
-    spark = docs.sparkSession
-    slim = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("text IS NOT NULL")
-    total = slim.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    blocks = -(-total // max_words)
-    result = docs.withColumn(out, F.expr(f"CAST(array() AS {MATCHES})"))
-    for k in range(blocks):
-        block = [(r["item"], words_of(r["text"])) for r in slim.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()]
-        held = spark.sparkContext.broadcast(Items([x for x in block if len(x[1])], seed_words))
-
-        result = result.withColumn(out, F.concat(out, _compare(held, threshold)(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
-    return result
-
-
-def _compare(held, threshold: float):
-    @F.pandas_udf(MATCHES)
-    def compare(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: held.value.matches(words_of(t), threshold))
-
-    return compare
-
-
-class Items:
-    """Benchmark items with the seeds that lead to them."""
-
-    def __init__(self, items: list[tuple[str, np.ndarray]], seed_words: int):
-        self.items, self.seed_words, self.seeds = items, seed_words, {}
-        for least in sorted({min(seed_words, len(w)) for _, w in items}):
-            own = [(k, RangeHash(w, 31).all(least)) for k, (_, w) in enumerate(items) if min(seed_words, len(w)) == least]
-            seed, item = np.concatenate([h for _, h in own]), np.concatenate([np.full(len(h), k) for k, h in own])
-            order = np.argsort(seed, kind="stable")
-            first = np.zeros(1 << 20, bool)
-            first[seed >> np.uint64(44)] = True
-            self.seeds[least] = seed[order], item[order], first
-
-    def matches(self, words: np.ndarray, threshold: float) -> list[dict]:
-        hits: dict[int, list[int]] = {}
-        for least, (seed, item, first) in self.seeds.items():
-            if len(words) < least:
-                continue
-            h = RangeHash(words, 31).all(least)
-            at = np.flatnonzero(first[h >> np.uint64(44)])
-            low, high = np.searchsorted(seed, h[at], "left"), np.searchsorted(seed, h[at], "right")
-            for place, a, b in zip(at[low < high], low[low < high], high[low < high], strict=True):
-                for k in item[a:b]:
-                    hits.setdefault(int(k), []).append(int(place))
-        out = []
-        for k in sorted(hits):
-            name, pattern = self.items[k]
-            least = min(self.seed_words, len(pattern))
-            # every common run of ``least`` words holds a seed: only words near hits can be tiled
-            near = np.zeros(len(words) + 1, np.int32)
-            places = np.unique(hits[k])
-            np.add.at(near, places, 1)
-            np.add.at(near, places + least, -1)
-            near = np.flatnonzero(np.cumsum(near)[:-1] > 0)
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(*quoted(text_col)).cast("string"), F.lit(""))
+
+
+def _keys(text_col: str) -> list[Column]:
+    """Two independent hashes that stand for a text."""
+    return [F.xxhash64(_text(text_col)), F.xxhash64(F.lit(1), _text(text_col))]
+
+
+def seeded(items: DataFrame, seed_words: int, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(item_key, item, n_words, width, words, seeds): distinct items with their word hashes and seeds (seed, times)."""
+
+    def each(pdf):
+        for key, item, text in zip(pdf["item_key"], pdf["item"], pdf["text"], strict=True):
+            words = words_of(text)
+            if len(words):
+                width = min(seed_words, len(words))
+                seeds, times = np.unique(RangeHash(words, 31).all(width).view(np.int64), return_counts=True)
+                yield key, item, len(words), width, words.tobytes(), [{"seed": int(s), "times": int(n)} for s, n in zip(seeds, times, strict=True)]
+
+    def run(frames):
+        for pdf in frames:
+            yield from in_slices(each(pdf), ["item_key", "item", "n_words", "width", "words", "seeds"], lambda row: 50 * len(row[5]))
+
+    slim = items.select(F.col(*quoted(item_id)).cast("string").alias("item"), F.col(*quoted(item_text)).cast("string").alias("text")).where("text IS NOT NULL").distinct()
+    return slim.select(F.xxhash64("item", "text").alias("item_key"), "item", "text").mapInPandas(run, "item_key long, item string, n_words int, width int, words binary, seeds array<struct<seed: long, times: int>>")
+
+
+def _bit_table(seeds: DataFrame, bits: int) -> np.ndarray:
+    """A table with two bits set for each seed, by its first and its next ``bits`` bits; at most 2 ** bits / 64 rows reach the driver."""
+    place = F.explode(F.array(F.shiftrightunsigned("seed", 64 - bits), F.shiftrightunsigned(F.shiftleft("seed", bits), 64 - bits))).alias("place")
+    rows = seeds.select(place).select(F.shiftright("place", 6).alias("slot"), (F.col("place") % 64).cast("int").alias("bit")).groupBy("slot").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toPandas()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[rows["slot"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return table
+
+
+def _in_table(table: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    """Places of the hashes with both bits set."""
+    at = np.arange(len(h))
+    for shifted in (0, bits):
+        place = h[at] << np.uint64(shifted) >> np.uint64(64 - bits)
+        at = at[(table[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)]
+    return at
+
+
+def _scan(docs: DataFrame, text_col: str, seeds: DataFrame, widths: list[int], bits: int) -> DataFrame:
+    """(key1, key2, seeds, words, origins) of each text with a seed: its seeds, and the words around them with their places."""
+    held = docs.sparkSession.sparkContext.broadcast(_bit_table(seeds, bits))
+
+    def each(pdf, table):
+        for key1, key2, text in zip(pdf["key1"], pdf["key2"], pdf["text"], strict=True):
+            words = words_of(text)
+            near, found = np.zeros(len(words) + 1, np.int32), []
+            for width in widths:
+                if len(words) < width:
+                    continue
+                h = RangeHash(words, 31).all(width)
+                at = _in_table(table, h, bits)
+                near[at] += 1
+                near[at + width] -= 1
+                found.append(h[at])
+            if any(len(x) for x in found):
+                origins = np.flatnonzero(np.cumsum(near)[:-1] > 0)
+                yield key1, key2, np.unique(np.concatenate(found)).view(np.int64), words[origins].tobytes(), origins.astype(np.int32).tobytes()
+
+    def run(frames):
+        for pdf in frames:
+            yield from in_slices(each(pdf, held.value), ["key1", "key2", "seeds", "words", "origins"], lambda row: 20 * len(row[2]) + len(row[3]))
+
+    slim = docs.select(*[k.alias(n) for k, n in zip(_keys(text_col), ("key1", "key2"), strict=True)], _text(text_col).alias("text"))
+    found = slim.mapInPandas(run, "key1 long, key2 long, seeds array<long>, words binary, origins binary")
+    return found.groupBy("key1", "key2").agg(*[F.first(c).alias(c) for c in ("seeds", "words", "origins")])
+
+
+def _tiled(pairs: DataFrame, seed_words: int) -> DataFrame:
+    """(key1, key2, item, coverage, tiles) of pairs with the words of both sides."""
+
+    def each(pdf):
+        for key1, key2, item, pattern, words, origins in zip(*(pdf[c] for c in ("key1", "key2", "item", "item_words", "words", "origins")), strict=True):
+            pattern, words, origins = np.frombuffer(pattern, np.uint64).tolist(), np.frombuffer(words, np.uint64).tolist(), np.frombuffer(origins, np.int32).tolist()
             text, origin = [], []
-            for j, place in enumerate(near):
-                if j and place != near[j - 1] + 1:
+            for k, place in enumerate(origins):
+                if k and place != origins[k - 1] + 1:
                     text.append(-1), origin.append(-1)  # no word equals this one
-                text.append(int(words[place])), origin.append(int(place))
-            tiles = tile([int(w) for w in pattern], text, least)
-            coverage = sum(n for _, _, n in tiles) / len(pattern)
-            if coverage >= threshold:
-                out.append({"item": name, "coverage": coverage, "tiles": [{"doc_start": origin[t], "item_start": p, "length": n} for t, p, n in tiles]})
-        return out
+                text.append(words[k]), origin.append(place)
+            tiles = tile(pattern, text, min(seed_words, len(pattern)))
+            yield key1, key2, item, sum(n for _, _, n in tiles) / len(pattern), [{"doc_start": origin[t], "item_start": p, "length": n} for t, p, n in tiles]
+
+    def run(frames):
+        for pdf in frames:
+            yield from in_slices(each(pdf), ["key1", "key2", "item", "coverage", "tiles"], lambda row: 50 * len(row[4]) + 100)
+
+    return pairs.mapInPandas(run, "key1 long, key2 long, item string, coverage double, tiles array<struct<doc_start: int, item_start: int, length: int>>")
+
+
+def overlapping_texts(docs: DataFrame, items: DataFrame, threshold: float = 0.5, seed_words: int = 5, filter_bits: int = 26, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(key1, key2, matches): the texts, by two hashes, of which some item's coverage reaches ``threshold``."""
+    known = materialise(seeded(items, seed_words, item_id, item_text), "items")
+    seeds = known.select("item_key", "n_words", "width", F.explode("seeds").alias("s")).select("item_key", "n_words", "width", "s.seed", "s.times")
+    widths = sorted(r["width"] for r in known.select("width").distinct().collect())  # seed_words values at most
+    held = materialise(_scan(docs, text_col, seeds, widths, filter_bits), "seeded")
+    # a tile of n words has n - width + 1 seeds, n / width at least: fewer can't reach the threshold
+    pairs = held.select("key1", "key2", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("key1", "key2", "item_key").agg(F.sum("times").alias("n"), F.first("n_words").alias("n_words"), F.first("width").alias("width"))
+    pairs = pairs.where(F.col("n") * F.col("width") >= threshold * F.col("n_words") - 1e-9).select("key1", "key2", "item_key")
+    pairs = pairs.join(held.drop("seeds"), ["key1", "key2"]).join(known.select("item_key", "item", F.col("words").alias("item_words")), "item_key")
+    found = _tiled(pairs, seed_words).where(F.col("coverage") >= threshold)
+    return materialise(found.groupBy("key1", "key2").agg(F.array_sort(F.collect_list(F.struct("item", "coverage", "tiles"))).alias("matches")), "overlaps")
+
+
+def find_overlaps(docs: DataFrame, items: DataFrame, text_col: str = "text", out: str = "overlaps", **options) -> DataFrame:
+    """``docs`` plus ``out``: the items whose coverage reaches the threshold, with their tiles."""
+    key1, key2, matches = free_names(docs, "key1", "key2", "matches")
+    found = overlapping_texts(docs, items, text_col=text_col, **options).toDF(key1, key2, matches)
+    keyed = docs.withColumns(dict(zip((key1, key2), _keys(text_col), strict=True)))
+    joined = keyed.join(found, [key1, key2], "left")
+    return joined.select(*with_output(docs, {out: F.coalesce(F.col(matches), F.expr(f"CAST(array() AS {MATCHES})"))}))
+
+
+def without_overlaps(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` of which no item's coverage reaches the threshold."""
+    key1, key2 = free_names(docs, "key1", "key2")
+    found = overlapping_texts(docs, items, text_col=text_col, **options).select(F.col("key1").alias(key1), F.col("key2").alias(key2))
+    keyed = docs.withColumns(dict(zip((key1, key2), _keys(text_col), strict=True)))
+    return keyed.join(found, [key1, key2], "left_anti").select(*quoted(*docs.columns))

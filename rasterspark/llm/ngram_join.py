@@ -14,8 +14,10 @@ All comparing runs in blocks of at most two chunks of a group (``in_chunks``):
 no pair leaves its block, only counts and a spanning forest do.
 
 Null or empty text: no shingle, no link.  Null id: sorts after all others and
-stays null.  Repeated rows are rows of one class and link with each other.
-Texts of any length are whole.  Other columns are not read.
+stays null.  Repeated rows are rows of one class and link with each other.  Of
+rows with one id the text decides which comes first.  Texts of any length are
+whole.  An empty table gives no rows.  Other columns, of whatever name, are not
+read.
 """
 
 from __future__ import annotations
@@ -28,9 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, RangeHash, materialise, random_table
-from .links import by_block, components, in_chunks, local_forest
-from .repeats import id_of, packed, rows_of, tie_of, unpack, word_units
+from .common import NO_ID, RangeHash, free_names, in_slices, materialise, quoted, random_table, whole_groups
+from .links import by_block, components, in_chunks, local_forest, with_figures
+from .repeats import id_of, packed, repeats_ids, rows_of, tie_of, unpack, word_units
 
 BANDS, BAND_ROWS = 24, 4
 HASHES = BANDS * BAND_ROWS
@@ -64,18 +66,19 @@ def minhashes(found: np.ndarray) -> np.ndarray:
 def sign(rows: DataFrame, gram: int) -> DataFrame:
     """(id, tie, node, signature, bands) of every row; a signature has one byte per MinHash value."""
 
+    def signed(pdf):
+        for i, tie, text in zip(pdf["id"], pdf["tie"], pdf["text"], strict=True):
+            found = shingles(text.encode(), gram)
+            if not len(found):
+                yield i, tie, 0, b"", []
+                continue
+            low = minhashes(found)
+            band = RangeHash(low, 43)(np.arange(0, HASHES, BAND_ROWS), np.arange(BAND_ROWS, HASHES + 1, BAND_ROWS)) + np.arange(BANDS, dtype=np.uint64)
+            yield i, tie, node_of(found), (low >> np.uint64(13)).astype(np.uint8).tobytes(), band.view(np.int64)
+
     def run(frames):
         for pdf in frames:
-            out = []
-            for i, tie, text in zip(pdf["id"], pdf["tie"], pdf["text"], strict=True):
-                found = shingles(text.encode(), gram)
-                if not len(found):
-                    out.append((i, tie, 0, b"", []))
-                    continue
-                low = minhashes(found)
-                band = RangeHash(low, 43)(np.arange(0, HASHES, BAND_ROWS), np.arange(BAND_ROWS, HASHES + 1, BAND_ROWS)) + np.arange(BANDS, dtype=np.uint64)
-                out.append((i, tie, node_of(found), (low >> np.uint64(13)).astype(np.uint8).tobytes(), band.view(np.int64)))
-            yield pd.DataFrame(out, columns=["id", "tie", "node", "signature", "bands"])
+            yield from in_slices(signed(pdf), ["id", "tie", "node", "signature", "bands"], lambda row: 1000)
 
     return rows.mapInPandas(run, SIGNED)
 
@@ -153,56 +156,72 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, gram: int = 5, toleran
     classes = materialise(signed.where("node <> 0").groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct("id", "tie")).alias("row"), F.first("signature").alias("signature"), F.first("bands").alias("bands")), "classes")
     signatures = classes.select("node", "signature")
 
+    def pairs(block):
+        sig = np.stack([np.frombuffer(x, np.uint8) for x in block["signature"]])
+        a, b = np.flatnonzero(block["side"] != 1), np.flatnonzero(block["side"] != 0)
+        i, j = prune(sig[a], sig[b], rule, bool((block["side"] == 2).all()))
+        return a, b, i, j
+
     def candidates(frames):
-        for block in by_block(frames, ["band", "left", "right"]):
-            node, sig = block["node"].to_numpy(), np.stack([np.frombuffer(x, np.uint8) for x in block["signature"]])
-            a, b = np.flatnonzero(block["side"] != 1), np.flatnonzero(block["side"] != 0)
-            i, j = prune(sig[a], sig[b], rule, bool((block["side"] == 2).all()))
-            low = local_forest(len(node), a[i], b[j])
-            far = np.flatnonzero(low != np.arange(len(node)))
-            if len(far):
-                yield pd.DataFrame({"a": node[low[far]], "b": node[far]})
-
-    members = in_chunks(classes.select(F.explode("bands").alias("band"), "node"), "band", "node", chunk).join(signatures, "node")
-    edges = members.repartition("band", "left", "right").mapInPandas(candidates, "a long, b long")
+        for group in whole_groups(frames, ["band", "left", "right"]):
+            ends, nodes = [], []
+            for _, block in group.groupby(["band", "left", "right"], sort=False):
+                node = block["node"].to_numpy()
+                a, b, i, j = pairs(block)
+                low = local_forest(len(node), a[i], b[j])
+                far = np.flatnonzero(low != np.arange(len(node)))
+                ends.append(node[low[far]]), nodes.append(node[far])
+            yield pd.DataFrame({"a": np.concatenate(ends), "b": np.concatenate(nodes)})
+
+    members, tasks = in_chunks(classes.select(F.explode("bands").alias("band"), "node"), "band", "node", chunk)
+    members = members.join(signatures, "node").select("band", "left", "right", "side", "node", "signature")
+    edges = by_block(members, ["band", "left", "right"], tasks).mapInPandas(candidates, "a long, b long")
     clusters = components(edges).select(F.col("id").alias("node"), F.col("component").alias("cluster"))
 
     def compare(frames):
-        for block in by_block(frames, ["cluster", "left", "right"]):
-            sets = [shingles(unpack(z), gram) for z in block["packed"]]
-            node, sig = block["node"].to_numpy(), np.stack([np.frombuffer(x, np.uint8) for x in block["signature"]])
-            a, b = np.flatnonzero(block["side"] != 1), np.flatnonzero(block["side"] != 0)
-            i, j = prune(sig[a], sig[b], rule, bool((block["side"] == 2).all()))
-            linked = verify([sets[k] for k in a], [sets[k] for k in b], i, j, threshold)
-            i, j = a[i[linked]], b[j[linked]]
-            copies = block["copies"].to_numpy()
-            n = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
-            low = local_forest(len(node), i, j)
-            some = np.flatnonzero(n > 0)
-            if len(some):
-                yield pd.DataFrame({"a": node[low[some]], "b": node[some], "n": n[some].astype(np.int64)})
-
-    whole = classes.select("node", "row.id", "row.tie", "copies", "signature").join(clusters, "node")
-    blocks = in_chunks(whole.select("cluster", "node", "id", "tie", "copies", "signature"), "cluster", "node", 512)
-    texts = packed(rows).groupBy("id", "tie").agg(F.first("packed").alias("packed"))  # an id may have many texts, and a text many rows
-    blocks = blocks.join(texts, ["id", "tie"])
-    found = materialise(blocks.repartition("cluster", "left", "right").mapInPandas(compare, "a long, b long, n long"), "links")
+        for group in whole_groups(frames, ["cluster", "left", "right"]):
+            for _, block in group.groupby(["cluster", "left", "right"], sort=False):
+                a, b, i, j = pairs(block)
+                used = np.union1d(a[i], b[j])
+                sets = dict(zip(used.tolist(), (shingles(unpack(block["packed"].iat[k]), gram) for k in used), strict=True))
+                none = np.zeros(0, np.uint64)
+                linked = verify([sets.get(k, none) for k in a.tolist()], [sets.get(k, none) for k in b.tolist()], i, j, threshold)
+                i, j = a[i[linked]], b[j[linked]]
+                node, copies = block["node"].to_numpy(), block["copies"].to_numpy()
+                n = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
+                low = local_forest(len(node), i, j)
+                some = np.flatnonzero(n > 0)
+                if len(some):
+                    yield pd.DataFrame({"a": node[low[some]], "b": node[some], "n": n[some].astype(np.int64)})
+
+    whole = materialise(classes.select("node", "row.id", "row.tie", "copies", "signature").join(clusters, "node"), "clustered")
+    # only texts of clustered classes are packed and moved; an id may have many texts, and a text many rows
+    texts = packed(rows.join(whole.select("id", "tie"), ["id", "tie"], "left_semi")).groupBy("id", "tie").agg(F.first("packed").alias("packed"))
+    blocks, tasks = in_chunks(whole.select("cluster", "node", "id", "tie", "copies", "signature"), "cluster", "node", 512, rows_a_task=2000)
+    blocks = by_block(blocks.join(texts, ["id", "tie"]), ["cluster", "left", "right"], tasks)
+    found = materialise(blocks.mapInPandas(compare, "a long, b long, n long"), "links", 512)
     linked = found.groupBy(F.col("b").alias("node")).agg(F.sum("n").alias("n"))
     groups = components(found.select("a", "b")).select(F.col("id").alias("node"), F.col("component").alias("group"))
     classes = classes.select("node", "copies", "row").join(linked, "node", "left").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
     least = classes.groupBy("group").agg(F.min("row").alias("least"))
-    classes = classes.join(least, "group").select("node", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = signed.select("id", "tie", "node").join(classes, "node", "left")
-    out = out.select("id", "tie", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("least", F.struct("id", "tie")).alias("least"))
+    classes = materialise(classes.join(least, "group").select("node", "copies", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "figures", 10_000)
+    alone = F.struct("id", "tie")
+    worded, bare = signed.select("id", "tie", "node").where("node <> 0"), signed.where("node = 0")
+    out = with_figures(worded, classes, "node", "copies", worded.count()).select("id", "tie", "n_links", "least")
+    out = out.unionByName(bare.select("id", "tie", F.lit(0).cast("long").alias("n_links"), alone.alias("least")))
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(known("id").alias(id_col), "n_links", known("least.id").alias("component_id"), (F.struct("id", "tie") == F.col("least")).alias("kept"), "tie")
+    return out.select(known("id").alias(id_col), "n_links", known("least.id").alias("component_id"), (alone == F.col("least")).alias("kept"), "tie")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of ``docs`` for each component of the join; rows without a shingle all stay."""
+    """One row of ``docs`` for each component of the join; of rows without a shingle, one for each id and text.
+
+    Columns of any name pass through.
+    """
+    ident, tie = free_names(docs, "row_id", "row_tie")
     kept = jaccard_join(docs, id_col=id_col, text_col=text_col, **options).where("kept")
-    kept = kept.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("_id"), F.col("tie").alias("_tie")).distinct()
-    keyed = docs.withColumns({"_id": id_of(id_col), "_tie": tie_of(docs, id_col, text_col)})
-    if bool(docs.groupBy(id_col).count().where("count > 1").limit(1).count()):
-        keyed = keyed.dropDuplicates(["_id", "_tie"])
-    return keyed.join(kept, ["_id", "_tie"], "left_semi").select(*docs.columns)
+    kept = kept.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias(ident), F.col("tie").alias(tie)).distinct()
+    keyed = docs.withColumns({ident: id_of(id_col), tie: tie_of(docs, id_col, text_col)})
+    if repeats_ids(docs, id_col):
+        keyed = keyed.dropDuplicates([ident, tie])
+    return keyed.join(kept, [ident, tie], "left_semi").select(*quoted(*docs.columns))

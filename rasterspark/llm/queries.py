@@ -78,7 +78,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+    kept = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"), wanted=("kept_words",))
     return kept.select("doc_id", "n_words", _covered("removed").alias("n_removed"), F.sha2("kept_words", 256).alias("kept_sha256"))
 
 

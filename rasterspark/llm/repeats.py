@@ -10,8 +10,9 @@ windows have equal keys, so
   window, by the operator's own method.
 
 Documents are ordered by (id, tie): ``tie`` tells apart different texts under
-one id.  Segments of equal content in one map partition are merged before the
-shuffle, so a passage that every document holds costs a row per partition.
+one id.  Segments of equal content near each other in one map partition are
+merged before the shuffle, so a passage that every document holds costs a row
+per half a million segments.
 """
 
 from __future__ import annotations
@@ -23,13 +24,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, RangeHash, mix64, random_table, segments
+from .common import NO_ID, RangeHash, in_slices, mix64, quoted, random_table, segments, whole_groups
 
 DOC = "id long, tie long, packed binary"
 #: place: start << 32 | n << 1 | repeats.  route: the key, or a spread-out hash for copies.
-SEGMENT = "route long, content long, id long, tie long, place long, copy boolean"
+#: first_*: for copies, the row of equal content that comes first.
+SEGMENT = "route long, content long, id long, tie long, place long, copy boolean, first_id long, first_tie long, first_place long"
+MARKED = f"{SEGMENT}, open boolean"
 SPAN = "id long, tie long, start int, n int"
-WINDOW = "route long, other long, id long, tie long, start int, copy boolean"
+#: A window of a document by two hashes, and where the first of its kind starts.
+WINDOW = "route long, other long, id long, tie long, start int, copy boolean, first_id long, first_tie long, first_start int"
 
 
 def byte_units(text: bytes) -> np.ndarray:
@@ -47,18 +51,22 @@ def word_units(text: bytes) -> np.ndarray:
 UNITS = {"byte": byte_units, "word": word_units}
 
 
+def repeats_ids(docs: DataFrame, id_col: str) -> bool:
+    """Whether an id (or null) has several rows."""
+    return bool(docs.select(id_of(id_col).alias("id")).groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
+
+
 def tie_of(docs: DataFrame, id_col: str, text_col: str) -> Column:
     """Tells texts under one id apart: a hash of the text, or 0 where no id has several rows."""
-    tied = bool(docs.groupBy(id_col).count().where("count > 1").limit(1).count())
-    return F.xxhash64(text_of(text_col)) if tied else F.lit(0).cast("long")
+    return F.xxhash64(text_of(text_col)) if repeats_ids(docs, id_col) else F.lit(0).cast("long")
 
 
 def text_of(text_col: str) -> Column:
-    return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.coalesce(F.col(*quoted(text_col)).cast("string"), F.lit(""))
 
 
 def id_of(id_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    return F.coalesce(F.col(*quoted(id_col)).cast("long"), F.lit(NO_ID))
 
 
 def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -103,8 +111,23 @@ def routed(first: np.ndarray, copy: np.ndarray, seed: int) -> np.ndarray:
     return np.where(copy, anywhere, first).view(np.int64)
 
 
-def cut(rows: DataFrame, unit: str, window: int, gram: int, batch: int = 1 << 18) -> DataFrame:
-    """Segments of all documents; later copies within a map partition are marked ``copy``."""
+def cut(docs: DataFrame, unit: str, window: int, gram: int, batch: int = 1 << 18, merge: int = 1 << 19) -> DataFrame:
+    """Segments of all packed documents; later copies among about ``merge`` segments in a row are marked ``copy``."""
+
+    def merged(parts):
+        columns = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        order, copy, _ = copies_of(columns)
+        key, content, ident, tie, place = (c[order] for c in columns)
+        first = np.flatnonzero(~copy)[np.cumsum(~copy) - 1]
+        source = [np.where(copy, c[first], 0) for c in (ident, tie, place)]
+        route = routed(key, copy, int(ident[0]))
+        for at in range(0, len(order), 100_000):
+            w = slice(at, at + 100_000)
+            yield pd.DataFrame({
+                "route": route[w], "content": content[w].view(np.int64), "id": ident[w], "tie": tie[w], "place": place[w], "copy": copy[w],
+                "first_id": source[0][w], "first_tie": source[1][w], "first_place": source[2][w],
+            })
 
     def run(frames):
         units, parts, held = UNITS[unit], [], []
@@ -118,48 +141,63 @@ def cut(rows: DataFrame, unit: str, window: int, gram: int, batch: int = 1 << 18
                 place = start.astype(np.int64) << 32 | n.astype(np.int64) << 1 | repeats
                 parts.append((key, content, np.array(ids, np.int64)[d], np.array(ties, np.int64)[d], place))
                 held.clear(), ids.clear(), ties.clear()
+            return sum(len(p[0]) for p in parts)
 
         size = 0
         for pdf in frames:
-            for i, tie, text in zip(pdf["id"], pdf["tie"], pdf["text"], strict=True):
-                raw = text.encode()
-                u = units(raw)
+            for i, tie, z in zip(pdf["id"], pdf["tie"], pdf["packed"], strict=True):
+                u = units(unpack(z))
                 if len(u) >= window:
                     held.append(u), ids.append(i), ties.append(tie)
                     size += len(u)
                     if size >= batch:
-                        flush()
                         size = 0
-        flush()
-        if not parts:
-            return
-        columns = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-        parts.clear()
-        order, copy, _ = copies_of(columns)
-        key, content, ident, tie, place = (c[order] for c in columns)
-        route = routed(key, copy, int(ident[0]))
-        for at in range(0, len(order), 200_000):
-            w = slice(at, at + 200_000)
-            yield pd.DataFrame({"route": route[w], "content": content[w].view(np.int64), "id": ident[w], "tie": tie[w], "place": place[w], "copy": copy[w]})
-
-    return rows.mapInPandas(run, SEGMENT)
-
-
-def sort_out(frames):
-    """All segments of some keys: marks further copies, and in ``open`` the firsts that need comparing by window."""
-    frames = [f for f in frames if len(f)]
-    if not frames:
-        return
-    pdf = pd.concat(frames, ignore_index=True)
-    known = pdf[pdf["copy"]]
-    yield known.assign(open=False)
-    pdf = pdf[~pdf["copy"]]
-    order, copy, new = copies_of(tuple(pdf[c].to_numpy() for c in ("route", "content", "id", "tie", "place")))
-    pdf = pdf.iloc[order]
-    owner = np.cumsum(new) - 1
-    contents = np.bincount(owner[~copy], minlength=len(order)) if len(order) else np.zeros(0, int)
-    repeats = (pdf["place"].to_numpy() & 1).astype(bool)
-    yield pdf.assign(copy=copy, open=~copy & ((contents[owner] > 1) | repeats))
+                        if flush() >= merge:
+                            yield from merged(parts)
+        if flush():
+            yield from merged(parts)
+
+    return docs.mapInPandas(run, SEGMENT)
+
+
+def marked(cut_: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Segments with further copies marked, and in ``open`` the firsts that need comparing by window."""
+    dealt = cut_.repartition(tasks, "route") if tasks else cut_.repartition("route")
+    return dealt.sortWithinPartitions("route", "content", "id", "tie", "place").mapInPandas(_mark, MARKED)
+
+
+def _mark(frames):
+    """Works through sorted segments; holds those of one content and one frame at most."""
+    held, before = None, None
+    for pdf in whole_groups(frames, ["route", "content"]):
+        known = pdf["copy"].to_numpy()
+        if known.any():
+            yield pdf[known].assign(open=False)
+        rest = pdf[~known]
+        if len(rest):
+            if held is not None:
+                yield _judged(held, before, rest["route"].iat[0])
+                before = held["route"].iat[-1]
+            held = rest
+    if held is not None:
+        yield _judged(held, before, None)
+
+
+def _judged(pdf: pd.DataFrame, before, after) -> pd.DataFrame:
+    """``before`` and ``after`` are the routes that the segments around these have."""
+    route, ident, tie, place = (pdf[c].to_numpy() for c in ("route", "id", "tie", "place"))
+    same, repeated, of = _as_before(pdf, ("route", "content"), ("id", "tie", "place"))
+    first = np.flatnonzero(~same)
+    own = route[first]
+    shared = np.zeros(len(first), bool)  # another content has the route
+    shared[1:] |= own[1:] == own[:-1]
+    shared[:-1] |= own[1:] == own[:-1]
+    shared[0] |= before is not None and own[0] == before
+    shared[-1] |= after is not None and own[-1] == after
+    open_ = np.zeros(len(pdf), bool)
+    open_[first] = shared | (place[first] & 1).astype(bool)
+    out = pdf.assign(copy=same, open=open_, first_id=np.where(same, ident[of], 0), first_tie=np.where(same, tie[of], 0), first_place=np.where(same, place[of], 0))
+    return out[~repeated]
 
 
 def start_n(df: DataFrame) -> DataFrame:
@@ -178,6 +216,61 @@ def window_hashes(units: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarra
     return RangeHash(units, 21).all(window).view(np.int64), RangeHash(units, 22).all(window).view(np.int64)
 
 
+def windows_of(fetched: DataFrame, unit: str, window: int, merge: int = 1 << 19) -> DataFrame:
+    """WINDOW rows of the wanted segments of fetched documents; later copies among about ``merge`` rows are marked."""
+
+    def merged(parts):
+        columns = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        order, copy, _ = copies_of(columns)
+        a, b, ident, tie, start = (c[order] for c in columns)
+        first = np.flatnonzero(~copy)[np.cumsum(~copy) - 1]
+        route = routed(a.view(np.uint64), copy, int(ident[0]))
+        for at in range(0, len(order), 100_000):
+            w = slice(at, at + 100_000)
+            yield pd.DataFrame({"route": route[w], "other": b[w], "id": ident[w], "tie": tie[w], "start": start[w], "copy": copy[w], "first_id": ident[first][w], "first_tie": tie[first][w], "first_start": start[first][w]})
+
+    def run(frames):
+        parts, n_rows = [], 0
+        for pdf in frames:
+            for i, tie, z, wanted in zip(pdf["id"], pdf["tie"], pdf["packed"], pdf["wanted"], strict=True):
+                a, b = window_hashes(UNITS[unit](unpack(z)), window)
+                starts = np.concatenate([np.arange(w["place"] >> 32, (w["place"] >> 32) + (w["place"] >> 1 & 0x7FFFFFFF)) for w in wanted])
+                parts.append((a[starts], b[starts], np.full(len(starts), i), np.full(len(starts), tie), starts))
+                n_rows += len(starts)
+                if n_rows >= merge:
+                    n_rows = 0
+                    yield from merged(parts)
+        if n_rows:
+            yield from merged(parts)
+
+    return fetched.mapInPandas(run, WINDOW)
+
+
+def later_windows(windows: DataFrame) -> DataFrame:
+    """Of WINDOW rows those of which an earlier place holds an equal one."""
+
+    def run(frames):
+        for pdf in whole_groups(frames, ["route", "other"]):
+            known = pdf["copy"].to_numpy()
+            if known.any():
+                yield pdf[known]
+            rest = pdf[~known]
+            if len(rest):
+                same, repeated, of = _as_before(rest, ("route", "other"), ("id", "tie", "start"))
+                out = rest.assign(copy=same, first_id=rest["id"].to_numpy()[of], first_tie=rest["tie"].to_numpy()[of], first_start=rest["start"].to_numpy()[of])
+                yield out[same & ~repeated]
+
+    return windows.repartition("route").sortWithinPartitions("route", "other", "id", "tie", "start").mapInPandas(run, WINDOW)
+
+
+def _as_before(pdf: pd.DataFrame, what: tuple, where: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sorted rows: equal to the row before in ``what``; also in ``where``; place of the first row of that ``what``."""
+    as_last = lambda names: np.logical_and.reduce([np.r_[False, c[1:] == c[:-1]] for c in (pdf[n].to_numpy() for n in names)])
+    same = as_last(what)
+    return same, same & as_last(where), np.flatnonzero(~same)[np.cumsum(~same) - 1]
+
+
 def covered(spans, window: int, length: int) -> np.ndarray:
     """Mask of the units that the windows of some (start, n) cover."""
     steps = np.zeros(length + 1, np.int64)

@@ -7,11 +7,15 @@ with inclusion probability r - floor(r).  The flight phase of the cube method
 moves these probabilities along vectors that change neither the expected words
 nor the expected number of documents of the source, until each is 0 or 1; it
 runs in blocks, and the few that stay open in each block meet in the next
-round.  The last two of a source land on the nearest whole choice.
-
-Repeated rows (same id, source and size) are taken alike.  Null id or source is
-a value of its own; null text and empty text have size 0 and count as
-documents.  An empty table gives no rows.
+round.  The last two of a source land on the nearest whole choice, and a few
+exchanges mend the words that this leaves over.
+
+Repeated rows (same id, source and size) are taken alike, so a source of many
+of them may miss its target by as much as one such group holds.  Null id or
+source is a value of its own; null text and empty text have size 0 and count as
+documents.  Rows of equal size stand in the order of a hash of their ids.  Texts
+of any length count whole.  An empty table gives no rows.  Other columns, of
+whatever name, are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, n_words
+from .common import free_names, materialise, n_words, quoted, with_output
 
 UNIT = "id long, source string, size long, n_rows long, pick double"
 
@@ -46,8 +50,8 @@ def targets(sizes: list[tuple[str | None, int]], weights=(5, 2, 1), cap: float =
 def flight(picks: np.ndarray, rows: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
     """Move inclusion probabilities to 0 or 1, keeping sum(rows * p) and sum(rows * size * p).
 
-    Two may stay between; ``land`` decides those, and one other at most, with the
-    least error in size.
+    Two may stay between; ``land`` decides those with the least error in size,
+    and then mends what error is left (see ``mended``).
     """
     p, a, b = picks.tolist(), rows.astype(float).tolist(), (rows * sizes).astype(float).tolist()
     waiting = [k for k in range(len(p) - 1, -1, -1) if 0 < p[k] < 1]
@@ -82,29 +86,52 @@ def flight(picks: np.ndarray, rows: np.ndarray, sizes: np.ndarray, rng: np.rando
         error = lambda o: (abs(sum(b[k] * (c - p[k]) for k, c in zip(active, o, strict=True))), abs(sum(a[k] * (c - p[k]) for k, c in zip(active, o, strict=True))))
         for k, c in zip(active, min(options, key=error), strict=True):
             p[k] = float(c)
-        # what the landing leaves in size, the one choice of nearest size can make good
-        left = float(np.dot(b, np.array(p) - picks))
-        change = np.where(np.array(p) > 0, -1.0, 1.0) * b
-        best = int(np.argmin(np.abs(left + change)))
-        if abs(left + change[best]) < abs(left):
-            p[best] = 1.0 - p[best]
+        return mended(np.array(p), b, float(np.dot(b, picks)))
     return np.array(p)
 
 
+def mended(chosen: np.ndarray, words, total: float, most: int = 8) -> np.ndarray:
+    """Whole choices whose words come nearer to ``total``.
+
+    Each of at most ``most`` steps makes the one change that leaves the least
+    error: a row in or out, or one in for one out.  Ties go to the first.
+    """
+    p, b = chosen.copy(), np.asarray(words, float)
+    for _ in range(most):
+        left = float(np.dot(b, p)) - total
+        change = np.where(p > 0, -b, b)
+        best = int(np.argmin(np.abs(left + change)))
+        moves, error = [best], abs(left + change[best])
+        outside, inside = np.flatnonzero(p == 0), np.flatnonzero(p > 0)
+        if len(outside) and len(inside):
+            inside = inside[np.argsort(b[inside], kind="stable")]
+            wish = left + b[outside]  # what leaves in exchange should have this size
+            for near in (np.searchsorted(b[inside], wish) + d for d in (-1, 0)):
+                near = np.clip(near, 0, len(inside) - 1)
+                off = np.abs(wish - b[inside[near]])
+                k = int(np.argmin(off))
+                if off[k] < error:
+                    moves, error = [int(outside[k]), int(inside[near[k]])], float(off[k])
+        if error >= abs(left):
+            break
+        p[moves] = 1.0 - p[moves]
+    return p
+
+
 #: With more sources than this, rows meet their source's figures by a salted shuffle.
 MOST_BROADCAST, SALTS = 20_000, 64
 
 
-def _with_source(rows: DataFrame, figures: DataFrame, n_sources: int) -> DataFrame:
+def _with_source(rows: DataFrame, figures: DataFrame, broadcast: bool) -> DataFrame:
     """``rows`` with the figures of their source; one source may hold most rows."""
     same = rows["source"].eqNullSafe(figures["plan_source"])
-    if n_sources <= MOST_BROADCAST:
+    if broadcast:
         return rows.join(F.broadcast(figures), same).drop("plan_source")
     salted = figures.withColumn("plan_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.join(salted, same & (F.pmod(F.xxhash64("id"), F.lit(SALTS)) == salted["plan_salt"])).drop("plan_source", "plan_salt")
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, seed: int = 7, block: int = 4096, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, seed: int = 7, block: int = 4096, most_broadcast: int = MOST_BROADCAST, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """How often each document is taken.
 
     Returns (id, source, size, n_rows, source_size, target, copies), one row for
@@ -112,7 +139,8 @@ def mix(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, seed: int = 7, blo
     them.  The driver gets one row per source (sum and count).
     """
     spark = docs.sparkSession
-    units = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")).groupBy("id", "source", "size").agg(F.count("*").alias("n_rows"))
+    own_id, own_source, own_text = (F.col(c) for c in quoted(id_col, source_col, text_col))
+    units = docs.select(own_id.cast("long").alias("id"), own_source.cast("string").alias("source"), n_words(own_text).alias("size")).groupBy("id", "source", "size").agg(F.count("*").alias("n_rows"))
     units = materialise(units, "sizes")
     stats = [(r["source"], r["size"] or 0, r["n"]) for r in units.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("size"), F.count("*").alias("n")).collect()]
     target = targets([(s, n) for s, n, _ in stats], weights, cap) if stats else {}
@@ -122,7 +150,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, seed: int = 7, blo
         whole = math.floor(r + 1e-9)
         plan.append((s, size, target[s], whole, max(0.0, r - whole), n))
     of = spark.createDataFrame(plan, "plan_source string, source_size long, target double, whole int, part double, n long")
-    units = _with_source(units, of, len(plan))
+    units = _with_source(units, of, len(plan) <= most_broadcast)
 
     def fly(land_all: bool):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -137,7 +165,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, seed: int = 7, blo
     done, counts = None, {s: n for s, _, _, _, part, n in plan if part > 0}
     while counts:
         blocks = spark.createDataFrame([(s, math.ceil(n / block)) for s, n in counts.items()], "plan_source string, blocks int")
-        step = _with_source(open_.where("pick > 0 AND pick < 1"), blocks, len(counts))
+        step = _with_source(open_.where("pick > 0 AND pick < 1"), blocks, len(counts) <= most_broadcast)
         step = step.withColumn("mark", F.xxhash64("id", "size", F.lit(seed + len(counts))))
         step = step.withColumn("block", F.pmod("mark", F.col("blocks"))).select("id", "source", "size", "n_rows", "pick", "mark", "block", "blocks")
         flown = materialise(step.groupBy("source", "block").applyInPandas(fly(False), UNIT), "flight")
@@ -148,12 +176,16 @@ def mix(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, seed: int = 7, blo
     sure = units.where(F.col("part") <= 0).withColumn("pick", F.lit(0.0))
     keep = ["id", "source", "size", "n_rows", "pick"]
     done = sure.select(*keep) if done is None else done.select(*keep).unionByName(sure.select(*keep))
-    return _with_source(done, of, len(plan)).select("id", "source", "size", "n_rows", "source_size", "target", (F.col("whole") + F.col("pick").cast("int")).alias("copies"))
+    return _with_source(done, of, len(plan) <= most_broadcast).select("id", "source", "size", "n_rows", "source_size", "target", (F.col("whole") + F.col("pick").cast("int")).alias("copies"))
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", out: str = "copies", **options) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, and how often, in column ``out``."""
-    mixed = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options).where("copies > 0")
-    mixed = mixed.select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    same = docs[id_col].cast("long").eqNullSafe(mixed["_id"]) & docs[source_col].cast("string").eqNullSafe(mixed["_source"]) & (n_words(docs[text_col]) == mixed["_size"])
-    return docs.join(mixed, same).select(*docs.columns, F.col("_copies").alias(out))
+    """The rows of ``docs`` that the mix takes, and how often, in column ``out`` (in place of one of that name).
+
+    Columns of any other name pass through.
+    """
+    ident, source, size, copies = free_names(docs, "mix_id", "mix_source", "mix_size", "mix_copies")
+    mixed = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options).where("copies > 0").select("id", "source", "size", "copies").toDF(ident, source, size, copies)
+    own_id, own_source, own_text = (F.col(c) for c in quoted(id_col, source_col, text_col))
+    same = own_id.cast("long").eqNullSafe(F.col(ident)) & own_source.cast("string").eqNullSafe(F.col(source)) & (n_words(own_text) == F.col(size))
+    return docs.join(mixed, same).select(*with_output(docs, {out: F.col(copies)}))

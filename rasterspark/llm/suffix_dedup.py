@@ -8,11 +8,15 @@ in suffix order, and so its longest earlier match.
 A corpus has no single suffix array: windows are dealt out by their least gram
 (``repeats.cut``), so that equal windows meet in one bucket.  Segments of equal
 bytes are merged first and only their first copy stays; each bucket's distinct
-segments then get one suffix array, in document order.
+segments then get one suffix array, in document order.  A bucket of more than
+``crowded`` segments (a passage that many documents hold in surroundings of
+their own) would burden one task: its windows are dealt out once more, by two
+64-bit hashes of each whole window, and equal hashes count as equal windows.
 
 Null id: after all others.  Null or empty text: nothing to remove.  Texts of
 any length are whole.  Rows that repeat an id are told apart by text; rows that
-repeat both have one result each.  Other columns are not read.
+repeat both have one result each.  An empty table gives no rows.  Other columns,
+of whatever name, are not read.
 """
 
 from __future__ import annotations
@@ -22,8 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
-from .repeats import SPAN, covered, cut, fetch, packed, rows_of, runs_of, sort_out, start_n, unpack, with_spans
+from .common import NO_ID, in_slices, materialise, whole_groups
+from .repeats import SPAN, covered, cut, fetch, later_windows, marked, packed, rows_of, runs_of, start_n, unpack, windows_of, with_spans
 
 #: Bytes of the buckets that share a suffix array (a larger bucket has its own).
 TOGETHER = 1 << 17
@@ -107,65 +111,71 @@ def _split(pdf: pd.DataFrame, at: np.ndarray):
     return (pdf.iloc[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True))
 
 
-def repeated_windows(docs: DataFrame, packed_docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """SPAN rows: the windows (start, n in a row) of each document that also start earlier."""
-    parted = materialise(cut(docs, "byte", window, gram).repartition("route").mapInPandas(sort_out, "route long, content long, id long, tie long, place long, copy boolean, open boolean").where("copy OR open"), "segments")
+def repeated_windows(texts: DataFrame, window: int, gram: int, crowded: int) -> DataFrame:
+    """SPAN rows: the windows (start, n in a row) of each packed document that also start earlier."""
+    kept = marked(cut(texts, "byte", window, gram)).where("copy OR open").drop("first_id", "first_tie", "first_place")
+    parted = materialise(kept, "segments", 8192)
 
-    def texts(frames):
+    def parts(pdf):
+        for i, tie, z, wanted in zip(pdf["id"], pdf["tie"], pdf["packed"], pdf["wanted"], strict=True):
+            raw = unpack(z)
+            for w in wanted:
+                p = w["place"]
+                yield w["route"], i, tie, p, raw[p >> 32 : (p >> 32) + (p >> 1 & 0x7FFFFFFF) + window - 1]
+
+    def cut_out(frames):
         for pdf in frames:
-            out = []
-            for i, tie, z, wanted in zip(pdf["id"], pdf["tie"], pdf["packed"], pdf["wanted"], strict=True):
-                raw = unpack(z)
-                for w in wanted:
-                    p = w["place"]
-                    out.append((w["route"], i, tie, p, raw[p >> 32 : (p >> 32) + (p >> 1 & 0x7FFFFFFF) + window - 1]))
-            yield pd.DataFrame(out, columns=["route", "id", "tie", "place", "part"])
+            yield from in_slices(parts(pdf), ["route", "id", "tie", "place", "part"], lambda row: len(row[4]) + 100)
 
     def compare(frames):
-        frames = [f for f in frames if len(f)]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True).drop_duplicates(["id", "tie", "place"]).sort_values(["route", "id", "tie", "place"], ignore_index=True)
-        route, length = pdf["route"].to_numpy(), pdf["part"].str.len().to_numpy()
-        new = np.flatnonzero(np.r_[True, route[1:] != route[:-1]])
-        before = np.r_[0, np.cumsum(length)[new[1:] - 1]] // TOGETHER
-        for rows in _split(pdf, new[1:][before[1:] != before[:-1]]):  # whole buckets
-            text = np.frombuffer(PARTING.join(rows["part"]) + PARTING, np.uint8)
-            starts = np.r_[0, np.cumsum(rows["part"].str.len().to_numpy() + 1)[:-1]]
-            n = (rows["place"].to_numpy() >> 1) & 0x7FFFFFFF
-            before = np.cumsum(n) - n
-            places = np.repeat(starts - before, n) + np.arange(n.sum())  # the starts of whole windows
-            found = np.zeros(len(text), bool)
-            found[places] = longest_previous(text, window, places) >= window
-            spans = runs_of(found)
-            if len(spans):
-                at = np.searchsorted(starts, spans[:, 0], "right") - 1
-                yield pd.DataFrame({"id": rows["id"].to_numpy()[at], "tie": rows["tie"].to_numpy()[at], "start": (rows["place"].to_numpy()[at] >> 32) + spans[:, 0] - starts[at], "n": spans[:, 1] - spans[:, 0]})
-
-    open_ = fetch(packed_docs, parted.where("open")).mapInPandas(texts, "route long, id long, tie long, place long, part binary")
-    return start_n(parted.where("copy")).unionByName(open_.repartition("route").mapInPandas(compare, SPAN))
-
-
-def suffix_dedup(docs: DataFrame, window: int = 100, gram: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        for pdf in whole_groups(frames, ["route"]):
+            pdf = pdf.drop_duplicates(["route", "id", "tie", "place"], ignore_index=True)
+            route, length = pdf["route"].to_numpy(), pdf["part"].str.len().to_numpy()
+            new = np.flatnonzero(np.r_[True, route[1:] != route[:-1]])
+            before = np.r_[0, np.cumsum(length)[new[1:] - 1]] // TOGETHER
+            for rows in _split(pdf, new[1:][before[1:] != before[:-1]]):  # whole buckets
+                text = np.frombuffer(PARTING.join(rows["part"]) + PARTING, np.uint8)
+                starts = np.r_[0, np.cumsum(rows["part"].str.len().to_numpy() + 1)[:-1]]
+                n = (rows["place"].to_numpy() >> 1) & 0x7FFFFFFF
+                before_ = np.cumsum(n) - n
+                places = np.repeat(starts - before_, n) + np.arange(n.sum())  # the starts of whole windows
+                found = np.zeros(len(text), bool)
+                found[places] = longest_previous(text, window, places) >= window
+                spans = runs_of(found)
+                if len(spans):
+                    at = np.searchsorted(starts, spans[:, 0], "right") - 1
+                    yield pd.DataFrame({"id": rows["id"].to_numpy()[at], "tie": rows["tie"].to_numpy()[at], "start": (rows["place"].to_numpy()[at] >> 32) + spans[:, 0] - starts[at], "n": spans[:, 1] - spans[:, 0]})
+
+    open_ = parted.where("open").select("route", "id", "tie", "place")
+    crowds = materialise(open_.groupBy("route").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > crowded).select("route"), "crowds")
+    few = fetch(texts, open_.join(crowds, "route", "left_anti")).mapInPandas(cut_out, "route long, id long, tie long, place long, part binary")
+    few = few.repartition("route").sortWithinPartitions("route", "id", "tie", "place").mapInPandas(compare, SPAN)
+    found = start_n(parted.where("copy")).unionByName(few)
+    if crowds.limit(1).count():
+        many = later_windows(windows_of(fetch(texts, open_.join(crowds, "route", "left_semi")), "byte", window))
+        found = found.unionByName(many.select("id", "tie", "start", F.lit(1).alias("n")))
+    return found
+
+
+def suffix_dedup(docs: DataFrame, window: int = 100, gram: int = 32, crowded: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents without the bytes of later copies.
 
     Returns per row: the id column, ``kept`` (the remaining bytes, which may end
     inside a character), ``n_bytes``, and ``removed``, an array of [start, end)
     byte ranges.
     """
-    rows = rows_of(docs, id_col, text_col)
-    texts = packed(rows)
-    spans = materialise(repeated_windows(rows, texts, window, gram), "spans")
+    texts = materialise(packed(rows_of(docs, id_col, text_col)), "texts")
+    spans = materialise(repeated_windows(texts, window, gram, crowded), "spans", 8192)
+
+    def told(pdf):
+        for i, z, found in zip(pdf["id"], pdf["packed"], pdf["spans"], strict=True):
+            raw = unpack(z)
+            mask = covered(found, window, len(raw))
+            yield i, np.frombuffer(raw, np.uint8)[~mask].tobytes(), len(raw), [{"start": int(a), "end": int(b)} for a, b in runs_of(mask)]
 
     def keep(frames):
         for pdf in frames:
-            out = []
-            for i, z, found in zip(pdf["id"], pdf["packed"], pdf["spans"], strict=True):
-                raw = unpack(z)
-                mask = covered(found, window, len(raw))
-                kept = np.frombuffer(raw, np.uint8)[~mask].tobytes()
-                out.append((i, kept, len(raw), [{"start": int(a), "end": int(b)} for a, b in runs_of(mask)]))
-            yield pd.DataFrame(out, columns=["id", "kept", "n_bytes", "removed"])
+            yield from in_slices(told(pdf), ["id", "kept", "n_bytes", "removed"], lambda row: len(row[1]) + 100)
 
     result = with_spans(texts, spans).mapInPandas(keep, "id long, kept binary, n_bytes long, removed array<struct<start: long, end: long>>")
-    return result.select(F.when(F.col("id") != F.lit((1 << 63) - 1), F.col("id")).alias(id_col), "kept", "n_bytes", "removed")
+    return result.select(F.when(F.col("id") != F.lit(NO_ID), F.col("id")).alias(id_col), "kept", "n_bytes", "removed")

@@ -8,7 +8,9 @@ pre-tokens, as the tokenizer file says, and looking each up: a proven one counts
 
 Null or empty text: 0 tokens.  Texts of any length are whole; one map pass, no
 shuffle.  Strings of the file's special tokens inside a text count one token
-each, the library's default.  All other columns pass unread.
+each, the library's default.  Rows that repeat have one count each.  An empty
+table gives no rows.  Other columns, of whatever name, pass through; a column of
+the name ``out`` is replaced.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
+from .common import quoted, with_output
+
 #: A word end of this vocabulary.
 WORD_END = "</w>"
 
@@ -101,7 +105,7 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", out: str =
 
         return parts.map(one, na_action=None)
 
-    return docs.withColumn(out, count(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return docs.select(*with_output(docs, {out: count(F.coalesce(F.col(*quoted(text_col)).cast("string"), F.lit("")))}))
 
 
 _HELD: dict[str, _Counts] = {}
