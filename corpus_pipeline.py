@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterspark.llm import decontamination, language_id, ngram_join, source_mix, substring_dedup
-from rasterspark.llm.common import materialise
+from rasterspark.llm.common import free_names, materialise, quoted
 
 #: How many times as likely as each other language (all alike) the best guess must be at least.
 #: Of four languages that is a score of 0.3; very short clean texts reach 0.35 there.
@@ -20,8 +20,8 @@ LEAST_ODDS = 9 / 7
 
 
 def least_score(n_languages: int) -> float:
-    """The score at ``LEAST_ODDS``, above 1 / n_languages from two languages on; one language has nothing to compare with."""
-    return LEAST_ODDS / (LEAST_ODDS + n_languages - 1)
+    """The score at ``LEAST_ODDS``, 0.4 at most: with few languages only the share of known letters can tell a stranger."""
+    return min(0.4, LEAST_ODDS / (LEAST_ODDS + n_languages - 1))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language_id.fit(docs)
     if not model.languages:
         return docs.where(F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
-    told = model.predict(docs, lang_out="_lang_pred", score_out="_score")
-    return told.where((F.col("_lang_pred") != language_id.UNDETERMINED) & (F.col("_score") >= least_score(len(model.languages)))).select(*docs.columns)
+    lang, score = free_names(docs, "lang_pred", "score")
+    told = model.predict(docs, lang_out=lang, score_out=score)
+    return told.where((F.col(lang) != language_id.UNDETERMINED) & (F.col(score) >= least_score(len(model.languages)))).select(*quoted(*docs.columns))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose tiles cover half of a benchmark item or more."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontamination.find_overlaps(docs, items, out="_overlaps").where(F.size("_overlaps") == 0).select(*docs.columns)
+    return decontamination.without_overlaps(docs, items)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
