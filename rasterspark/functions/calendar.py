@@ -41,3 +41,14 @@ def date_issues(date: Column, season_: Column, hydro: Column, confidence: Column
         (F.coalesce((confidence < 0) | (confidence > 1), F.lit(True)), "confidence"),
     ]
     return F.filter(F.array(*[F.when(bad, name) for bad, name in checks]), lambda x: x.isNotNull())
+
+
+def temporal_columns(start: Column, end: Column, sensors: Column, confidence: Column | None = None, defaults=None, seasons=None) -> list[Column]:
+    """Temporal metadata of a patch: middle of its scene's period, year, month, season, hydrological year, sensors and defaults."""
+    middle = midpoint(start, end)
+    known = {"label_version": "1.0", "annotator": "unknown", "confidence": 1.0, "confidence_source": "manual"} | (defaults or {})
+    return [
+        middle.alias("acquisition_date"), F.year(middle).alias("year"), F.month(middle).alias("month"), season(F.month(middle), seasons).alias("season"), hydrological_year(middle).alias("hydrological_year"),
+        F.array_join(sensors, ",").alias("sensor"), F.lit(known["label_version"]).alias("label_version"), F.lit(known["annotator"]).alias("annotator"),
+        F.coalesce(confidence, F.lit(known["confidence"])).alias("confidence") if confidence is not None else F.lit(known["confidence"]).alias("confidence"), F.lit(known["confidence_source"]).alias("confidence_source"),
+    ]

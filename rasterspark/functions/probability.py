@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ZERO = F.lit
-
 
 def _sum(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + x)
@@ -35,3 +33,9 @@ def certainty(probs: Column) -> Column:
     entropy = -_sum(F.transform(probs, lambda p: F.least(F.greatest(p, F.lit(1e-10)), F.lit(1.0)) * F.ln(F.least(F.greatest(p, F.lit(1e-10)), F.lit(1.0)))))
     scale = F.when(F.size(probs) > 1, F.ln(F.size(probs).cast("double"))).otherwise(1.0)
     return F.least(F.greatest(1 - entropy / scale, F.lit(0.0)), F.lit(1.0))
+
+
+def confidence(probs: Column, strategy="max", **options) -> Column:
+    """Confidence by name (max or entropy), or by a function of the user's."""
+    known = {"max": largest, "entropy": certainty}
+    return (known[strategy] if isinstance(strategy, str) else strategy)(probs, **options)

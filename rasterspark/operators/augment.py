@@ -73,22 +73,50 @@ def weighted_draws(samples: DataFrame, n: int, weight: str = "weight", key: str
 
     Samples lie one after another on the line from 0 to 1; draws are seeded
     places on it.  The line is cut into slots of about ``per_slot`` draws, so
-    that no task orders all samples.  Weights of 0 or less, or null, are never drawn.
+    that no task orders all samples.  Weights count relative to the largest, in
+    doubles, whatever their scale; those of 0 or less, or null, are never drawn.
     """
-    units = samples.select(F.col(key).alias("_key"), F.col(weight).cast("decimal(28,12)").alias("_w")).where("_w > 0").withColumn("_bin", F.pmod(F.xxhash64("_key"), F.lit(4096)))
-    bins = units.groupBy("_bin").agg(F.sum("_w").alias("_in"))  # 4096 rows at most
-    bins = bins.select("_bin", (F.sum("_in").over(Window.orderBy("_bin")) - F.col("_in")).alias("_before"), F.sum("_in").over(Window.partitionBy()).cast("double").alias("_total"))
-    before = F.sum("_w").over(Window.partitionBy("_bin").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1))
-    line = units.join(bins, "_bin").withColumn("at", (F.col("_before") + F.coalesce(before, F.lit(0))).cast("double") / F.col("_total"))
+    known = samples.select(F.col(key).alias("_key"), F.col(weight).cast("double").alias("_w")).where("_w > 0")
+    most = known.agg(F.max("_w").alias("_most"))  # one row
+    units = known.crossJoin(F.broadcast(most)).select("_key", (F.col("_w") / F.col("_most")).alias("_w"), F.pmod(F.xxhash64("_key"), F.lit(4096)).alias("_bin"))
+    within = Window.partitionBy("_bin").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
+    units = units.withColumn("_upto", F.sum("_w").over(within)).withColumn("_from", F.coalesce(F.lag("_upto").over(Window.partitionBy("_bin").orderBy("_key")), F.lit(0.0)))
+    bins = units.groupBy("_bin").agg(F.max("_upto").alias("_in"))  # 4096 rows at most; ends are the units' own, so the parts of the line meet
+    w = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select("_bin", F.coalesce(F.sum("_in").over(w), F.lit(0.0)).alias("_before"), F.sum("_in").over(Window.partitionBy()).alias("_total"))
+    line = units.join(F.broadcast(bins), "_bin").select("_key", ((F.col("_before") + F.col("_from")) / F.col("_total")).alias("at"), ((F.col("_before") + F.col("_upto")) / F.col("_total")).alias("end"))
     slots = max(1, n // per_slot)
-    last = F.least(F.floor((F.col("at") + F.col("_w").cast("double") / F.col("_total") + 1e-12) * slots), F.lit(slots - 1))
-    line = line.select(F.explode(F.sequence(F.least(F.floor(F.col("at") * slots), F.lit(slots - 1)), last)).alias("slot"), "at", "_key", F.lit(None).cast("long").alias("draw"))
+    slot = lambda c: F.least(F.floor(c * slots), F.lit(slots - 1))
+    line = line.select(F.explode(F.sequence(slot(F.col("at")), slot(F.col("end") + 1e-12))).alias("slot"), "at", "_key", F.lit(None).cast("long").alias("draw"))
     draws = samples.sparkSession.range(n).select(chance(F.col("id"), seed).alias("at"), F.col("id").alias("draw"))
-    draws = draws.select(F.floor(F.col("at") * slots).alias("slot"), "at", F.lit(None).cast(line.schema["_key"].dataType).alias("_key"), "draw")
+    draws = draws.select(slot(F.col("at")).alias("slot"), "at", F.lit(None).cast(line.schema["_key"].dataType).alias("_key"), "draw")
     holder = F.last("_key", ignorenulls=True).over(Window.partitionBy("slot").orderBy("at", F.col("draw").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
     return line.unionByName(draws).withColumn(key, holder).where(F.col("draw").isNotNull() & F.col(key).isNotNull()).select("draw", key)
 
 
+def brightness(cells: DataFrame, bands, delta: Column) -> DataFrame:
+    """Values of all bands moved by ``delta``."""
+    return cells.withColumns({b: F.col(b) + delta for b in bands})
+
+
+#: Steps by name, for ``chain_of``: functions of cells, size, bands and a setting.  Users may add their own.
+STEPS = {
+    "horizontal_flip": lambda cells, size, bands, seed, p: flip(cells, size, "c", chance(F.col("patch_id"), seed, "h") < p),
+    "vertical_flip": lambda cells, size, bands, seed, p: flip(cells, size, "r", chance(F.col("patch_id"), seed, "v") < p),
+    "rotate90": lambda cells, size, bands, seed, p: rotate(cells, size, F.when(chance(F.col("patch_id"), seed, "r") < p, F.floor(chance(F.col("patch_id"), seed, "k") * 4)).otherwise(0).cast("int")),
+    "brightness": lambda cells, size, bands, seed, most: brightness(cells, bands, (chance(F.col("patch_id"), seed, "b") * 2 - 1) * most),
+    "contrast": lambda cells, size, bands, seed, most: contrast(cells, bands, 1 + (chance(F.col("patch_id"), seed, "c") * 2 - 1) * most, "patch_id"),
+    "noise": lambda cells, size, bands, seed, sigma: noise(cells, bands, sigma, F.col("patch_id"), F.col("r"), F.col("c"), seed),
+}
+
+
+def chain_of(settings: dict, size: int, bands, seed: int = 0) -> list:
+    """Steps of a configuration {name: setting}, in the order of ``STEPS``; an unknown name is an error."""
+    if unknown := set(settings) - set(STEPS):
+        raise ValueError(f"unknown steps: {', '.join(sorted(unknown))}")
+    return [lambda cells, name=name, value=value: STEPS[name](cells, size, bands, seed, value) for name in STEPS if (value := settings.get(name)) is not None]
+
+
 def rescale(cells: DataFrame, bands, size: int, scale: Column, *by: str, class_col: str | None = None) -> DataFrame:
     """Square patches on a grid ``scale`` times as fine, corners kept: bands bilinear, classes from the nearest cell."""
     grid = cells.select(*by, scale.alias("_scale")).groupBy(*by).agg(F.greatest(F.lit(1), F.rint(size * F.first("_scale")).cast("int")).alias("_n"))

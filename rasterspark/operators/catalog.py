@@ -74,3 +74,49 @@ def summary(scenes: DataFrame, *by: str) -> DataFrame:
     return scenes.groupBy(*by).agg(
         F.count("*").alias("n_images"), F.min("acq_date").alias("first_date"), F.max("acq_date").alias("last_date"), F.array_join(F.array_sort(F.collect_set("sensor")), ",").alias("sensors")
     )
+
+
+def collection(scenes: DataFrame, collection_id: str, column: str = "collection_id") -> DataFrame:
+    """The scenes of one collection; a blank id is an error."""
+    if not collection_id or not collection_id.strip():
+        raise ValueError("collection id is blank")
+    return scenes.where(F.col(column) == collection_id)
+
+
+def chosen_sensors(sensors: DataFrame, start: str, end: str, s2_only: bool = False, s2: str = "S2") -> DataFrame:
+    """Sensors to use: all in operation but Sentinel-2, or that alone."""
+    return sensors.where(F.col("sensor") == s2) if s2_only else operating(sensors, start, end).where(F.col("sensor") != s2)
+
+
+def sensors_of(sensors: DataFrame, wanted: DataFrame, column: str = "collection_id") -> DataFrame:
+    """Sensors of the wanted collection ids; an unknown id is an error."""
+    unknown = [r[0] for r in wanted.select(column).distinct().join(sensors, column, "left_anti").limit(5).collect()]
+    if unknown:
+        raise ValueError(f"unknown collections: {', '.join(map(str, unknown))}")
+    return sensors.join(wanted.select(column).distinct(), column)
+
+
+def filtered(scenes: DataFrame, start: str, end: str, most_cloud: float = 20.0, area: tuple | None = None, sensors: list[str] | None = None, cover: str = "cloud_cover") -> tuple[DataFrame, list[str]]:
+    """Scenes by date, box (min_lon, min_lat, max_lon, max_lat), cloud and sensor, and the tags of what was applied."""
+    found, tags = between(scenes, start, end), [f"date:{start}/{end}"]
+    if area:
+        found = found.where((F.col("min_lon") <= area[2]) & (F.col("max_lon") >= area[0]) & (F.col("min_lat") <= area[3]) & (F.col("max_lat") >= area[1]))
+        tags.append("bounds")
+    found, tags = clear_enough(found, most_cloud, cover), [*tags, f"cloud:{most_cloud:g}"]
+    if sensors:
+        found, tags = of_sensors(found, sensors), [*tags, f"sensors:{','.join(sensors)}"]
+    return found, tags
+
+
+def metadata(scenes: DataFrame, *by: str, order: str = "scene_id") -> DataFrame:
+    """All metadata of collections in one row each: count, dates, sensors, and bands, reference system and scale of the first image."""
+    first = lambda c, default: F.coalesce(F.min_by(c, order), default) if c in scenes.columns else default
+    return scenes.groupBy(*by).agg(
+        F.count("*").alias("n_images"), F.min("acq_date").alias("first_date"), F.max("acq_date").alias("last_date"), F.array_sort(F.collect_set("sensor")).alias("sensors"),
+        first("band_names", F.expr("CAST(array() AS array<string>)")).alias("band_names"), first("crs", F.lit(None).cast("string")).alias("crs"), first("scale", F.lit(None).cast("double")).alias("scale"),
+    )
+
+
+def images(scenes: DataFrame, *columns: str) -> DataFrame:
+    """Id, date and sensor of every image, in the order of their ids within a place."""
+    return scenes.select("scene_id", "acq_date", "sensor", *columns)

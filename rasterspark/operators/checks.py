@@ -32,6 +32,58 @@ def cell_issues(cells: DataFrame, bands, *by: str, class_col: str = "class_id",
     return wide.unpivot(list(by), ["not finite", "id outside the classes"], "issue", "n").where("n > 0")
 
 
+def file_issues(samples: DataFrame, files: DataFrame, columns=("patch_path", "mask_path"), key: str = "sample_id") -> DataFrame:
+    """(id, issue): samples whose patch or mask is in no listing of ``files`` (path)."""
+    named = samples.select(key, F.explode(F.array(*[F.struct(F.lit(c.replace("_path", "")).alias("kind"), F.col(c).alias("path")) for c in columns])).alias("f")).select(key, "f.kind", "f.path")
+    return named.join(files.select("path").distinct(), "path", "left_anti").select(key, F.concat(F.lit("missing "), "kind", F.lit(" file")).alias("issue"))
+
+
+def low_ratios(samples: DataFrame, ratio: str = "valid_ratio", least: float = 0.5) -> DataFrame:
+    """Number and share of samples below the least valid share."""
+    low = F.coalesce(F.col(ratio) < least, F.lit(True))
+    return samples.agg(F.count_if(low).alias("n_low"), F.coalesce(F.avg(low.cast("double")), F.lit(0.0)).alias("share_low"))
+
+
+def too_few(samples: DataFrame, issues: DataFrame, least: int = 10, key: str = "sample_id") -> DataFrame:
+    """(issue, value): fewer sound samples than ``least``."""
+    sound = samples.join(issues.select(key).distinct(), key, "left_anti").agg(F.count("*").alias("value"))
+    return sound.where(F.col("value") < least).select(F.lit("too few samples").alias("issue"), "value")
+
+
+def mask_issues(cells: DataFrame, *by: str, classes=(0, 1, 2, 3), nodata: int = 255, most_nodata: float = 0.5, reject_single: bool = False) -> DataFrame:
+    """(by, issue, value): ids that are no class, too much without data, one class only."""
+    seen = cells.groupBy(*by).agg(
+        F.count_if(~F.col("class_id").isin(*classes, nodata)).cast("double").alias("invalid id"),
+        F.avg(F.coalesce(F.col("class_id") == nodata, F.lit(True)).cast("double")).alias("too much nodata"),
+        F.count_distinct(F.when(F.col("class_id").isin(*classes), F.col("class_id"))).cast("double").alias("single class"),
+    )
+    rows = seen.unpivot(list(by), ["invalid id", "too much nodata", "single class"], "issue", "value")
+    return rows.where(((F.col("issue") == "invalid id") & (F.col("value") > 0)) | ((F.col("issue") == "too much nodata") & (F.col("value") > most_nodata)) | ((F.col("issue") == "single class") & (F.col("value") == 1) & F.lit(reject_single)))
+
+
+def band_report(rasters: DataFrame, bands, *by: str) -> DataFrame:
+    """Per raster and band: share of values that are numbers, least, greatest, and how many are not."""
+    long = rasters.unpivot(list(by), list(bands), "band", "x")
+    number = F.when(~F.isnan("x"), F.col("x"))
+    return long.groupBy(*by, "band").agg(F.avg(number.isNotNull().cast("double")).alias("valid_share"), F.min(number).alias("least"), F.max(number).alias("most"), F.count_if(number.isNull()).alias("n_missing"))
+
+
+#: What to do about an issue of a data set.
+ADVICE = {"leakage": "split by scene or area", "split_size": "gather more samples", "class_balance": "weight classes or sample rare ones", "crs": "bring all patches to one reference system"}
+
+
+def recommendations(issues: DataFrame) -> DataFrame:
+    """``issues`` (of ``quality_issues`` or ``crs_issues``) with what to do."""
+    table = F.create_map(*[F.lit(x) for pair in ADVICE.items() for x in pair])
+    return issues.withColumn("advice", F.try_element_at(table, F.col("category")))
+
+
+def crs_issues(samples: DataFrame, crs: str = "crs") -> DataFrame:
+    """An issue (severity, category, subject, value) if samples have several reference systems."""
+    found = samples.agg(F.count_distinct(crs).alias("n"), F.array_join(F.array_sort(F.collect_set(crs)), ",").alias("subject"))
+    return found.where("n > 1").select(F.lit("ERROR").alias("severity"), F.lit("crs").alias("category"), "subject", F.col("n").cast("double").alias("value"))
+
+
 def sample_issues(samples: DataFrame, key: str = "sample_id", crs: str | None = None, expected_crs: str | None = None, ratio: str = "valid_ratio", least_ratio: float = 0.7) -> DataFrame:
     """(id, issue): repeated ids, a foreign reference system, too few valid pixels."""
     twice = samples.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key, F.lit("repeated id").alias("issue"))

@@ -47,8 +47,8 @@ class Rule:
             return F.lit(0.0)
         return sum((evidence(F.col(t.band), t.threshold, self.scale, t.above) * t.weight for t in used), F.lit(0.0)) / total
 
-    def eligible(self, bands: set[str]) -> Column:
-        passed = self.confidence(bands) >= self.least
+    def eligible(self, bands: set[str], confidence: Column | None = None) -> Column:
+        passed = (self.confidence(bands) if confidence is None else confidence) >= self.least
         return passed & self.gate(bands) if self.gate else passed
 
 
@@ -76,7 +76,8 @@ def classify(pixels: DataFrame, rules=STANDARD_RULES, strategy: str = "highest_c
     on ties.  priority_order: the eligible rule of least priority number.
     """
     bands = set(pixels.columns)
-    scored = [F.when(r.eligible(bands), F.struct(r.confidence(bands).alias("confidence"), F.lit(-k).alias("order"), F.lit(r.class_id).alias("class_id"))) for k, r in enumerate(rules)]
+    pixels = pixels.withColumns({f"_conf{k}": r.confidence(bands) for k, r in enumerate(rules)})
+    scored = [F.when(r.eligible(bands, F.col(f"_conf{k}")), F.struct(F.col(f"_conf{k}").alias("confidence"), F.lit(-k).alias("order"), F.lit(r.class_id).alias("class_id"))) for k, r in enumerate(rules)]
     if strategy == "highest_confidence":
         best = F.greatest(*scored) if len(scored) > 1 else scored[0]
     elif strategy == "priority_order":
@@ -92,7 +93,7 @@ def classify(pixels: DataFrame, rules=STANDARD_RULES, strategy: str = "highest_c
         "confidence": F.coalesce("_best.confidence", F.lit(0.0)),
         "unclassified": F.coalesce(F.col("_best.confidence") == 0, F.lit(True)),
         "nodata": F.coalesce(*[F.col(b).cast("double") for b in used]).isNull() if used else F.lit(False),
-    }).drop("_best")
+    }).drop("_best", *[f"_conf{k}" for k in range(len(rules))])
 
 
 def with_nodata(classified: DataFrame) -> DataFrame:
@@ -101,12 +102,13 @@ def with_nodata(classified: DataFrame) -> DataFrame:
 
 
 def shares(classified: DataFrame, *by: str, n_classes: int = 4, pixel_area: float = 900.0, low: float = 0.5) -> DataFrame:
-    """Per group and class: pixels, fraction, area and mean confidence; absent classes count 0."""
-    counts = classified.groupBy(*by, "class_id").agg(F.count("*").alias("pixels"), F.avg("confidence").alias("mean_confidence"), F.count_if(F.col("confidence") < low).alias("low_pixels"))
+    """Per group and class: pixels, fraction, area, mean confidence, and area weighted by confidence; absent classes count 0."""
+    counts = classified.groupBy(*by, "class_id").agg(F.count("*").alias("pixels"), F.avg("confidence").alias("mean_confidence"), F.count_if(F.col("confidence") < low).alias("low_pixels"), F.sum("confidence").alias("weighted_pixels"))
     totals = counts.groupBy(*by).agg(F.sum("pixels").alias("total"))
     grid = totals.withColumn("class_id", F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1))))
     full = grid.join(counts, [*by, "class_id"], "left")
     return full.select(
         *by, "class_id", F.coalesce("pixels", F.lit(0)).alias("pixels"), (F.coalesce("pixels", F.lit(0)) / F.col("total")).alias("fraction"),
         (F.coalesce("pixels", F.lit(0)) * pixel_area).alias("area_m2"), F.coalesce("mean_confidence", F.lit(0.0)).alias("mean_confidence"), F.coalesce("low_pixels", F.lit(0)).alias("low_pixels"),
+        (F.coalesce("weighted_pixels", F.lit(0.0)) * pixel_area).alias("weighted_area_m2"),
     )

@@ -18,15 +18,22 @@ from ..functions import masks
 MISSING = -1
 
 
-def per_patch(cells: DataFrame, *steps, patch: str = "patch_id", value: str = "class_id") -> DataFrame:
-    """``cells`` with the classes that the steps, one after another, give each patch."""
+def per_patch(cells: DataFrame, *steps, patch: str = "patch_id", value: str = "class_id", skip_failing: bool = False) -> DataFrame:
+    """``cells`` with the classes that the steps, one after another, give each patch.
+
+    With ``skip_failing`` a step that raises an error leaves its patch as it is.
+    """
 
     def run(pdf):
         r, c, known = pdf["r"].to_numpy(), pdf["c"].to_numpy(), pdf[value].notna()
         grid = np.full((r.max() + 1, c.max() + 1), MISSING, np.int64)
         grid[r, c] = pdf[value].fillna(MISSING)
         for step in steps:
-            grid = step(grid)
+            try:
+                grid = step(grid)
+            except Exception:
+                if not skip_failing:
+                    raise
         return pdf.assign(**{value: pdf[value].where(~known, grid[r, c])})
 
     return cells.where("r IS NOT NULL AND c IS NOT NULL").groupBy(patch).applyInPandas(run, cells.schema)

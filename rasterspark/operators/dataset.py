@@ -81,8 +81,14 @@ def quality_score(valid: Column, no_leak: Column, imbalance: Column, no_error: C
     return F.round(F.least(F.lit(1.0), 0.4 * valid + 0.3 * no_leak + 0.2 * balance + 0.1 * no_error), 4)
 
 
-def class_weights(counts: DataFrame, n: str = "pixels") -> DataFrame:
-    """C * (1 / f) / sum(1 / f), f being the class share, at least 1e-8."""
+def class_weights(counts: DataFrame, n: str = "pixels", strategy: str = "inverse", manual: dict | None = None) -> DataFrame:
+    """inverse: C * (1 / f) / sum(1 / f), f being the class share, at least 1e-8.  none: 1.  manual: by class id."""
+    if strategy == "none":
+        return counts.withColumn("weight", F.lit(1.0))
+    if strategy == "manual":
+        return counts.withColumn("weight", F.try_element_at(F.create_map(*[F.lit(x) for k, v in manual.items() for x in (k, float(v))]), F.col("class_id")))
+    if strategy != "inverse":
+        raise ValueError("strategy is inverse, none or manual")
     w = Window.partitionBy()  # one row per class
     share = F.greatest(F.col(n) / F.sum(n).over(w), F.lit(1e-8))
     return counts.withColumn("share", share).withColumn("weight", F.count("*").over(w) / F.col("share") / F.sum(1 / F.col("share")).over(w))
@@ -108,10 +114,74 @@ def band_statistics(cells: DataFrame, bands, nodata: float = 255.0, robust: bool
     x = F.when(~F.isnan("x") & (F.abs("x") < float("inf")) & (F.col("x") != nodata), F.col("x"))
     std = F.stddev_samp(x)
     found = [F.count(x).alias("n"), F.avg(x).alias("mean"), F.when(std > 1e-10, std).otherwise(1.0).alias("std"), F.min(x).alias("least"), F.max(x).alias("most")]
-    if robust:
-        found += [F.percentile(x, 0.02).alias("p2"), F.percentile(x, 0.98).alias("p98")]
-    return long.groupBy("band").agg(*found)
+    plain = long.groupBy("band").agg(*found)
+    if not robust:
+        return plain
+    return plain.join(band_percentiles(long.select("band", x.alias("x")), (0.02, 0.98)), "band").withColumnsRenamed({"q0": "p2", "q1": "p98"})
+
+
+def band_percentiles(values: DataFrame, shares, bins: int = 4096) -> DataFrame:
+    """Exact percentiles (q0, q1, ...) of x per band, no task holding all values of a band.
+
+    Values are counted in ``bins`` equal ranges between a band's ends; the two
+    values around each wanted place are then looked for in their own range only,
+    by counts of distinct values.
+    """
+    known = values.where("x IS NOT NULL")
+    ends = known.groupBy("band").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n"))  # one row per band
+    place = F.coalesce(F.least(F.floor(F.try_divide((F.col("x") - F.col("low")) * bins, F.col("high") - F.col("low"))), F.lit(bins - 1)), F.lit(0))
+    ranged = known.join(F.broadcast(ends), "band").withColumn("bin", place)
+    counts = ranged.groupBy("band", "bin").agg(F.count("*").alias("in_bin"))
+    w = Window.partitionBy("band").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("in_bin").over(w), F.lit(0)))
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.floor((F.col("n") - 1) * s).alias("lower"), ((F.col("n") - 1) * s - F.floor((F.col("n") - 1) * s)).alias("part")) for k, s in enumerate(shares)])).alias("w")
+    wanted = ends.select("band", "n", at).select("band", "w.*", F.explode(F.array_distinct(F.array("w.lower", F.least(F.col("w.lower") + 1, F.col("n") - 1)))).alias("rank"))
+    wanted = wanted.join(counts, "band").where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("in_bin")))
+    held = ranged.join(F.broadcast(wanted.select("band", "bin").distinct()), ["band", "bin"], "left_semi").groupBy("band", "bin", "x").agg(F.count("*").alias("times"))  # two ranges per share and band
+    upto = F.sum("times").over(Window.partitionBy("band", "bin").orderBy("x"))
+    held = held.withColumn("upto", upto)
+    found = wanted.join(held, ["band", "bin"]).where(F.col("rank") - F.col("before") < F.col("upto")).groupBy("band", "k", "rank", "lower", "part").agg(F.min("x").alias("x"))
+    lower, upper = F.max(F.when(F.col("rank") == F.col("lower"), F.col("x"))), F.max("x")
+    both = found.groupBy("band", "k").agg((lower + (upper - lower) * F.max("part")).alias("q"))
+    return both.groupBy("band").agg(*[F.max(F.when(F.col("k") == k, F.col("q"))).alias(f"q{k}") for k in range(len(shares))])
 
 
 def normalise(x: Column, mean: Column, std: Column) -> Column:
     return (x - mean) / F.greatest(std, F.lit(1e-8))
+
+
+def denormalise(x: Column, mean: Column, std: Column) -> Column:
+    return x * F.greatest(std, F.lit(1e-8)) + mean
+
+
+def statistics_for(cells: DataFrame, bands, strategy: str = "mean_std") -> DataFrame:
+    """(band, mean, std) to normalise with: mean and deviation, percentiles 2 to 98 as 0 to 1 (min_max), or nothing (none)."""
+    if strategy == "none":
+        return cells.sparkSession.createDataFrame([(b, 0.0, 1.0) for b in bands], "band string, mean double, std double")
+    found = band_statistics(cells, bands, robust=strategy == "min_max")
+    if strategy == "min_max":
+        span = F.col("p98") - F.col("p2")
+        return found.select("band", F.col("p2").alias("mean"), F.when(span > 1e-10, span).otherwise(1.0).alias("std"))
+    if strategy != "mean_std":
+        raise ValueError("strategy is mean_std, min_max or none")
+    return found.select("band", "mean", "std")
+
+
+def training_rows(cells: DataFrame, samples: DataFrame, stats: DataFrame, bands, key: str = "sample_id", nodata: int = 255, ignore: int = -1) -> DataFrame:
+    """Cells ready to train on: normalised finite bands, the ignore index where the mask has no data, and their sample's columns."""
+    wide = stats.groupBy().pivot("band", list(bands)).agg(F.first("mean").alias("m"), F.first("std").alias("s"))  # one row
+    clean = lambda b: F.when(~F.isnan(b) & (F.abs(b) < float("inf")), F.col(b))
+    rows = cells.join(samples, key).crossJoin(F.broadcast(wide))
+    value = {b: F.coalesce(normalise(clean(b), F.col(f"{b}_m"), F.col(f"{b}_s")), F.lit(0.0)) for b in bands}
+    rows = rows.withColumns(value | {"class_id": F.when(F.coalesce(F.col("class_id"), F.lit(nodata)) == nodata, ignore).otherwise(F.col("class_id"))})
+    return rows.drop(*[f"{b}_{x}" for b in bands for x in "ms"])
+
+
+def of_split(samples: DataFrame, split: str) -> DataFrame:
+    return samples.where(F.col("split") == split)
+
+
+def actual_ratios(samples: DataFrame) -> DataFrame:
+    """Samples of each split and their share of all."""
+    counts = samples.groupBy("split").agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # one row per split

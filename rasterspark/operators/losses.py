@@ -35,3 +35,11 @@ def dice(cells: DataFrame, *by: str, smooth: float = 1.0, logits: str = "logits"
     hit, p = (F.col(truth) == F.col("class_id")).cast("double"), F.exp("lp")
     sums = each.groupBy(*by, "class_id").agg(((2 * F.sum(p * hit) + smooth) / (F.sum(p) + F.sum(hit) + smooth)).alias("overlap"))
     return sums.groupBy(*by).agg((1 - F.avg("overlap")).alias("loss"))
+
+
+def combined(cells: DataFrame, *by: str, share: float = 0.5, weights=None, smoothing: float = 0.0) -> DataFrame:
+    """``share`` of the cross-entropy and the rest of the Dice loss."""
+    one = cross_entropy(cells, *by, weights=weights, smoothing=smoothing).withColumnRenamed("loss", "ce")
+    two = dice(cells, *by).withColumnRenamed("loss", "dc")
+    both = one.join(two, list(by)) if by else one.crossJoin(two)  # one row each
+    return both.select(*by, (share * F.col("ce") + (1 - share) * F.col("dc")).alias("loss"))

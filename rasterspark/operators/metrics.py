@@ -44,6 +44,7 @@ def per_class(matrix: DataFrame, *by: str) -> DataFrame:
 #: Metric by name: an aggregate over the per-class table.
 METRICS = {
     "pixel_accuracy": lambda: F.sum("tp") / F.max("total"),
+    "mean_pixel_accuracy": lambda: F.avg(F.when(F.col("support") > 0, F.col("recall"))),
     "precision": lambda: F.avg(F.when(F.col("tp") + F.col("fp") > 0, F.col("precision"))),
     "recall": lambda: F.avg(F.when(F.col("support") > 0, F.col("recall"))),
     "f1": lambda: F.avg(F.when(F.col("tp") + F.col("fp") + F.col("fn") > 0, F.col("f1"))),
@@ -65,3 +66,17 @@ def overall(matrix: DataFrame, *by: str, names=tuple(METRICS), extra=None) -> Da
     """The named metrics; unknown names are skipped, ``extra`` adds the user's own."""
     known = METRICS | (extra or {})
     return per_class(matrix, *by).groupBy(*by).agg(*[F.coalesce(known[m](), F.lit(0.0)).alias(m) for m in names if m in known])
+
+
+def frequencies(matrix: DataFrame, *by: str) -> DataFrame:
+    """True and predicted pixels of each class, and their shares of all (0 without any)."""
+    own = per_class(matrix, *by)
+    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("total")), F.lit(0.0))
+    counts = own.select(*by, "class_id", F.col("support").alias("true_pixels"), (F.col("tp") + F.col("fp")).alias("pred_pixels"), "total")
+    return counts.select(*by, "class_id", "true_pixels", "pred_pixels", share("true_pixels").alias("true_share"), share("pred_pixels").alias("pred_share"))
+
+
+def evaluate(pairs: DataFrame, samples: DataFrame, n_classes: int, key: str = "sample_id", **options) -> DataFrame:
+    """The metrics of each split: samples (key, split) joined with their cells (truth, pred)."""
+    joined = pairs.join(samples.select(key, "split"), key)
+    return overall(confusion(joined, n_classes, "split"), "split", **options)

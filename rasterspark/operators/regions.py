@@ -62,3 +62,9 @@ def region_metrics(labelled: DataFrame, found: DataFrame, *by: str) -> DataFrame
     joined = pixels.join(sizes, [*by, "class_id"], "left")
     zero = {c: F.coalesce(c, F.lit(0).cast(joined.schema[c].dataType)) for c in ("n_regions", "largest_px", "mean_px", "std_px", "width_px")}
     return joined.withColumns(zero).withColumn("fragmentation", F.col("n_regions") / F.col("class_px"))
+
+
+def ranked(found: DataFrame, *by: str) -> DataFrame:
+    """Regions with their rank by area within a class, largest first; of equal ones the lesser region_id."""
+    w = Window.partitionBy(*by, "class_id").orderBy(F.desc("area_px"), "region_id")
+    return found.withColumn("rank", F.row_number().over(w))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import patch_id
+
 
 def offsets(dim: Column, size: int, stride: int, flush: bool = False) -> Column:
     """Window offsets along one axis; ``flush`` adds a last one that ends with the raster."""
@@ -57,3 +59,45 @@ def stitch(cells: DataFrame, *by: str) -> DataFrame:
 
     placed = cells.join(starts("row_index", "r", "_top", F.desc("row_index")), [*by, "row_index"]).join(starts("col_index", "c", "_left", F.asc("col_index")), [*by, "col_index"])
     return placed.withColumns({"row": F.col("_top") + F.col("r"), "col": F.col("_left") + F.col("c")}).drop("_top", "_left")
+
+
+def named_bands(values: DataFrame, *by: str, nodata: float = -9999.0) -> DataFrame:
+    """Values (by, band_index, description, value) with a band name, ``band_{i}`` where it has no description, and nodata as NULL."""
+    name = F.coalesce(F.when(F.trim("description") != "", F.col("description")), F.concat(F.lit("band_"), F.col("band_index").cast("string")))
+    x = F.when(~F.isnan("value") & (F.abs(F.col("value") - nodata) >= 1e-6), F.col("value"))
+    return values.select(*by, name.alias("band"), x.alias("value"))
+
+
+def padded(cells: DataFrame, bands, size: int, *by: str) -> DataFrame:
+    """A dense ``size`` by ``size`` grid of each tile; what the raster lacks is 0."""
+    grid = cells.select(*by).distinct().withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    return grid.join(cells, [*by, "r", "c"], "left").withColumns({b: F.coalesce(F.col(b), F.lit(0.0)) for b in bands})
+
+
+def in_flush_windows(pixels: DataFrame, size: int, stride: int, height: Column, width: Column) -> DataFrame:
+    """Each pixel with every window that covers it, the last one ending with the raster."""
+    def covering(at: Column, dim: Column):
+        starts = offsets(dim, size, stride, flush=True)
+        return F.filter(F.transform(starts, lambda o, i: F.struct(i.cast("int").alias("index"), o.cast("int").alias("off"))), lambda w: (w["off"] <= at) & (at < w["off"] + size))
+
+    out = pixels.withColumn("row_window", F.explode(covering(F.col("row"), height))).withColumn("col_window", F.explode(covering(F.col("col"), width)))
+    named = {"row_index": F.col("row_window.index"), "col_index": F.col("col_window.index"), "r": F.col("row") - F.col("row_window.off"), "c": F.col("col") - F.col("col_window.off")}
+    return out.withColumns(named).drop("row_window", "col_window")
+
+
+def predicted_scene(tiles: DataFrame, *by: str, logits: str = "logits") -> DataFrame:
+    """Classes of whole scenes from scored tiles: best class of each cell, the last tile in row-major order."""
+    scored = tiles.withColumn("class_id", (F.array_position(logits, F.array_max(logits)) - 1).cast("int"))
+    return mosaic(scored, (*by, "row", "col"))
+
+
+def cut_patches(cells: DataFrame, windows: DataFrame, bands, scene: str = "scene_id", least: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """(manifest rows, counts) of patches: cells (scene, row_index, col_index, bands) checked against ``least``.
+
+    A row has its id, place, valid share and verdict; counts are of windows in all, patches that are valid, and those skipped.
+    """
+    checked = valid_ratio(cells, bands, scene, "row_index", "col_index", least=least)
+    rows = windows.join(checked, [scene, "row_index", "col_index"], "left").withColumns({"valid_ratio": F.coalesce("valid_ratio", F.lit(0.0)), "is_valid": F.coalesce("is_valid", F.lit(False))})
+    rows = rows.withColumn("patch_id", patch_id(F.col(scene).cast("string"), F.col("row_index"), F.col("col_index")))
+    counts = rows.groupBy(scene).agg(F.count("*").alias("total"), F.count_if("is_valid").alias("generated"), F.count_if(~F.col("is_valid")).alias("skipped"))
+    return rows, counts

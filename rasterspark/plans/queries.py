@@ -171,7 +171,7 @@ def region_rows(spark, folder):
 
 def region_metrics(spark, folder):
     labelled = _labelled(spark, folder)
-    return _rounded(regions.region_metrics(labelled, regions.regions(labelled, "patch_id"), "patch_id").drop("width_px"))
+    return _rounded(regions.region_metrics(labelled, regions.regions(labelled, "patch_id"), "patch_id"))
 
 
 def majority_masks(spark, folder):
@@ -329,7 +329,7 @@ soft AS (SELECT patch_id, (2 * coalesce(sum(exp(lp[k + 1])) FILTER (truth = k),
 REGISTERED = {
     "area_shares": (area_shares, f"""{_CLASSES}
 SELECT t.aoi_id, k::INT AS class_id, count(c.class_id) AS pixels, round(count(c.class_id) / any_value(t.total), 6) AS fraction, round(count(c.class_id) * 900.0::DOUBLE, 6) AS area_m2,
-  round(coalesce(avg(c.confidence), 0), 6) AS mean_confidence, count(c.class_id) FILTER (c.confidence < 0.5) AS low_pixels
+  round(coalesce(avg(c.confidence), 0), 6) AS mean_confidence, count(c.class_id) FILTER (c.confidence < 0.5) AS low_pixels, round(coalesce(sum(c.confidence), 0) * 900, 6) AS weighted_area_m2
 FROM (SELECT aoi_id, count(*) AS total FROM classed GROUP BY aoi_id) t CROSS JOIN range(4) g(k) LEFT JOIN classed c ON c.aoi_id = t.aoi_id AND c.class_id = k GROUP BY t.aoi_id, k"""),
     "composite_median": (composite_of("median"), _each("median({0})")),
     "composite_mean": (composite_of("mean"), _each("avg({0})")),
@@ -348,7 +348,7 @@ ON min_lon <= n_nationkey % 38 + 3 AND max_lon >= n_nationkey % 38 AND min_lat <
     "confusion_matrix": (confusion_matrix, f"{_MATRIX} SELECT truth::INT AS truth, pred::INT AS pred, n FROM matrix"),
     "normalised_confusion": (normalised_confusion, f"{_MATRIX} SELECT truth::INT AS truth, pred::INT AS pred, round(coalesce(n / nullif(sum(n) OVER (PARTITION BY truth), 0), 0), 6) AS share FROM matrix"),
     "class_metrics": (class_metrics, f"{_PER_CLASS} SELECT class_id::INT AS class_id, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn, support::BIGINT AS support, total::BIGINT AS total, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(iou, 6) AS iou FROM each"),
-    "overall_metrics": (overall_metrics, f"""{_PER_CLASS} SELECT round(sum(tp) / max(total), 6) AS pixel_accuracy, round(avg(precision) FILTER (tp + fp > 0), 6) AS precision, round(avg(recall) FILTER (support > 0), 6) AS recall,
+    "overall_metrics": (overall_metrics, f"""{_PER_CLASS} SELECT round(sum(tp) / max(total), 6) AS pixel_accuracy, round(avg(recall) FILTER (support > 0), 6) AS mean_pixel_accuracy, round(avg(precision) FILTER (tp + fp > 0), 6) AS precision, round(avg(recall) FILTER (support > 0), 6) AS recall,
 round(avg(f1) FILTER (tp + fp + fn > 0), 6) AS f1, round(avg(f1) FILTER (tp + fp + fn > 0), 6) AS dice, round(avg(iou) FILTER (tp + fp + fn > 0), 6) AS mean_iou, round(sum(support * iou) / max(total), 6) AS fw_iou,
 round(avg(recall) FILTER (support > 0), 6) AS balanced_accuracy,
 round((sum(tp)::DOUBLE / max(total) - sum((tp + fn)::DOUBLE * (tp + fp)) / (max(total)::DOUBLE * max(total))) / (1 - sum((tp + fn)::DOUBLE * (tp + fp)) / (max(total)::DOUBLE * max(total))), 6) AS kappa FROM each"""),
@@ -381,7 +381,7 @@ SELECT patch_id, r::INT AS r, c::INT AS c, list_position(p, list_max(p)) - 1 AS
     "region_rows": (region_rows, f"""{_REGIONS} SELECT patch_id, class_id, area_px, row_min, row_max, col_min, col_max, perimeter, round(mean_confidence, 6) AS mean_confidence, round(row_width, 6) AS row_width, round(area_px * 900.0::DOUBLE, 6) AS area_m2,
 round((col_max - col_min) / (row_max - row_min), 6) AS aspect, round(4 * pi() * area_px / (perimeter * perimeter), 6) AS compactness, round(1 - least(row_max - row_min, col_max - col_min) / greatest(row_max - row_min, col_max - col_min), 6) AS elongation FROM regions"""),
     "region_metrics": (region_metrics, f"""{_REGIONS}, big AS (SELECT * FROM regions WHERE area_px >= 4)
-SELECT p.patch_id, p.class_id, p.class_px, count(big.region) AS n_regions, coalesce(max(area_px), 0) AS largest_px, round(coalesce(avg(area_px), 0), 6) AS mean_px, round(coalesce(stddev_pop(area_px), 0), 6) AS std_px, round(count(big.region) / p.class_px, 6) AS fragmentation
+SELECT p.patch_id, p.class_id, p.class_px, count(big.region) AS n_regions, coalesce(max(area_px), 0) AS largest_px, round(coalesce(avg(area_px), 0), 6) AS mean_px, round(coalesce(stddev_pop(area_px), 0), 6) AS std_px, round(count(big.region) / p.class_px, 6) AS fragmentation, round(coalesce(arg_max(row_width, (area_px, -region)), 0), 6) AS width_px
 FROM (SELECT patch_id, class_id, count(*) AS class_px FROM labelled GROUP BY ALL) p LEFT JOIN big USING (patch_id, class_id) GROUP BY p.patch_id, p.class_id, p.class_px"""),
     "majority_masks": (majority_masks, f"""{_MASKS}, votes AS (SELECT m.patch_id, m.r, m.c, n.class_id, count(*) AS n FROM masks m, range(-1, 2) i(dr), range(-1, 2) j(dc), masks n
 WHERE n.patch_id = m.patch_id AND n.r = greatest(0, least(7, m.r + dr)) AND n.c = greatest(0, least(7, m.c + dc)) GROUP BY ALL)

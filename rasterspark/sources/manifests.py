@@ -1,34 +1,146 @@
-"""Manifests as CSV or JSON tables with a fixed schema."""
+"""Manifests and products: fixed schemas, CSV and JSON tables, rasters and masks as partitioned Parquet."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+
+# The fields of each kind of manifest, in order.
+SCENE = "scene_id string, image_path string, metadata_path string, export_timestamp string, num_bands int, width int, height int, crs string, start_date string, end_date string, sensors string, composite_method string, cloud_cover_limit double, num_spectral_indices int, file_size_bytes long, is_valid boolean"
+PATCH = "patch_id string, scene_id string, source_image_path string, patch_path string, row_index int, col_index int, row_off int, col_off int, height int, width int, num_bands int, crs string, valid_pixel_ratio double, file_size_bytes long, created_at string"
+LABEL = "patch_id string, scene_id string, patch_path string, mask_path string, crs string, width int, height int, is_valid boolean, validation_issues string, num_classes_present int, valid_pixel_ratio double, source_type string, acquisition_date string, year int, month int, season string, hydrological_year int, sensor string, river_name string, reach_id string, basin_id string, aoi_id string, label_version string, annotator string, confidence double, confidence_source string, processing_history string, created_at string, generation_strategy string"
+DATASET = "sample_id string, patch_id string, scene_id string, patch_path string, mask_path string, split string, crs string, width int, height int, num_bands int, row_index int, col_index int, patch_valid_pixel_ratio double, label_valid_pixel_ratio double, num_classes_present int, acquisition_date string, year int, month int, season string, hydrological_year int, sensor string, river_name string, reach_id string, basin_id string, aoi_id string, label_version string, annotator string, confidence double, confidence_source string"
+BOX = "min_lon: double, min_lat: double, max_lon: double, max_lat: double"
+AFFINE = "a: double, b: double, c: double, d: double, e: double, f: double"
+METADATA = f"schema_version string, scene_id string, export_timestamp string, aoi struct<{BOX}>, crs string, transform struct<{AFFINE}>, width int, height int, resolution_meters double, num_bands int, band_names array<string>, composite_bands array<string>, spectral_indices array<string>, composite_method string, sensors array<string>, start_date string, end_date string, cloud_cover_limit double, operations_applied array<string>, num_tiles int"
+STATISTICS = "band_names array<string>, mean array<double>, std array<double>, min array<double>, max array<double>"
+SCHEMAS = {"scene": SCENE, "patch": PATCH, "label": LABEL, "dataset": DATASET}
+VERSIONS = {"scene": "1.0", "patch": "1.0", "label": "1.1", "dataset": "1.0"}
+DEFAULTS = {"label": {"generation_strategy": "spectral_rules"}}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the folder that driver and executors share; only a local session may do without ``spark.checkpoint.dir``."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = f"file://{tempfile.gettempdir()}"
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _schema(kind) -> StructType:
+    return kind if isinstance(kind, StructType) else StructType.fromDDL(SCHEMAS[kind])
+
+
+def _complete(rows: DataFrame, kind) -> DataFrame:
+    """Missing values that have a default get it."""
+    return rows.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in DEFAULTS.get(kind, {}).items()}) if isinstance(kind, str) else rows
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.read.csv(path, schema=schema, header=True, mode="FAILFAST")
+def read_csv(spark: SparkSession, path: str, kind) -> DataFrame:
+    """A manifest of a kind (or of any schema); columns go by place, those that an older file lacks at its end are NULL or have their default.
 
+    Booleans are read in any case; what does not fit its type is an error.
+    """
+    schema = _schema(kind)
+    text = StructType([StructField(f.name, StringType()) for f in schema])
+    raw = spark.read.csv(path, schema=text, header=True, enforceSchema=True)
+    return _complete(raw.select(*[F.lower(F.trim(f.name)).cast("boolean").alias(f.name) if f.dataType.simpleString() == "boolean" else F.col(f.name).cast(f.dataType) for f in schema]), kind)
 
-def read_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+
+def read_json(spark: SparkSession, path: str, kind) -> DataFrame:
     """Rows of the ``entries`` of {version, entry_count, entries}."""
-    from pyspark.sql.types import ArrayType, LongType, StringType, StructField
+    whole = StructType([StructField("version", StringType()), StructField("entry_count", LongType()), StructField("entries", ArrayType(_schema(kind)))])
+    return _complete(spark.read.json(path, schema=whole, multiLine=True).select(F.inline("entries")), kind)
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """Nested scene metadata, one row per file."""
+    return spark.read.json(path, schema=METADATA, multiLine=True)
+
 
-    whole = StructType([StructField("version", StringType()), StructField("entry_count", LongType()), StructField("entries", ArrayType(schema))])
-    return spark.read.json(path, schema=whole, multiLine=True).select(F.inline("entries"))
+def read_statistics(spark: SparkSession, path: str) -> DataFrame:
+    """(band, mean, std, min, max) of a file that holds one array for each."""
+    whole = spark.read.json(path, schema=STATISTICS, multiLine=True)
+    return whole.select(F.inline(F.arrays_zip("band_names", "mean", "std", "min", "max"))).withColumnRenamed("band_names", "band")
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).csv(path)
 
 
+def write_json(rows: DataFrame, path: str, version: str = "1.0") -> None:
+    """One document {version, entry_count, entries}: a manifest, so of a size that one file holds."""
+    rows.agg(F.lit(version).alias("version"), F.count("*").alias("entry_count"), F.collect_list(F.struct("*")).alias("entries")).coalesce(1).write.json(path)
+
+
 def write_by_split(rows: DataFrame, path: str) -> None:
-    """One folder per split that has rows."""
-    rows.write.partitionBy("split").option("header", True).csv(path)
+    """The full manifest, and one folder per split that has rows."""
+    write_csv(rows, f"{path}/all")
+    rows.write.partitionBy("split").option("header", True).csv(f"{path}/by_split")
+
+
+def append_new(rows: DataFrame, path: str, key: str) -> int:
+    """Append the rows whose key the table doesn't have yet; starts a table that isn't there or can't be read.
+
+    Returns how many rows were duplicates, of each other or of the table.
+    """
+    spark, given = rows.sparkSession, rows.count()
+    new = rows.dropDuplicates([key])
+    try:
+        old = spark.read.parquet(path).select(key)
+        before = old.count()
+    except Exception:  # no table yet, or none that can be read
+        new.write.mode("overwrite").parquet(path)
+        return given - spark.read.parquet(path).count()
+    new.join(old, key, "left_anti").write.mode("append").parquet(path)
+    return given - (spark.read.parquet(path).count() - before)
+
+
+def write_pixels(pixels: DataFrame, path: str, by: str = "scene_id") -> None:
+    """Rasters, masks or predictions as Parquet, a folder for each scene or sample."""
+    pixels.repartition(by).write.partitionBy(by).parquet(path)
+
+
+def write_labels(cells: DataFrame, path: str, by: str = "patch_id", nodata: int = 255) -> None:
+    """Label masks: the class as a small number, the nodata code where there is none."""
+    write_pixels(cells.select(by, "r", "c", F.coalesce(F.col("class_id"), F.lit(nodata)).cast("short").alias("class_id")), path, by)
+
+
+def product(cells: DataFrame, samples: DataFrame, classes, key: str = "sample_id") -> DataFrame:
+    """Prediction product: predicted class, a probability band for each class, confidence, and the sample's columns."""
+    bands = [F.get("probs", F.lit(k)).alias(f"prob_{name}") for k, name in enumerate(classes)]
+    return cells.select(key, "r", "c", "pred", *bands, "confidence").join(samples, key)
+
+
+def sanitised(ident: Column) -> Column:
+    """An id as a file name: anything but letters, digits, - _ and . becomes _."""
+    return F.regexp_replace(ident.cast("string"), r"[^\p{L}\p{N}\-_.]", "_")
+
+
+def clashing_ids(samples: DataFrame, key: str = "sample_id") -> DataFrame:
+    """(file_id, n): ids that would be written to one file; an export with any must not start."""
+    return samples.groupBy(sanitised(F.col(key)).alias("file_id")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def rounded(table: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles as reports give them."""
+    return table.select(*[F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in table.dtypes])
+
+
+def write_report(metrics: DataFrame, per_class: DataFrame, path: str) -> None:
+    """Evaluation as JSON and its classes as CSV, values to 6 places."""
+    rounded(metrics).coalesce(1).write.json(f"{path}/metrics")
+    write_csv(rounded(per_class).coalesce(1), f"{path}/classes")
 
 
-def append_new(rows: DataFrame, path: str, key: str) -> None:
-    """Append the rows whose key the table doesn't have yet."""
-    old = rows.sparkSession.read.parquet(path).select(key)
-    rows.dropDuplicates([key]).join(old, key, "left_anti").write.mode("append").parquet(path)
+def write_split_statistics(statistics: DataFrame, path: str) -> None:
+    """One JSON line for each split."""
+    rows = statistics.groupBy("split").agg(F.array_sort(F.collect_list(F.struct(*[c for c in statistics.columns if c != "split"]))).alias("classes"))
+    rows.select(F.to_json(F.struct("*")).alias("value")).write.text(path)

@@ -80,3 +80,28 @@ def samples(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("o_orderkey") % 101 / 100).alias("valid_ratio"),
         (F.floor(F.col("o_totalprice")) % 1000).cast("long").alias("pixels"),
     )
+
+
+CRAFT = ("LANDSAT_5", "LANDSAT_7", "LANDSAT_8", "LANDSAT_9", "Sentinel-2A")
+
+
+def raw_scenes(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines as pixels of five spacecraft, with integers under each sensor's own band names; quality follows the day of the month."""
+    craft = F.get(F.array(*[F.lit(x) for x in CRAFT]), (F.col("l_suppkey") % 5).cast("int"))
+    values = [F.col("l_quantity") * 800, F.col("l_extendedprice") / 3, F.col("l_discount") * 300000, F.col("l_tax") * 400000, F.col("l_partkey") % 1000 * 40.0, F.col("l_suppkey") % 100 * 400.0, F.col("l_linenumber") * 5000.0]
+    day = F.dayofmonth(F.col("l_shipdate").cast("date"))
+    quality = F.when(craft == "Sentinel-2A", day % 12).otherwise(F.expr("shiftleft(1, CAST(dayofmonth(CAST(l_shipdate AS date)) % 8 AS int))")).cast("double")
+    named = lambda names: F.create_map(*[x for n, v in zip(names, [*values, quality], strict=True) if n for x in (F.lit(n), v)])
+    oli, tm = ("SR_B2", "SR_B3", "SR_B4", "SR_B5", "SR_B6", "SR_B7", "ST_B10", "QA_PIXEL"), ("SR_B1", "SR_B2", "SR_B3", "SR_B4", "SR_B5", "SR_B7", "ST_B6", "QA_PIXEL")
+    s2 = ("B2", "B3", "B4", "B8", "B11", "B12", None, "SCL")
+    bands = F.when(craft == "Sentinel-2A", named(s2)).when(craft.isin("LANDSAT_8", "LANDSAT_9"), named(oli)).otherwise(named(tm))
+    keys = [F.col("l_orderkey").alias("row"), F.col("l_linenumber").cast("long").alias("col"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp")]
+    return table(spark, folder, "lineitem").select(*keys, craft.alias("spacecraft_id"), bands.alias("bands"))
+
+
+def epoch_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as epochs of a user's training run, in the order of their ids."""
+    from pyspark.sql import Window
+
+    epoch = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    return table(spark, folder, "events").select(F.col("user_id").alias("run_id"), epoch.cast("long").alias("epoch"), (F.col("value") - 2).alias("val_loss"), F.col("value").alias("loss"), (F.col("event_id") % 7 + 1).alias("size"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def new_patches(stream: DataFrame, key: str = "patch_id") -> DataFrame:
-    """Each id once."""
-    return stream.dropDuplicates([key])
+def new_patches(stream: DataFrame, key: str = "patch_id", time: str | None = None, late: str = "7 days") -> DataFrame:
+    """Each id once.  With an event time, ids are forgotten ``late`` after the newest row, so the state stays bounded."""
+    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key]) if time else stream.dropDuplicates([key])
 
 
 def running_confusion(stream: DataFrame, n_classes: int, ignore: int = 255) -> DataFrame:
@@ -21,6 +24,55 @@ def running_moments(stream: DataFrame, band: str, *by: str) -> DataFrame:
     return stream.groupBy(*by).agg(F.count(band).alias("n"), F.avg(band).alias("mean"), F.stddev_samp(band).alias("std"), F.min(band).alias("least"), F.max(band).alias("most"))
 
 
+def running_labels(stream: DataFrame) -> DataFrame:
+    """Sound and rejected labels so far by season and year."""
+    return stream.groupBy("season", "year").agg(F.count_if(F.col("mask_ok")).alias("n_valid"), F.count_if(~F.col("mask_ok")).alias("n_rejected"))
+
+
 def area_series(stream: DataFrame, time: str, *by: str, every: str = "30 days", late: str = "7 days") -> DataFrame:
     """Rows per window of event time; what is later than ``late`` is dropped."""
     return stream.withWatermark(time, late).groupBy(F.window(time, every).alias("span"), *by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def running_change(stream: DataFrame, *keys: str, date: str = "acq_date", value: str = "pixels") -> DataFrame:
+    """Change of a key's total against its date before, as dates arrive.
+
+    Each key's state is its latest date and total.  A date may arrive in one
+    batch only, its rows add up; dates older than the latest are dropped.
+    """
+    names = [*keys, "from_date", "to_date", "from_value", "to_value", "delta"]
+    kinds = [f"{k} {stream.schema[k].dataType.simpleString()}" for k in keys]
+    out = ", ".join([*kinds, "from_date date", "to_date date", "from_value long", "to_value long", "delta long"])
+
+    def step(key, frames, state):
+        last, total = state.get if state.exists else (None, None)
+        rows = pd.concat(list(frames))
+        found = []
+        for day, amount in rows.groupby(date)[value].sum().sort_index().items():
+            if last is not None and day <= last:
+                continue
+            if last is not None:
+                found.append((*key, last, day, total, int(amount), int(amount) - total))
+            last, total = day, int(amount)
+        if last is not None:
+            state.update((last, total))
+        yield pd.DataFrame(found, columns=names)
+
+    return stream.groupBy(*keys).applyInPandasWithState(step, out, "last date, total long", "append", "NoTimeout")
+
+
+def run_once(result: DataFrame, path: str, mode: str, shape: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Run a streaming result over what is there now; each batch's output goes to a folder of its own under ``path``.
+
+    Complete and update modes keep the last state of a batch: ``shape`` may pick rows of a table with a ``batch`` column.
+    """
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    query = result.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
+    query.awaitTermination()
+    rows = result.sparkSession.read.parquet(f"{path}/out")
+    if shape:
+        return shape(rows)
+    newest = rows.agg(F.max("batch")).first()[0] if mode == "complete" else None
+    return (rows.where(F.col("batch") == newest) if newest is not None else rows).drop("batch")
