@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -9,6 +10,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +97,22 @@ def with_output(docs: DataFrame, out: dict) -> list:
     return [*quoted(*(c for c in docs.columns if c.lower() not in new)), *(column.alias(name) for name, column in out.items())]
 
 
+def lean(run):
+    """A step over frames that gives the memory it has freed back to the system when a partition ends.
+
+    Python workers live on between tasks; what the C library keeps for them
+    would count against the executor all the while.
+    """
+
+    def lean_run(frames):
+        yield from run(frames)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return lean_run
+
+
 def whole_groups(frames, keys: list[str]):
     """Frames that hold whole groups only, from frames in which each group's rows are adjacent.
 

@@ -23,6 +23,7 @@ through; a column of the name ``out`` is replaced.
 
 from __future__ import annotations
 
+import heapq
 import string
 
 import numpy as np
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, free_names, in_slices, materialise, quoted, with_output
+from .common import RangeHash, free_names, in_slices, lean, materialise, quoted, with_output
 
 _PLAIN = bytes(32 if chr(c) in string.punctuation else c for c in range(256))
 MATCHES = "array<struct<item: string, coverage: double, tiles: array<struct<doc_start: int, item_start: int, length: int>>>>"
@@ -82,16 +83,26 @@ def tile(pattern: list[int], text: list[int], least: int) -> list[tuple[int, int
         if longest > 2 * s:
             s = longest
             continue
-        marked = False
-        for n, t, p in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            if not any(used_t[t : t + n]) and not any(used_p[p : p + n]):
-                used_t[t : t + n] = used_p[p : p + n] = [True] * n
-                tiles.append((t, p, n))
-                marked = True
-        if not marked:
-            if s == least:
-                break
-            s = max(s // 2, least)
+        heap = [(-n, t, p) for n, t, p in found]
+        heapq.heapify(heap)
+        while heap:
+            n, t, p = heapq.heappop(heap)
+            free = [not used_t[t + k] and not used_p[p + k] for k in range(-n)] + [False]
+            if all(free[:-1]):
+                used_t[t : t - n] = used_p[p : p - n] = [True] * -n
+                tiles.append((t, p, -n))
+                continue
+            start = None
+            for k, f in enumerate(free):  # what longer tiles left of this run competes by its own length
+                if f and start is None:
+                    start = k
+                elif not f and start is not None:
+                    if k - start >= s:
+                        heapq.heappush(heap, (start - k, t + start, p + start))
+                    start = None
+        if s == least:
+            break
+        s = max(s // 2, least)
     return tiles
 
 
@@ -120,7 +131,7 @@ def seeded(items: DataFrame, seed_words: int, item_id: str = "item_id", item_tex
             yield from in_slices(each(pdf), ["item_key", "item", "n_words", "width", "words", "seeds"], lambda row: 50 * len(row[5]))
 
     slim = items.select(F.col(*quoted(item_id)).cast("string").alias("item"), F.col(*quoted(item_text)).cast("string").alias("text")).where("text IS NOT NULL").distinct()
-    return slim.select(F.xxhash64("item", "text").alias("item_key"), "item", "text").mapInPandas(run, "item_key long, item string, n_words int, width int, words binary, seeds array<struct<seed: long, times: int>>")
+    return slim.select(F.xxhash64("item", "text").alias("item_key"), "item", "text").mapInPandas(lean(run), "item_key long, item string, n_words int, width int, words binary, seeds array<struct<seed: long, times: int>>")
 
 
 def _bit_table(seeds: DataFrame, bits: int) -> np.ndarray:
@@ -166,7 +177,7 @@ def _scan(docs: DataFrame, text_col: str, seeds: DataFrame, widths: list[int], b
             yield from in_slices(each(pdf, held.value), ["key1", "key2", "seeds", "words", "origins"], lambda row: 20 * len(row[2]) + len(row[3]))
 
     slim = docs.select(*[k.alias(n) for k, n in zip(_keys(text_col), ("key1", "key2"), strict=True)], _text(text_col).alias("text"))
-    found = slim.mapInPandas(run, "key1 long, key2 long, seeds array<long>, words binary, origins binary")
+    found = slim.mapInPandas(lean(run), "key1 long, key2 long, seeds array<long>, words binary, origins binary")
     return found.groupBy("key1", "key2").agg(*[F.first(c).alias(c) for c in ("seeds", "words", "origins")])
 
 
@@ -188,7 +199,7 @@ def _tiled(pairs: DataFrame, seed_words: int) -> DataFrame:
         for pdf in frames:
             yield from in_slices(each(pdf), ["key1", "key2", "item", "coverage", "tiles"], lambda row: 50 * len(row[4]) + 100)
 
-    return pairs.mapInPandas(run, "key1 long, key2 long, item string, coverage double, tiles array<struct<doc_start: int, item_start: int, length: int>>")
+    return pairs.mapInPandas(lean(run), "key1 long, key2 long, item string, coverage double, tiles array<struct<doc_start: int, item_start: int, length: int>>")
 
 
 def overlapping_texts(docs: DataFrame, items: DataFrame, threshold: float = 0.5, seed_words: int = 5, filter_bits: int = 26, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

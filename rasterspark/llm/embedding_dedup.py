@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, materialise, mix64, whole_groups
+from .common import NO_ID, lean, materialise, mix64, whole_groups
 from .links import by_block, components, in_chunks, local_forest, with_figures
 
 #: (scale, probes, tables) from coarse to fine; the larger the scale, the larger the cells.
@@ -230,10 +230,10 @@ def lattice_join(vectors: DataFrame, threshold: float = 0.9, step: tuple | None
                 if len(i):
                     yield count(i, j, part, x)
 
-    visits = materialise(classes.select("node", "vector").mapInPandas(visit, "cell long, node long, at_table int, own boolean"), "visits", 4096)
+    visits = materialise(classes.select("node", "vector").mapInPandas(lean(visit), "cell long, node long, at_table int, own boolean"), "visits", 4096)
     members, tasks = in_chunks(visits, "cell", "node", chunk, F.max("own"), rows_a_task=10_000)
     members = by_block(members.join(classes.select("node", "vector", "copies"), "node"), ["cell", "left", "right"], tasks)
-    found = materialise(members.mapInPandas(compare, "a long, b long, n long"), "links", 2048)
+    found = materialise(members.mapInPandas(lean(compare), "a long, b long, n long"), "links", 2048)
     counted = found.groupBy(F.col("b").alias("node")).agg(F.sum("n").alias("n"))
     clusters = components(found.select("a", "b")).select(F.col("id").alias("node"), F.col("component").alias("cluster"))
     told = classes.select("key", "node", "copies", "id").join(counted, "node", "left").join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))

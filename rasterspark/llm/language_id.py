@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, quoted, with_output
+from .common import free_names, lean, quoted, with_output
 
 UNDETERMINED = "und"
 
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n_bucke
                 used = np.flatnonzero(counts)
                 yield pd.DataFrame({"kind": kind, "place": used, "n": counts[used]})
 
-    found = rows.select("text").mapInPandas(frequencies, "kind string, place int, n long").groupBy("kind", "place").agg(F.sum("n").alias("n")).toPandas()  # one row for each bucket and code point at most
+    found = rows.select("text").mapInPandas(lean(frequencies), "kind string, place int, n long").groupBy("kind", "place").agg(F.sum("n").alias("n")).toPandas()  # one row for each bucket and code point at most
     counts = {kind: np.zeros(size) for kind, size in (("texts", 1), ("grams", n_buckets), ("letters", 0x110000))}
     for kind, part in found.groupby("kind"):
         counts[kind][part["place"].to_numpy()] = part["n"].to_numpy()
@@ -228,7 +228,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n_bucke
                     out.append((pdf["mark"][k], pdf["lang"][k], piece, bucket[own].astype(np.uint32).tobytes(), count[own].astype(np.uint32).tobytes()))
                 yield pd.DataFrame(out, columns=["mark", "lang", "piece", "used", "counts"])
 
-    data = held.mapInPandas(sparse, "mark long, lang string, piece int, used binary, counts binary").toPandas()  # bounded by ``sample`` texts
+    data = held.mapInPandas(lean(sparse), "mark long, lang string, piece int, used binary, counts binary").toPandas()  # bounded by ``sample`` texts
     data = data[data["used"].str.len() > 0].sort_values(["mark", "lang", "piece"], ignore_index=True)
     labels = data["lang"].map({x: k for k, x in enumerate(languages)}).to_numpy(np.int64)
     grams = [(np.frombuffer(u, np.uint32), np.frombuffer(c, np.uint32)) for u, c in zip(data["used"], data["counts"], strict=True)]

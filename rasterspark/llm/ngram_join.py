@@ -30,9 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, RangeHash, free_names, in_slices, materialise, quoted, random_table, whole_groups
+from .common import NO_ID, RangeHash, free_names, in_slices, lean, materialise, quoted, random_table, whole_groups
 from .links import by_block, components, in_chunks, local_forest, with_figures
-from .repeats import id_of, packed, repeats_ids, rows_of, tie_of, unpack, word_units
+from .repeats import id_of, only, packed, repeats_ids, rows_of, tie_of, unpack, word_units
 
 BANDS, BAND_ROWS = 24, 4
 HASHES = BANDS * BAND_ROWS
@@ -80,7 +80,7 @@ def sign(rows: DataFrame, gram: int) -> DataFrame:
         for pdf in frames:
             yield from in_slices(signed(pdf), ["id", "tie", "node", "signature", "bands"], lambda row: 1000)
 
-    return rows.mapInPandas(run, SIGNED)
+    return rows.mapInPandas(lean(run), SIGNED)
 
 
 def least_matches(threshold: float, tolerance: float, step: int) -> list[tuple[int, int]]:
@@ -175,7 +175,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, gram: int = 5, toleran
 
     members, tasks = in_chunks(classes.select(F.explode("bands").alias("band"), "node"), "band", "node", chunk)
     members = members.join(signatures, "node").select("band", "left", "right", "side", "node", "signature")
-    edges = by_block(members, ["band", "left", "right"], tasks).mapInPandas(candidates, "a long, b long")
+    edges = by_block(members, ["band", "left", "right"], tasks).mapInPandas(lean(candidates), "a long, b long")
     clusters = components(edges).select(F.col("id").alias("node"), F.col("component").alias("cluster"))
 
     def compare(frames):
@@ -196,10 +196,10 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, gram: int = 5, toleran
 
     whole = materialise(classes.select("node", "row.id", "row.tie", "copies", "signature").join(clusters, "node"), "clustered")
     # only texts of clustered classes are packed and moved; an id may have many texts, and a text many rows
-    texts = packed(rows.join(whole.select("id", "tie"), ["id", "tie"], "left_semi")).groupBy("id", "tie").agg(F.first("packed").alias("packed"))
+    texts = packed(only(rows, whole)).groupBy("id", "tie").agg(F.first("packed").alias("packed"))
     blocks, tasks = in_chunks(whole.select("cluster", "node", "id", "tie", "copies", "signature"), "cluster", "node", 512, rows_a_task=2000)
     blocks = by_block(blocks.join(texts, ["id", "tie"]), ["cluster", "left", "right"], tasks)
-    found = materialise(blocks.mapInPandas(compare, "a long, b long, n long"), "links", 512)
+    found = materialise(blocks.mapInPandas(lean(compare), "a long, b long, n long"), "links", 512)
     linked = found.groupBy(F.col("b").alias("node")).agg(F.sum("n").alias("n"))
     groups = components(found.select("a", "b")).select(F.col("id").alias("node"), F.col("component").alias("group"))
     classes = classes.select("node", "copies", "row").join(linked, "node", "left").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))

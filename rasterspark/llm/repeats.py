@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, RangeHash, in_slices, mix64, quoted, random_table, segments, whole_groups
+from .common import NO_ID, RangeHash, in_slices, lean, materialise, mix64, quoted, random_table, segments, whole_groups
 
 DOC = "id long, tie long, packed binary"
 #: place: start << 32 | n << 1 | repeats.  route: the key, or a spread-out hash for copies.
@@ -82,7 +82,7 @@ def packed(rows: DataFrame) -> DataFrame:
         for pdf in frames:
             yield pd.DataFrame({"id": pdf["id"], "tie": pdf["tie"], "packed": [squeeze(t.encode()) for t in pdf["text"]]})
 
-    return rows.mapInPandas(pack, DOC)
+    return rows.mapInPandas(lean(pack), DOC)
 
 
 def unpack(packed) -> bytes:
@@ -111,7 +111,7 @@ def routed(first: np.ndarray, copy: np.ndarray, seed: int) -> np.ndarray:
     return np.where(copy, anywhere, first).view(np.int64)
 
 
-def cut(docs: DataFrame, unit: str, window: int, gram: int, batch: int = 1 << 18, merge: int = 1 << 19) -> DataFrame:
+def cut(docs: DataFrame, unit: str, window: int, gram: int, batch: int = 1 << 17, merge: int = 1 << 17) -> DataFrame:
     """Segments of all packed documents; later copies among about ``merge`` segments in a row are marked ``copy``."""
 
     def merged(parts):
@@ -157,13 +157,13 @@ def cut(docs: DataFrame, unit: str, window: int, gram: int, batch: int = 1 << 18
         if flush():
             yield from merged(parts)
 
-    return docs.mapInPandas(run, SEGMENT)
+    return docs.mapInPandas(lean(run), SEGMENT)
 
 
 def marked(cut_: DataFrame, tasks: int | None = None) -> DataFrame:
     """Segments with further copies marked, and in ``open`` the firsts that need comparing by window."""
     dealt = cut_.repartition(tasks, "route") if tasks else cut_.repartition("route")
-    return dealt.sortWithinPartitions("route", "content", "id", "tie", "place").mapInPandas(_mark, MARKED)
+    return dealt.sortWithinPartitions("route", "content", "id", "tie", "place").mapInPandas(lean(_mark), MARKED)
 
 
 def _mark(frames):
@@ -205,10 +205,20 @@ def start_n(df: DataFrame) -> DataFrame:
     return df.select("id", "tie", F.shiftright("place", 32).cast("int").alias("start"), (F.shiftright("place", 1).bitwiseAND(0x7FFFFFFF)).cast("int").alias("n"))
 
 
+def only(docs: DataFrame, wanted: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The documents whose (id, tie) is in ``wanted``, a materialised table with distinct ones.
+
+    Up to ``most`` of them (16 bytes each) are broadcast, so that texts stay
+    where they are; more are joined by a shuffle.
+    """
+    keys = wanted.select("id", "tie")
+    return docs.join(F.broadcast(keys) if wanted.count() <= most else keys, ["id", "tie"], "left_semi")
+
+
 def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, tie, packed, wanted): documents with the array of their wanted segments."""
-    per_doc = wanted.groupBy("id", "tie").agg(F.collect_list(F.struct("route", "place")).alias("wanted"))
-    return docs.join(per_doc, ["id", "tie"])
+    per_doc = materialise(wanted.groupBy("id", "tie").agg(F.collect_list(F.struct("route", "place")).alias("wanted")), "wanted", 4096)
+    return only(docs, per_doc).join(per_doc, ["id", "tie"])
 
 
 def window_hashes(units: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +226,7 @@ def window_hashes(units: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarra
     return RangeHash(units, 21).all(window).view(np.int64), RangeHash(units, 22).all(window).view(np.int64)
 
 
-def windows_of(fetched: DataFrame, unit: str, window: int, merge: int = 1 << 19) -> DataFrame:
+def windows_of(fetched: DataFrame, unit: str, window: int, merge: int = 1 << 17) -> DataFrame:
     """WINDOW rows of the wanted segments of fetched documents; later copies among about ``merge`` rows are marked."""
 
     def merged(parts):
@@ -244,7 +254,7 @@ def windows_of(fetched: DataFrame, unit: str, window: int, merge: int = 1 << 19)
         if n_rows:
             yield from merged(parts)
 
-    return fetched.mapInPandas(run, WINDOW)
+    return fetched.mapInPandas(lean(run), WINDOW)
 
 
 def later_windows(windows: DataFrame) -> DataFrame:
@@ -261,7 +271,7 @@ def later_windows(windows: DataFrame) -> DataFrame:
                 out = rest.assign(copy=same, first_id=rest["id"].to_numpy()[of], first_tie=rest["tie"].to_numpy()[of], first_start=rest["start"].to_numpy()[of])
                 yield out[same & ~repeated]
 
-    return windows.repartition("route").sortWithinPartitions("route", "other", "id", "tie", "start").mapInPandas(run, WINDOW)
+    return windows.repartition("route").sortWithinPartitions("route", "other", "id", "tie", "start").mapInPandas(lean(run), WINDOW)
 
 
 def _as_before(pdf: pd.DataFrame, what: tuple, where: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

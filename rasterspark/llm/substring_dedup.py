@@ -39,8 +39,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, free_names, in_slices, materialise, quoted, setting, shared_dir
-from .repeats import DOC, MARKED, covered, cut, fetch, id_of, later_windows, marked, packed, rows_of, runs_of, tie_of, unpack, windows_of
+from .common import NO_ID, free_names, in_slices, lean, materialise, quoted, setting, shared_dir
+from .repeats import DOC, MARKED, covered, cut, fetch, id_of, later_windows, marked, only, packed, rows_of, runs_of, tie_of, unpack, windows_of
 
 #: Bytes of text for each bucket of the runs, and the most buckets.
 BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 50_000
@@ -151,7 +151,7 @@ class FingerprintIndex:
         pieces = _pieces(self._texts(), spans, window)
         told = spans.join(pieces, ["of_id", "of_tie", "of_start", "n"]).groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n", "piece")).alias("spans"))
         told = materialise(told, "told", 512)
-        return texts.join(told, ["id", "tie"], "left").mapInPandas(_keep(window, wanted), KEPT)
+        return texts.join(told, ["id", "tie"], "left").mapInPandas(lean(_keep(window, wanted)), KEPT)
 
     def _store(self, docs: DataFrame) -> DataFrame:
         path = f"{self.state['path']}/texts-{uuid.uuid4().hex}"
@@ -230,8 +230,8 @@ def _pieces(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
             yield from in_slices(each(pdf), ["of_id", "of_tie", "of_start", "n", "piece"], lambda row: len(row[4]) + 100)
 
     sources = spans.select("of_id", "of_tie", "of_start", "n").distinct().groupBy(F.col("of_id").alias("id"), F.col("of_tie").alias("tie")).agg(F.collect_list(F.struct("of_start", "n")).alias("wanted"))
-    sources = materialise(sources, "sources", 8192)  # of known size, so that Spark may choose how to join
-    return docs.join(sources, ["id", "tie"]).mapInPandas(run, "of_id long, of_tie long, of_start int, n int, piece binary")
+    sources = materialise(sources, "sources", 8192)
+    return only(docs, sources).join(sources, ["id", "tie"]).mapInPandas(lean(run), "of_id long, of_tie long, of_start int, n int, piece binary")
 
 
 def _keep(window: int, wanted: tuple):

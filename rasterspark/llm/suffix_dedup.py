@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, in_slices, materialise, whole_groups
+from .common import NO_ID, in_slices, lean, materialise, whole_groups
 from .repeats import SPAN, covered, cut, fetch, later_windows, marked, packed, rows_of, runs_of, start_n, unpack, windows_of, with_spans
 
 #: Bytes of the buckets that share a suffix array (a larger bucket has its own).
@@ -148,8 +148,8 @@ def repeated_windows(texts: DataFrame, window: int, gram: int, crowded: int) ->
 
     open_ = parted.where("open").select("route", "id", "tie", "place")
     crowds = materialise(open_.groupBy("route").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > crowded).select("route"), "crowds")
-    few = fetch(texts, open_.join(crowds, "route", "left_anti")).mapInPandas(cut_out, "route long, id long, tie long, place long, part binary")
-    few = few.repartition("route").sortWithinPartitions("route", "id", "tie", "place").mapInPandas(compare, SPAN)
+    few = fetch(texts, open_.join(crowds, "route", "left_anti")).mapInPandas(lean(cut_out), "route long, id long, tie long, place long, part binary")
+    few = few.repartition("route").sortWithinPartitions("route", "id", "tie", "place").mapInPandas(lean(compare), SPAN)
     found = start_n(parted.where("copy")).unionByName(few)
     if crowds.limit(1).count():
         many = later_windows(windows_of(fetch(texts, open_.join(crowds, "route", "left_semi")), "byte", window))
@@ -177,5 +177,5 @@ def suffix_dedup(docs: DataFrame, window: int = 100, gram: int = 32, crowded: in
         for pdf in frames:
             yield from in_slices(told(pdf), ["id", "kept", "n_bytes", "removed"], lambda row: len(row[1]) + 100)
 
-    result = with_spans(texts, spans).mapInPandas(keep, "id long, kept binary, n_bytes long, removed array<struct<start: long, end: long>>")
+    result = with_spans(texts, spans).mapInPandas(lean(keep), "id long, kept binary, n_bytes long, removed array<struct<start: long, end: long>>")
     return result.select(F.when(F.col("id") != F.lit(NO_ID), F.col("id")).alias(id_col), "kept", "n_bytes", "removed")

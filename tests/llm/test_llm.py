@@ -305,17 +305,6 @@ def test_quality(spark):
     assert set(got) == {r[0] for r in rows}
 
 
-def test_empty_tables(spark):
-    empty = spark.createDataFrame([], "doc_id long, text string, source string, lang string")
-    assert suffix_dedup.suffix_dedup(empty).count() == 0
-    assert substring_dedup.substring_dedup(empty).count() == 0
-    assert ngram_join.jaccard_join(empty).count() == 0
-    assert source_mix.mix(empty).count() == 0
-    assert quality_classifier.fit(empty).score(empty).count() == 0
-    assert embedding_dedup.lattice_join(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
-    assert chat_format.format_chats(spark.createDataFrame([], "conv_id int, turn int, role string, text string")).count() == 0
-
-
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
