@@ -37,13 +37,22 @@ def mosaic(obs: DataFrame, bands=OPTICAL, keys=PIXEL, order=("acq_date", "scene_
 def medoid(obs: DataFrame, bands=OPTICAL, keys=PIXEL, order=("acq_date", "scene_id")) -> DataFrame:
     """The real observation nearest to the median; ties go to the least of ``order``.
 
-    Only observations with all bands compete.
+    Only observations with all bands compete.  A pixel's observations (at most
+    one for each scene) are gathered once; median and nearest come from the array.
     """
     whole = obs.where(" AND ".join(f"`{b}` IS NOT NULL" for b in bands))
-    middle = median(obs, bands, keys).select(*keys, *[F.col(b).alias(f"_{b}") for b in bands])
-    far = sum(((F.col(b) - F.col(f"_{b}")) ** 2 for b in bands), F.lit(0.0))
-    best = F.min_by(F.struct(*bands, *order), F.struct(F.round(far, 12), *order)).alias("best")
-    return whole.join(middle, list(keys)).groupBy(*keys).agg(best).select(*keys, "best.*")
+    series = whole.groupBy(*keys).agg(F.collect_list(F.struct(*order, *bands)).alias("series"))
+    last = F.size("series") - 1
+
+    def middle(b: str):
+        values = F.array_sort(F.transform("series", lambda x: x[b]))
+        low, high = F.get(values, F.floor(last / 2).cast("int")), F.get(values, F.ceil(last / 2).cast("int"))
+        return low + (high - low) * 0.5
+
+    series = series.withColumns({f"_{b}": middle(b) for b in bands})
+    far = lambda x: sum(((x[b] - F.col(f"_{b}")) * (x[b] - F.col(f"_{b}")) for b in bands), F.lit(0.0))
+    best = F.array_min(F.transform("series", lambda x: F.struct(F.round(far(x), 12).alias("far"), *[x[c].alias(c) for c in (*order, *bands)])))
+    return series.select(*keys, best.alias("best")).select(*keys, *[F.col(f"best.{c}").alias(c) for c in (*bands, *order)])
 
 
 METHODS = {"median": median, "mean": mean, "percentile": percentile, "mosaic": mosaic, "medoid": medoid}

@@ -43,3 +43,21 @@ def combined(cells: DataFrame, *by: str, share: float = 0.5, weights=None, smoot
     two = dice(cells, *by).withColumnRenamed("loss", "dc")
     both = one.join(two, list(by)) if by else one.crossJoin(two)  # one row each
     return both.select(*by, (share * F.col("ce") + (1 - share) * F.col("dc")).alias("loss"))
+
+
+def all_losses(cells: DataFrame, n_classes: int, *by: str, weights=None, smoothing: float = 0.0, alpha: float = 0.25, gamma: float = 2.0, smooth: float = 1.0, logits: str = "logits", truth: str = "truth", ignore: int = 255) -> DataFrame:
+    """cross_entropy, focal and dice of tables with ``n_classes`` logits, in one aggregate."""
+    weight = F.array(*[F.lit(float(w)) for w in (weights or [1.0] * n_classes)])
+    rows = _log_probs(cells, logits, truth, ignore).withColumn("_w", weight)
+    own, p = F.get("_w", F.col(truth)), F.get("_lp", F.col(truth))
+    spread = F.aggregate(F.zip_with("_w", "_lp", lambda w, q: -w * q), F.lit(0.0), lambda s, x: s + x) / F.size("_lp")
+    each = (1 - smoothing) * own * -p + smoothing * spread
+    overlaps = []
+    for k in range(n_classes):
+        share, hit = F.exp(F.get("_lp", F.lit(k))), (F.col(truth) == k).cast("double")
+        overlaps.append((2 * F.sum(share * hit) + smooth) / (F.sum(share) + F.sum(hit) + smooth))
+    return rows.groupBy(*by).agg(
+        F.coalesce(F.try_divide(F.sum(each), F.sum(own)), F.lit(0.0)).alias("cross_entropy"),
+        F.coalesce(F.avg(alpha * F.pow(1 - F.exp(p), gamma) * -p), F.lit(0.0)).alias("focal"),
+        (1 - sum(overlaps[1:], overlaps[0]) / n_classes).alias("dice"),
+    )

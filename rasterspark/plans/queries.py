@@ -192,8 +192,7 @@ def patch_losses(spark, folder):
     cells = views.patch_cells(spark, folder).select("patch_id", "r", "c", F.array(*[F.col(f"v{k}") * 10 for k in range(4)]).alias("logits"))
     truth = views.pred_truth(spark, folder).select(F.col("sample_id").alias("patch_id"), "r", "c", "truth")
     rows = cells.join(truth, ["patch_id", "r", "c"])
-    found = [("cross_entropy", losses.cross_entropy(rows, "patch_id", weights=(1, 2, 3, 4), smoothing=0.1)), ("focal", losses.focal(rows, "patch_id")), ("dice", losses.dice(rows, "patch_id"))]
-    return _rounded(found[0][1].withColumnRenamed("loss", found[0][0]).join(found[1][1].withColumnRenamed("loss", found[1][0]), "patch_id").join(found[2][1].withColumnRenamed("loss", found[2][0]), "patch_id"))
+    return _rounded(losses.all_losses(rows, 4, "patch_id", weights=(1, 2, 3, 4), smoothing=0.1))
 
 
 def turned_masks(spark, folder):
