@@ -1,9 +1,15 @@
 """From raw documents to a training mix, one operator after another.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns
-is written as Parquet and read again as the next one's documents.  An empty
-table passes every stage as an empty table.  Columns beyond those of the
-documents pass all stages.
+is written as Parquet and read again as the next one's documents.
+
+Null text, or text without a letter: goes in the first stage.  Null language or
+source: a value like any other.  Null ids: kept, told apart by text, after all
+others.  Of rows that repeat id and text one stays in the second stage; of
+linked documents the one with the smallest id stays, and under one id the text
+decides.  An empty table passes every stage as an empty table.  Texts of any
+length are whole.  Columns beyond those of the documents, of whatever name, pass
+all stages; only one named ``copies`` is replaced in the last.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ from rasterspark.llm import decontamination, language_id, ngram_join, source_mix
 from rasterspark.llm.common import free_names, materialise, quoted
 
 #: How many times as likely as each other language (all alike) the best guess must be at least.
-#: Of four languages that is a score of 0.3; very short clean texts reach 0.35 there.
+#: Of four languages that is a score of 0.3.  A score is this chance times the share of letters in use in labelled texts.
 LEAST_ODDS = 9 / 7
 
 
@@ -67,7 +73,7 @@ STAGES = [
     ("source_mix", mixed),
 ]
 
-#: The cube method and the language model have no SQL; tests hold run() against a brute-force version.
+#: The cube method and the language model have no SQL; tests/llm/test_brute.py holds each stage, and run(), against plain versions.
 ORACLE_SQL = None
 
 
