@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, lean, quoted, with_output
+from .common import free_names, lean, quoted, setting, with_output
 
 UNDETERMINED = "und"
 
@@ -199,7 +199,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n_bucke
                 used = np.flatnonzero(counts)
                 yield pd.DataFrame({"kind": kind, "place": used, "n": counts[used]})
 
-    found = rows.select("text").mapInPandas(lean(frequencies), "kind string, place int, n long").groupBy("kind", "place").agg(F.sum("n").alias("n")).toPandas()  # one row for each bucket and code point at most
+    with setting(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="2048"):
+        found = rows.select("text").mapInPandas(lean(frequencies), "kind string, place int, n long").groupBy("kind", "place").agg(F.sum("n").alias("n")).toPandas()  # one row for each bucket and code point at most
     counts = {kind: np.zeros(size) for kind, size in (("texts", 1), ("grams", n_buckets), ("letters", 0x110000))}
     for kind, part in found.groupby("kind"):
         counts[kind][part["place"].to_numpy()] = part["n"].to_numpy()

@@ -115,6 +115,19 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(length(body) + CASE WHEN before = role THEN 10 ELSE 12 + length(name) + 1 + 11 END)::BIGINT AS formatted_chars
 FROM placed GROUP BY conv_id
+""",
+    "op7_suffix_dedup": """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+parts AS (SELECT doc_id, len(h) // 2 AS n, h, unnest(range(0, len(h) // 2, 500)) AS base FROM docs WHERE len(h) > 0),
+pieces AS (SELECT doc_id, n, base, substr(h, 2 * base + 1, 1198) AS x FROM parts),
+bytes AS (SELECT doc_id, n, base, x, unnest(range(1, least(500, n - base) + 1)) AS k FROM pieces),
+cut AS (SELECT doc_id, base + k AS p, substr(x, 2 * k - 1, 2) AS byte, CASE WHEN base + k <= n - 99 THEN substr(x, 2 * k - 1, 200) END AS w FROM bytes),
+marked AS (SELECT doc_id, p, byte, w IS NOT NULL AND row_number() OVER (PARTITION BY w ORDER BY doc_id, p) > 1 AS later FROM cut),
+gone AS (SELECT doc_id, p, byte, bool_or(later) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM marked),
+edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS first FROM gone),
+told AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (first) AS n_spans, string_agg(byte, '' ORDER BY p) FILTER (NOT gone) AS kept FROM edges GROUP BY doc_id)
+SELECT docs.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM docs LEFT JOIN told USING (doc_id)
 """,
     "op8_substring_dedup": r"""
 WITH words AS (
