@@ -66,12 +66,14 @@ def agreement(cells: DataFrame, *by: str, rules=STANDARD_RULES) -> DataFrame:
     return cells.groupBy(*by).agg(F.round(F.coalesce(F.try_divide(most, F.count_if(valid)), F.lit(0.0)), 4).alias("agreement_score"))
 
 
-def generate(pixels: DataFrame, *by: str, rules=STANDARD_RULES, clean=None, least_confidence: float = 0.30, **quality) -> DataFrame:
+def generate(pixels: DataFrame, *by: str, rules=STANDARD_RULES, strategy=None, clean=None, least_confidence: float = 0.30, **quality) -> DataFrame:
     """Quality, confidence and verdict of the labels that rules give each patch, in one pass over all patches.
 
-    ``clean`` may be a function of the class cells (such as ``cleaning.per_patch``).
+    ``strategy`` may be a function of the user's from pixels to class cells
+    (class_id, confidence, unclassified, nodata) in place of the rules, ``clean``
+    one of the class cells (such as ``cleaning.per_patch``).
     """
-    cells = classify.classify(pixels, rules)
+    cells = strategy(pixels) if strategy else classify.classify(pixels, rules)
     if clean:
         cells = clean(cells)
     cells = classify.with_nodata(cells)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar, geometry, probability, spectral
-from ..operators import analytics, augment, catalog, checks, classify, cleaning, composite, dataset, epochs, harmonise, labels, losses, metrics, overlays, regions, reports, tiling
+from ..operators import analytics, assembly, augment, catalog, checks, classify, cleaning, composite, dataset, epochs, figures, harmonise, labels, losses, metrics, overlays, regions, reports, tiling
 from ..sources import manifests, views
 from ..streaming import running
 from .queries import _BUCKET, _CELLS, _LOSSES, _MASKS, _MATRIX, _OBS, _PER_CLASS, _RANDOM, _REGIONS, _SAMPLES, _SCENES, _SEASON, _TEMPORAL, _labelled, _masks, _rounded, _sample_metrics, _soft
@@ -276,6 +276,20 @@ def sampling_weights(spark, folder):
     return _rounded(seasonal.join(dataset.valid_weights(rows).select("sample_id", F.col("weight").alias("valid_weight")), "sample_id"), 12)
 
 
+def assembled_dataset(spark, folder):
+    """Samples and scenes of each split of an assembled data set, with its issues and score."""
+    patches = views.samples(spark, folder).withColumnRenamed("sample_id", "patch_id").drop("class_id", "pixels")
+    made = assembly.assemble(patches, _patch_labels(spark, folder).select("patch_id", "is_valid", F.col("line").alias("class_id"), F.lit(1).alias("pixels"), "ordinal"))
+    issues = made.issues.groupBy("issue").agg(F.count("*").alias("n")).select(F.col("issue").alias("name"), "n", F.lit(None).cast("double").alias("score"))
+    splits = made.samples.groupBy("split").agg(F.count("*").alias("n")).select(F.col("split").alias("name"), "n", F.lit(None).cast("double").alias("score"))
+    return _rounded(splits.unionByName(issues).unionByName(made.quality.select(F.lit("quality").alias("name"), F.col("n_samples").alias("n"), "score")))
+
+
+def split_dates(spark, folder):
+    rows = dataset.split(views.samples(spark, folder), "random").withColumn("season", calendar.season(F.month("acq_date")))
+    return assembly.split_dates(rows)
+
+
 # Preparing cells
 
 def training_rows(spark, folder):
@@ -521,6 +535,19 @@ def ranked_regions(spark, folder):
     return found.select("patch_id", "class_id", "rank", "area_px")
 
 
+def stacked_fractions(spark, folder):
+    return _rounded(augment.stacked(classify.shares(_masks(spark, folder), "patch_id").select("patch_id", "class_id", "fraction"), "patch_id"))
+
+
+def seasonal_chart(spark, folder):
+    wide = figures.seasonal_chart(analytics.seasonal(_sample_metrics(spark, folder)), range(1, 7))
+    return _rounded(wide.select("season", *[F.col(f"`{k}_{x}`").alias(f"{x}_{k}") for k in range(1, 7) for x in ("mean", "std")]))
+
+
+def side_by_side(spark, folder):
+    return figures.side_by_side(views.pred_truth(spark, folder), value="pred")
+
+
 def class_frequencies(spark, folder):
     return _rounded(metrics.frequencies(metrics.confusion(views.pred_truth(spark, folder), 4)))
 
@@ -775,6 +802,13 @@ UNION ALL SELECT sample_id::VARCHAR, 'id outside the classes: ' || count(*) FROM
     "prepared_checks": (prepared_checks, "SELECT 'no training sample' AS issue, 0::BIGINT AS value UNION ALL SELECT 'other number of bands', 6 UNION ALL SELECT 'deviation not above 0', count(*) FROM (SELECT 1 FROM lineitem LIMIT 1)"),
     "band_report": (band_report, f"""{_CELLS}, long AS (SELECT patch_id, unnest(['v0', 'v1', 'v2']) AS band, unnest([v0, v1, v2]) AS x FROM cells)
 SELECT patch_id, band, round(avg((abs(x) > 0.02)::INT), 6) AS valid_share, round(min(x) FILTER (abs(x) > 0.02), 6) AS least, round(max(x) FILTER (abs(x) > 0.02), 6) AS most, count(*) FILTER (NOT abs(x) > 0.02) AS n_missing FROM long GROUP BY ALL"""),
+    "assembled_dataset": (assembled_dataset, f"""{_TEMPORAL.replace('class_id,', 'class_id, (o_orderkey % 101) / 100 AS valid_ratio,').replace('FROM orders JOIN', 'FROM orders JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_discount > 0.02) ON l_orderkey = o_orderkey JOIN')},
+last AS (SELECT l_orderkey, arg_max(l_linenumber, (l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS line FROM lineitem WHERE l_discount > 0.02 GROUP BY l_orderkey),
+sums AS (SELECT line, count(*) AS n FROM dealt JOIN last ON l_orderkey = sample_id GROUP BY line), q AS (SELECT count(*) AS n, avg((valid_ratio >= 0.5)::INT) AS valid FROM dealt)
+SELECT split AS name, count(*) AS n, NULL::DOUBLE AS score FROM dealt GROUP BY split UNION ALL SELECT 'too few valid pixels', count(*), NULL FROM dealt WHERE valid_ratio < 0.5
+UNION ALL SELECT 'quality', n, round(least(1, 0.4::DOUBLE * valid + 0.3::DOUBLE + 0.2::DOUBLE * greatest(0, 1 - ((SELECT max(n) / min(n) FROM sums) - 1) / 20) + 0.1::DOUBLE), 4) FROM q"""),
+    "split_dates": (split_dates, f"""{_RANDOM}, d AS (SELECT split, {_SEASON} AS season, year(acq_date)::VARCHAR AS year FROM dealt), x AS (SELECT split, 'season' AS kind, season AS name FROM d UNION ALL SELECT split, 'year', year FROM d)
+SELECT split, kind, name, count(*) AS n FROM x GROUP BY ALL UNION ALL SELECT 'overall', kind, name, count(*) FROM x GROUP BY kind, name"""),
     "sampling_weights": (sampling_weights, f"""{_SAMPLES.replace('class_id,', 'class_id, (o_orderkey % 101) / 100 AS valid_ratio,')}, s AS (SELECT *, {_SEASON} AS season, 1 / least(greatest(valid_ratio, 0.01), 1) AS raw FROM samples)
 SELECT sample_id, round(1 / ((SELECT count(DISTINCT season) FROM s) * count(*) OVER (PARTITION BY season)), 12) AS weight, round(raw / sum(raw) OVER (), 12) AS valid_weight FROM s"""),
     "training_rows": (training_rows, f"""{_CELLS}, x AS (SELECT patch_id, r, c, v0, CASE WHEN v1 > 0.3 THEN NULL ELSE v1 END AS v1, v2, CASE WHEN abs(v0) < 0.02 THEN -1 ELSE 1 END AS class_id FROM cells),
@@ -846,6 +880,10 @@ SELECT class_id, round(coalesce(e.f, 0) - coalesce(a.f, 0), 6) AS difference FRO
     "region_widths": (region_widths, f"""{_REGIONS}, best AS (SELECT patch_id, class_id, arg_max(row_width, (area_px, -region)) AS width FROM regions WHERE area_px >= 4 GROUP BY ALL)
 SELECT p.patch_id, p.class_id, round(coalesce(width, 0), 6) AS width_px FROM (SELECT DISTINCT patch_id, class_id FROM labelled) p LEFT JOIN best USING (patch_id, class_id)"""),
     "ranked_regions": (ranked_regions, f"{_REGIONS} SELECT patch_id, class_id, row_number() OVER (PARTITION BY patch_id, class_id ORDER BY area_px DESC, region)::INT AS rank, area_px FROM regions"),
+    "stacked_fractions": (stacked_fractions, f"""{_MASKS}, f AS (SELECT p.patch_id, k::INT AS class_id, count(m.class_id) / 64 AS fraction FROM (SELECT DISTINCT patch_id FROM masks) p CROSS JOIN range(4) g(k) LEFT JOIN masks m ON m.patch_id = p.patch_id AND m.class_id = k GROUP BY p.patch_id, k)
+SELECT patch_id, class_id, round(fraction, 6) AS fraction, round(coalesce(sum(fraction) OVER (PARTITION BY patch_id ORDER BY class_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS bottom FROM f"""),
+    "seasonal_chart": (seasonal_chart, f"{_SAMPLES} SELECT {_SEASON} AS season, {', '.join(f'round(coalesce(avg(fraction) FILTER (class_id = {k}), 0), 6) AS mean_{k}, round(coalesce(stddev_pop(fraction) FILTER (class_id = {k}), 0), 6) AS std_{k}' for k in range(1, 7))} FROM samples GROUP BY 1"),
+    "side_by_side": (side_by_side, f"{_CELLS}, i AS (SELECT min(vec_id) AS a, (SELECT min(vec_id) FROM embeddings WHERE vec_id > (SELECT min(vec_id) FROM embeddings)) AS b FROM embeddings) SELECT r::INT AS r, c::INT AS c, max({_BUCKET.format('v0')}) FILTER (patch_id = a) AS left, max({_BUCKET.format('v0')}) FILTER (patch_id = b) AS right FROM cells, i GROUP BY r, c"),
     "class_frequencies": (class_frequencies, f"{_PER_CLASS} SELECT class_id::INT AS class_id, support::BIGINT AS true_pixels, (tp + fp)::BIGINT AS pred_pixels, round(support / total, 6) AS true_share, round((tp + fp) / total, 6) AS pred_share FROM each"),
     "split_metrics": (split_metrics, f"""{_MATRIX}, s AS (SELECT CASE WHEN label < 7 THEN 'train' ELSE 'test' END AS split, pred, truth FROM pairs JOIN embeddings ON vec_id = sample_id),
 e AS (SELECT split, k, count(*) FILTER (truth = k AND pred = k) AS tp, count(*) FILTER (truth <> k AND pred = k) AS fp, count(*) FILTER (truth = k AND pred <> k) AS fn, count(*) AS total FROM s, range(4) t(k) GROUP BY split, k)
