@@ -45,7 +45,11 @@ _BYTES = random_table(1)
 
 def word_units(text: bytes) -> np.ndarray:
     """One hash per word; words are what white space (0x20, 0x09-0x0D) separates."""
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, text.split()), np.uint64)
+    return word_hashes(text.split())
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 UNITS = {"byte": byte_units, "word": word_units}
@@ -226,6 +230,17 @@ def window_hashes(units: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarra
     return RangeHash(units, 21).all(window).view(np.int64), RangeHash(units, 22).all(window).view(np.int64)
 
 
+def wanted_windows(raw: bytes, wanted, unit: str, window: int):
+    """(start, hash, other hash) of the windows of the wanted segments; units elsewhere in the document are not looked at."""
+    places = np.sort(np.array([w["place"] for w in wanted], np.int64))
+    start, n = places >> 32, places >> 1 & 0x7FFFFFFF
+    first = np.flatnonzero(np.r_[True, start[1:] > (start + n)[:-1]])  # segments next to each other go together
+    whole = raw if unit == "byte" else raw.split()
+    for a, b in zip(start[first], np.maximum.reduceat(start + n, first), strict=True):
+        part = whole[a : b + window - 1]
+        yield int(a), *window_hashes(byte_units(part) if unit == "byte" else word_hashes(part), window)
+
+
 def windows_of(fetched: DataFrame, unit: str, window: int, merge: int = 1 << 17) -> DataFrame:
     """WINDOW rows of the wanted segments of fetched documents; later copies among about ``merge`` rows are marked."""
 
@@ -244,10 +259,10 @@ def windows_of(fetched: DataFrame, unit: str, window: int, merge: int = 1 << 17)
         parts, n_rows = [], 0
         for pdf in frames:
             for i, tie, z, wanted in zip(pdf["id"], pdf["tie"], pdf["packed"], pdf["wanted"], strict=True):
-                a, b = window_hashes(UNITS[unit](unpack(z)), window)
-                starts = np.concatenate([np.arange(w["place"] >> 32, (w["place"] >> 32) + (w["place"] >> 1 & 0x7FFFFFFF)) for w in wanted])
-                parts.append((a[starts], b[starts], np.full(len(starts), i), np.full(len(starts), tie), starts))
-                n_rows += len(starts)
+                for start, a, b in wanted_windows(unpack(z), wanted, unit, window):
+                    starts = np.arange(start, start + len(a))
+                    parts.append((a, b, np.full(len(starts), i), np.full(len(starts), tie), starts))
+                    n_rows += len(starts)
                 if n_rows >= merge:
                     n_rows = 0
                     yield from merged(parts)
