@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, embedding_dedup, language_id, ngram_join, quality_classifier, source_mix, substring_dedup, suffix_dedup, token_counts
+from . import chat_format, decontamination, embedding_dedup, language_id, ngram_join, quality_classifier, sharding, source_mix, substring_dedup, suffix_dedup, token_alignment, token_counts, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,11 +90,26 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(_table(spark, sf_dir, "documents")).drop("tie")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_source_mix, op2_language_id, op3_token_counts, op4_quality_classifier, op5_decontamination,
         op6_chat_format, op7_suffix_dedup, op8_substring_dedup, op9_embedding_dedup, op10_ngram_join,
+        op11_sharding, op12_token_alignment, op13_whitening,
     )
 }
 
