@@ -225,23 +225,29 @@ def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return only(docs, per_doc).join(per_doc, ["id", "tie"])
 
 
-def window_hashes(units: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of each window of a document, by its start."""
-    return RangeHash(units, 21).all(window).view(np.int64), RangeHash(units, 22).all(window).view(np.int64)
-
-
-def wanted_windows(raw: bytes, wanted, unit: str, window: int):
-    """(start, hash, other hash) of the windows of the wanted segments; units elsewhere in the document are not looked at."""
+def wanted_parts(raw: bytes, wanted, unit: str, window: int):
+    """(start, units) of the wanted segments, those next to each other as one; units elsewhere in the document are not looked at."""
     places = np.sort(np.array([w["place"] for w in wanted], np.int64))
     start, n = places >> 32, places >> 1 & 0x7FFFFFFF
-    first = np.flatnonzero(np.r_[True, start[1:] > (start + n)[:-1]])  # segments next to each other go together
+    first = np.flatnonzero(np.r_[True, start[1:] > (start + n)[:-1]])
     whole = raw if unit == "byte" else raw.split()
-    for a, b in zip(start[first], np.maximum.reduceat(start + n, first), strict=True):
+    for a, b in zip(start[first].tolist(), np.maximum.reduceat(start + n, first).tolist(), strict=True):
         part = whole[a : b + window - 1]
-        yield int(a), *window_hashes(byte_units(part) if unit == "byte" else word_hashes(part), window)
+        yield a, byte_units(part) if unit == "byte" else word_hashes(part)
+
+
+def window_rows(parts: list, window: int) -> tuple[np.ndarray, ...]:
+    """(hash, other hash, id, tie, start) of every window of the parts (id, tie, start, units)."""
+    lengths = np.array([len(p[3]) for p in parts])
+    units, ends = np.concatenate([p[3] for p in parts]), np.cumsum(lengths)
+    owner = np.repeat(np.arange(len(parts)), lengths)[: max(0, len(units) - window + 1)]
+    at = np.flatnonzero(np.arange(len(owner)) + window <= ends[owner])
+    owner = owner[at]
+    ids, ties, starts = (np.array([p[k] for p in parts], np.int64) for k in range(3))
+    return *(RangeHash(units, seed).all(window).view(np.int64)[at] for seed in (21, 22)), ids[owner], ties[owner], starts[owner] + at - (ends - lengths)[owner]
 
 
-def windows_of(fetched: DataFrame, unit: str, window: int, merge: int = 1 << 17) -> DataFrame:
+def windows_of(fetched: DataFrame, unit: str, window: int, batch: int = 1 << 16, merge: int = 1 << 17) -> DataFrame:
     """WINDOW rows of the wanted segments of fetched documents; later copies among about ``merge`` rows are marked."""
 
     def merged(parts):
@@ -256,17 +262,21 @@ def windows_of(fetched: DataFrame, unit: str, window: int, merge: int = 1 << 17)
             yield pd.DataFrame({"route": route[w], "other": b[w], "id": ident[w], "tie": tie[w], "start": start[w], "copy": copy[w], "first_id": ident[first][w], "first_tie": tie[first][w], "first_start": start[first][w]})
 
     def run(frames):
-        parts, n_rows = [], 0
+        held, parts, n_units, n_rows = [], [], 0, 0
         for pdf in frames:
             for i, tie, z, wanted in zip(pdf["id"], pdf["tie"], pdf["packed"], pdf["wanted"], strict=True):
-                for start, a, b in wanted_windows(unpack(z), wanted, unit, window):
-                    starts = np.arange(start, start + len(a))
-                    parts.append((a, b, np.full(len(starts), i), np.full(len(starts), tie), starts))
-                    n_rows += len(starts)
+                for start, units in wanted_parts(unpack(z), wanted, unit, window):
+                    held.append((i, tie, start, units))
+                    n_units += len(units)
+                if n_units >= batch:
+                    parts.append(window_rows(held, window))
+                    held, n_units, n_rows = [], 0, n_rows + len(parts[-1][0])
                 if n_rows >= merge:
                     n_rows = 0
                     yield from merged(parts)
-        if n_rows:
+        if held:
+            parts.append(window_rows(held, window))
+        if parts:
             yield from merged(parts)
 
     return fetched.mapInPandas(lean(run), WINDOW)
