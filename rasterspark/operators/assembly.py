@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,37 @@ from pyspark.sql import functions as F
 from . import checks, dataset
 
 
+@dataclass(frozen=True)
+class AreaResult:
+    """What the stages of one area gave; None where a stage gave nothing.  ``failed`` holds the error that ended them, if one did."""
+
+    aoi_id: str
+    patches: DataFrame | None = None
+    labels: DataFrame | None = None
+    failed: str | None = None
+
+
+def united(areas: list[AreaResult], key: str = "patch_id") -> tuple[DataFrame | None, DataFrame | None, str]:
+    """(patches, labels, area that stands for all: the first) of all areas, for the stages that see them together.
+
+    Rows keep their area in ``aoi_id`` and their place in ``area_order``, so
+    labels of one patch id in two areas stay apart and later ones win as they
+    came.  Columns that one area lacks are NULL there; an area without patches or labels
+    adds none.  After a failed area nothing is united: an error names it.
+    """
+    if not areas:
+        raise ValueError("no area")
+    if failed := next((a for a in areas if a.failed), None):
+        raise RuntimeError(f"area {failed.aoi_id}: {failed.failed}")
+
+    def together(name: str) -> DataFrame | None:
+        own = [(k, a.aoi_id, getattr(a, name)) for k, a in enumerate(areas)]
+        own = [df.withColumns({"aoi_id": F.lit(aoi), "area_order": F.lit(k), key: F.concat_ws("/", F.lit(aoi), F.col(key))}) for k, aoi, df in own if df is not None]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), own) if own else None
+
+    return together("patches"), together("labels"), areas[0].aoi_id
+
+
 @dataclass(frozen=True)
 class Assembly:
     samples: DataFrame

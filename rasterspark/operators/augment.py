@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.manifests import kept
+
 
 def chance(*parts) -> Column:
-    """A number in [0, 1) from a hash of the parts."""
-    hashed = F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    return F.pmod(hashed, F.lit(1 << 53)) / float(1 << 53)
+    """A number in [0, 1): the first 52 bits of the MD5 of the parts, joined by ``|``, as any engine can compute it."""
+    text = F.concat_ws("|", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / float(1 << 52)
 
 
 def flip(cells: DataFrame, size: int, axis: str, when: Column) -> DataFrame:
@@ -30,8 +34,8 @@ def contrast(cells: DataFrame, bands, factor: Column, *by: str) -> DataFrame:
     """Values moved from the mean of all bands of the patch by ``factor``."""
     sums = sum((F.coalesce(b, F.lit(0.0)) for b in bands), F.lit(0.0))
     known = sum((F.col(b).isNotNull().cast("int") for b in bands), F.lit(0))
-    mean = cells.groupBy(*by).agg((F.sum(sums) / F.sum(known)).alias("_mean"))
-    return cells.join(mean, list(by)).withColumns({b: (F.col(b) - F.col("_mean")) * factor + F.col("_mean") for b in bands}).drop("_mean")
+    whole = Window.partitionBy(*by)  # a patch is a bounded group
+    return cells.withColumn("_mean", F.sum(sums).over(whole) / F.sum(known).over(whole)).withColumns({b: (F.col(b) - F.col("_mean")) * factor + F.col("_mean") for b in bands}).drop("_mean")
 
 
 def noise(cells: DataFrame, bands, sigma: float, *parts) -> DataFrame:
@@ -68,30 +72,47 @@ def area_tiles(areas: DataFrame, most: int) -> DataFrame:
     })
 
 
-def weighted_draws(samples: DataFrame, n: int, weight: str = "weight", key: str = "sample_id", seed: int = 42, per_slot: int = 1000) -> DataFrame:
+def weighted_draws(samples: DataFrame, n: int, weight: str = "weight", key: str = "sample_id", seed: int = 42, per_slot: int = 1000, per_task: int = 200_000) -> DataFrame:
     """(draw, key): ``n`` draws with replacement, each sample as likely as its share of all weight.
 
-    Samples lie one after another on the line from 0 to 1; draws are seeded
-    places on it.  The line is cut into slots of about ``per_slot`` draws, so
-    that no task orders all samples.  Weights count relative to the largest, in
-    doubles, whatever their scale; those of 0 or less, or null, are never drawn.
+    Samples lie one after another, by key, on a line of their weights, and draw
+    k falls on it at ``chance(seed, k)``.  Keys are cut into ranges of about
+    ``per_task``; sums within each, and before each, give every sample its part
+    of the line.  A range is cut further where it is heavy, into slots of about
+    ``per_slot`` draws, so no task gets more than a range and a slot.  Weights
+    count relative to the largest, in doubles; those of 0 or less, or null, and
+    null keys are never drawn.  Rows of one key add up.
     """
-    known = samples.select(F.col(key).alias("_key"), F.col(weight).cast("double").alias("_w")).where("_w > 0")
-    most = known.agg(F.max("_w").alias("_most"))  # one row
-    units = known.crossJoin(F.broadcast(most)).select("_key", (F.col("_w") / F.col("_most")).alias("_w"), F.pmod(F.xxhash64("_key"), F.lit(4096)).alias("_bin"))
-    within = Window.partitionBy("_bin").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
-    units = units.withColumn("_upto", F.sum("_w").over(within)).withColumn("_from", F.coalesce(F.lag("_upto").over(Window.partitionBy("_bin").orderBy("_key")), F.lit(0.0)))
-    bins = units.groupBy("_bin").agg(F.max("_upto").alias("_in"))  # 4096 rows at most; ends are the units' own, so the parts of the line meet
-    w = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select("_bin", F.coalesce(F.sum("_in").over(w), F.lit(0.0)).alias("_before"), F.sum("_in").over(Window.partitionBy()).alias("_total"))
-    line = units.join(F.broadcast(bins), "_bin").select("_key", ((F.col("_before") + F.col("_from")) / F.col("_total")).alias("at"), ((F.col("_before") + F.col("_upto")) / F.col("_total")).alias("end"))
-    slots = max(1, n // per_slot)
-    slot = lambda c: F.least(F.floor(c * slots), F.lit(slots - 1))
-    line = line.select(F.explode(F.sequence(slot(F.col("at")), slot(F.col("end") + 1e-12))).alias("slot"), "at", "_key", F.lit(None).cast("long").alias("draw"))
-    draws = samples.sparkSession.range(n).select(chance(F.col("id"), seed).alias("at"), F.col("id").alias("draw"))
-    draws = draws.select(slot(F.col("at")).alias("slot"), "at", F.lit(None).cast(line.schema["_key"].dataType).alias("_key"), "draw")
-    holder = F.last("_key", ignorenulls=True).over(Window.partitionBy("slot").orderBy("at", F.col("draw").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    return line.unionByName(draws).withColumn(key, holder).where(F.col("draw").isNotNull() & F.col(key).isNotNull()).select("draw", key)
+    spark = samples.sparkSession
+    known = samples.select(F.col(key).alias("_key"), F.col(weight).cast("double").alias("_w")).where("_w > 0 AND _key IS NOT NULL")
+    most, n_keys = known.agg(F.max("_w"), F.count("*")).first()
+    if not n_keys:
+        return known.select(F.lit(0).cast("long").alias("draw"), F.col("_key").alias(key)).where("false")
+    units = known.groupBy("_key").agg((F.sum(F.col("_w") / most)).alias("_w"))
+    units = kept(units.repartitionByRange(max(1, math.ceil(n_keys / per_task)), "_key").withColumn("_range", F.spark_partition_id()), "line")
+    sums = sorted((r["_range"], r["w"]) for r in units.groupBy("_range").agg(F.sum("_w").alias("w")).collect())  # one row for each range
+    starts, total = [], 0.0
+    for _, w in sums:
+        starts.append(total)
+        total += w
+    places = spark.createDataFrame([(k, at, total, max(1, math.ceil(n * w / total / per_slot)), w) for (k, w), at in zip(sums, starts, strict=True)], "_range int, _start double, _total double, _slots int, _in double")
+    within = Window.partitionBy("_range").orderBy("_key")
+    line = units.withColumn("_upto", F.sum("_w").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    line = line.withColumn("_from", F.coalesce(F.lag("_upto").over(within), F.lit(0.0))).join(F.broadcast(places), "_range")
+    slot = lambda x: F.least(F.floor(x / F.col("_in") * F.col("_slots")), F.col("_slots") - 1).cast("int")
+    line = line.withColumn("_slot", F.explode(F.sequence(slot(F.col("_from")), slot(F.col("_upto")))))
+    line = line.select("_range", "_slot", F.col("_from").alias("_at"), "_key", F.lit(None).cast("long").alias("draw"))
+
+    @F.pandas_udf("int")
+    def range_of(x: pd.Series) -> pd.Series:
+        return pd.Series(ranges[np.searchsorted(starts_, x.to_numpy(), side="right") - 1])
+
+    ranges, starts_ = np.array([k for k, _ in sums], np.int32), np.array(starts)
+    draws = spark.range(n).select(F.col("id").alias("draw"), (chance(seed, F.col("id")) * total).alias("_x"))
+    draws = draws.withColumn("_range", range_of("_x")).join(F.broadcast(places), "_range").withColumn("_at", F.col("_x") - F.col("_start"))
+    draws = draws.select("_range", slot(F.col("_at")).alias("_slot"), "_at", F.lit(None).cast(line.schema["_key"].dataType).alias("_key"), "draw")
+    holder = F.last("_key", ignorenulls=True).over(Window.partitionBy("_range", "_slot").orderBy("_at", F.col("draw").asc_nulls_first(), "_key").rowsBetween(Window.unboundedPreceding, 0))
+    return line.unionByName(draws).withColumn(key, holder).where("draw IS NOT NULL").select("draw", key)
 
 
 def brightness(cells: DataFrame, bands, delta: Column) -> DataFrame:

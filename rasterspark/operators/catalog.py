@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,25 +33,49 @@ def of_sensors(scenes: DataFrame, sensors: list[str], sensor: str = "sensor") ->
     return scenes.where(F.col(sensor).isin(*sensors))
 
 
-def touching(scenes: DataFrame, areas: DataFrame, cell: float = 1.0) -> DataFrame:
+#: Levels of the grid of boxes: its cells halve from one level to the next, from 360 degrees down to 360 / 2**16.
+LEVELS, WORLD = 17, 360.0
+#: Cells of levels below this are few, so rows beneath them are salted so many ways.
+COARSE, SALTS = 7, 32
+
+
+def touching(scenes: DataFrame, areas: DataFrame) -> DataFrame:
     """Pairs of scenes and areas whose boxes meet (touching edges count).
 
-    Boxes are dealt out by the grid cells they cover and joined on the cell; a
-    pair counts in the one cell that holds the lower corner of its overlap.
+    A box lies on the level of the quadtree whose cells are just as large as it,
+    so it covers four of them at most, whatever its size.  Of a pair the smaller
+    box looks up the cells above its own on the larger one's level; the pair
+    counts in the one cell there that holds the lower corner of the overlap.
+    Rows per box are bounded by four for each level that the other side uses.
     """
-    def cut(df, prefix):
-        edges = {k: F.col(k) for k in ("min_lon", "max_lon", "min_lat", "max_lat")}
-        return df.select(
-            F.struct("*").alias(prefix),
-            F.explode(F.sequence(F.floor(edges["min_lon"] / cell), F.floor(edges["max_lon"] / cell))).alias("gx"),
-            F.sequence(F.floor(edges["min_lat"] / cell), F.floor(edges["max_lat"] / cell)).alias("ys"),
-        ).withColumn("gy", F.explode("ys")).drop("ys")
-
-    pairs = cut(scenes, "scene").join(cut(areas, "area"), ["gx", "gy"])
-    s, a = (lambda k: F.col(f"scene.{k}")), (lambda k: F.col(f"area.{k}"))
-    meets = (s("min_lon") <= a("max_lon")) & (s("max_lon") >= a("min_lon")) & (s("min_lat") <= a("max_lat")) & (s("max_lat") >= a("min_lat"))
-    first = (F.floor(F.greatest(s("min_lon"), a("min_lon")) / cell) == F.col("gx")) & (F.floor(F.greatest(s("min_lat"), a("min_lat")) / cell) == F.col("gy"))
-    return pairs.where(meets & first).select("scene", "area")
+    def placed(df, prefix):
+        side = F.greatest(F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat"))
+        level = F.when(side <= 0, LEVELS - 1).otherwise(F.least(F.greatest(F.floor(F.log2(WORLD / side)), F.lit(0)), F.lit(LEVELS - 1))).cast("int")
+        return df.where(side.isNotNull()).select(F.struct("*").alias(prefix), level.alias("level"), *[F.col(k).alias(f"_{k}") for k in ("min_lon", "max_lon", "min_lat", "max_lat")])
+
+    def cells(df, levels):
+        """A row for each cell of the given levels that the box touches."""
+        size = F.lit(WORLD) / F.pow(F.lit(2.0), F.col("at_level"))
+        over = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size)))
+        rows = df.withColumn("at_level", F.explode(levels)).withColumn("gx", over("_min_lon", "_max_lon")).withColumn("gy", over("_min_lat", "_max_lat"))
+        return rows.drop("_min_lon", "_max_lon", "_min_lat", "_max_lat")
+
+    def one_way(large, small, name_large, name_small, equal: bool):
+        """Pairs whose ``large`` box lies on a coarser level (or, with ``equal``, on the same)."""
+        used = F.array(*[F.lit(r[0]) for r in large.select("level").distinct().orderBy("level").collect()]).cast("array<int>")  # LEVELS values at most
+        above = F.filter(used, lambda k: (k <= F.col("level")) if equal else (k < F.col("level")))
+        salt = lambda rows, every: rows.withColumn("salt", F.when(F.col("at_level") < COARSE, every).otherwise(0) if isinstance(every, Column) else F.explode(F.when(F.col("at_level") < COARSE, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+        own = salt(cells(large, F.array("level")), None).drop("level")
+        low = salt(cells(small, above), F.pmod(F.xxhash64(name_small), F.lit(SALTS)).cast("int")).drop("level")
+        pairs = own.join(low, ["at_level", "gx", "gy", "salt"])
+        s, a = (lambda k: F.col(f"scene.{k}")), (lambda k: F.col(f"area.{k}"))
+        meets = (s("min_lon") <= a("max_lon")) & (s("max_lon") >= a("min_lon")) & (s("min_lat") <= a("max_lat")) & (s("max_lat") >= a("min_lat"))
+        size = F.lit(WORLD) / F.pow(F.lit(2.0), F.col("at_level"))
+        corner = (F.floor(F.greatest(s("min_lon"), a("min_lon")) / size) == F.col("gx")) & (F.floor(F.greatest(s("min_lat"), a("min_lat")) / size) == F.col("gy"))
+        return pairs.where(meets & corner).select("scene", "area")
+
+    left, right = placed(scenes, "scene"), placed(areas, "area")
+    return one_way(left, right, "scene", "area", True).unionByName(one_way(right, left, "area", "scene", False))
 
 
 def operating(sensors: DataFrame, start: str, end: str) -> DataFrame:

@@ -119,12 +119,14 @@ def grid_issues(labels: DataFrame, patches: DataFrame, key: str = "patch_id", to
 
 def band_issues(observed: DataFrame, expected: DataFrame, key: str = "raster_id", most: int = 100_000) -> DataFrame:
     """(key, band, issue): bands that a raster lacks or has beyond those of ``expected`` (band); an error above ``most`` of those."""
-    bands = expected.select("band").distinct()
+    bands = expected.select("band").distinct().orderBy("band")
     if (n := bands.count()) > most:
         raise ValueError(f"{n} expected bands, at most {most} can be checked")
-    wanted = observed.select(key).distinct().crossJoin(F.broadcast(bands))
-    lacking = wanted.join(observed, [key, "band"], "left_anti").withColumn("issue", F.lit("missing band"))
-    return lacking.unionByName(observed.select(key, "band").join(expected, "band", "left_anti").select(key, "band", F.lit("unexpected band").alias("issue")))
+    wanted = [r["band"] for r in bands.collect()]
+    names = F.array(*map(F.lit, wanted)).cast("array<string>")
+    own = observed.groupBy(key).agg(F.collect_set("band").alias("have"))
+    told = lambda missing, issue: F.transform(missing, lambda b: F.struct(b.alias("band"), F.lit(issue).alias("issue")))
+    return own.select(key, F.explode(F.concat(told(F.array_except(names, "have"), "missing band"), told(F.array_except("have", names), "unexpected band"))).alias("x")).select(key, "x.band", "x.issue")
 
 
 def prediction_issues(samples: DataFrame, cells: DataFrame, key: str = "sample_id") -> DataFrame:

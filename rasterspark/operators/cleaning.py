@@ -77,6 +77,7 @@ def majority(size: int = 3):
         votes = np.stack([(around == k).sum(axis=(2, 3)) for k in classes])
         return classes[votes.argmax(axis=0)]
 
+    step.reach = size // 2
     return step
 
 
@@ -102,6 +103,7 @@ def replace_small(least: int = 64):
                     out[own] = np.bincount(near).argmax()
         return out
 
+    step.reach = least + 2
     return step
 
 
@@ -118,4 +120,5 @@ def square_pass(kind: str, size: int = 3):
             out[masks.dilate(masks.erode(mask, kernel, False), kernel) if kind == "open" else masks.erode(masks.dilate(mask, kernel), kernel, False)] = k
         return out
 
+    step.reach = size
     return step

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spectral import OPTICAL
+from ..sources.manifests import kept
 
 PIXEL = ("aoi_id", "row", "col")
 
@@ -68,3 +71,21 @@ def overview(pixels: DataFrame, factor: int, bands=OPTICAL, keys=("aoi_id",)) ->
     """Average of blocks of ``factor`` by ``factor`` pixels."""
     down = lambda c: F.floor(F.col(c) / factor).alias(c)
     return pixels.groupBy(*keys, down("row"), down("col")).agg(*[F.avg(b).alias(b) for b in bands])
+
+
+def pyramid(pixels: DataFrame, factors=(2, 4, 8, 16, 32), bands=OPTICAL, keys=("aoi_id",)) -> DataFrame:
+    """(factor, keys, row, col, bands): averages of blocks for each factor, from one scan of the pixels.
+
+    Each level adds up the sums and counts of the level before, a quarter of its
+    rows or fewer; a factor must be a multiple of the one before.
+    """
+    if any(b % a for a, b in zip(factors, factors[1:], strict=False)):
+        raise ValueError("each factor is a multiple of the one before")
+    down = lambda by: [F.floor(F.col(c) / by).alias(c) for c in ("row", "col")]
+    first = pixels.groupBy(*keys, *down(factors[0])).agg(*[f for b in bands for f in (F.sum(b).alias(f"{b}_sum"), F.count(b).alias(f"{b}_n"))])
+    level, out = kept(first, "pyramid"), []
+    for k, factor in enumerate(factors):
+        if k:
+            level = level.groupBy(*keys, *down(factor // factors[k - 1])).agg(*[F.sum(f"{b}_{x}").alias(f"{b}_{x}") for b in bands for x in ("sum", "n")])
+        out.append(level.select(F.lit(factor).alias("factor"), *keys, "row", "col", *[F.try_divide(f"{b}_sum", f"{b}_n").alias(b) for b in bands]))
+    return reduce(DataFrame.unionByName, out)

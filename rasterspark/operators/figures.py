@@ -20,11 +20,11 @@ def change_chart(change: DataFrame, classes) -> DataFrame:
 
 def side_by_side(cells: DataFrame, key: str = "sample_id", value: str = "class_id") -> DataFrame:
     """Cells of the first two samples next to each other."""
-    first = cells.select(key).distinct().orderBy(key).limit(2)
-    pair = first.agg(F.min(key).alias("one"), F.max(key).alias("two"), F.count("*").alias("n"))  # one row
+    one = cells.agg(F.min(key).alias("one"))  # one row, like the next
+    pair = cells.crossJoin(F.broadcast(one)).where(F.col(key) > F.col("one")).agg(F.min(key).alias("two")).crossJoin(one)
     both = cells.crossJoin(F.broadcast(pair)).where((F.col(key) == F.col("one")) | (F.col(key) == F.col("two")))
     left = F.max(F.when(F.col(key) == F.col("one"), F.col(value))).alias("left")
-    return both.groupBy("r", "c").agg(left, F.max(F.when((F.col(key) == F.col("two")) & (F.col("n") > 1), F.col(value))).alias("right"))
+    return both.groupBy("r", "c").agg(left, F.max(F.when((F.col(key) == F.col("two")), F.col(value))).alias("right"))
 
 
 def class_report(metrics: DataFrame, areas: DataFrame, order: str = "sample_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Colours of known classes, those for others in turn, and grey for what is no class.
@@ -34,9 +34,9 @@ def background(cells: DataFrame, bands, *by: str) -> DataFrame:
     """Pictures as bg_red, bg_green, bg_blue: 0 to 255 becomes 0 to 1 where a sample has values above 1; one band stands for all three, further bands are left out."""
     bands = list(bands)
     bands = bands * 3 if len(bands) == 1 else bands[:3]
-    most = cells.groupBy(*by).agg(F.max(F.greatest(*[F.col(b) for b in set(bands)], F.lit(0.0))).alias("most"))
-    scale = F.when(F.col("most") > 1, 255.0).otherwise(1.0)
-    return cells.join(most, list(by)).withColumns({f"bg_{name}": _within(F.col(b) / scale) for name, b in zip(CHANNELS, bands, strict=True)}).drop("most")
+    most = F.max(F.greatest(*[F.col(b) for b in set(bands)], F.lit(0.0))).over(Window.partitionBy(*by))  # a picture is a bounded group
+    scaled = cells.withColumn("_scale", F.when(most > 1, 255.0).otherwise(1.0))
+    return scaled.withColumns({f"bg_{name}": _within(F.col(b) / F.col("_scale")) for name, b in zip(CHANNELS, bands, strict=True)}).drop("_scale")
 
 
 def overlay(cells: DataFrame, alpha: float = 0.5) -> DataFrame:
@@ -77,7 +77,9 @@ def percentile_stretch(cells: DataFrame, bands, *by: str, low: float = 2.0, high
 def minmax_stretch(cells: DataFrame, bands, *by: str) -> DataFrame:
     """Bands of each scene from its least to its greatest value, over all bands together, to 0..255; missing counts as 0."""
     clean = {b: F.coalesce(F.nanvl(F.col(b), F.lit(0.0)), F.lit(0.0)) for b in bands}
+    each = [F.col(b) for b in bands]
+    least, most = (F.least(*each), F.greatest(*each)) if len(each) > 1 else (each[0], each[0])
     cells = cells.withColumns(clean)
-    ends = cells.groupBy(*by).agg(F.min(F.least(*[F.col(b) for b in bands]) if len(bands) > 1 else F.col(bands[0])).alias("least"), F.max(F.greatest(*[F.col(b) for b in bands]) if len(bands) > 1 else F.col(bands[0])).alias("most"))
+    ends = cells.groupBy(*by).agg(F.min(least).alias("least"), F.max(most).alias("most"))  # a scene may be large: two scans, but no task gets all of it
     one = lambda b: F.floor(F.coalesce(F.try_divide(F.col(b) - F.col("least"), F.col("most") - F.col("least")), F.lit(0.0)) * 255).cast("int")
     return cells.join(ends, list(by)).withColumns({b: one(b) for b in bands}).drop("least", "most")

@@ -44,6 +44,11 @@ def regions(labelled: DataFrame, *by: str, least: int = 4, pixel_area: float = 9
         F.count("*").alias("area_px"), F.min("r").alias("row_min"), (F.max("r") + 1).alias("row_max"), F.min("c").alias("col_min"), (F.max("c") + 1).alias("col_max"),
         (4 * F.count("*") - 2 * F.sum("shared")).alias("perimeter"), F.avg("confidence").alias("mean_confidence"), (F.count("*") / F.count_distinct("r")).alias("row_width"),
     ).where(F.col("area_px") >= least)
+    return with_shape(found, pixel_area)
+
+
+def with_shape(found: DataFrame, pixel_area: float) -> DataFrame:
+    """Regions with what follows from their box, area and perimeter."""
     height, width = F.col("row_max") - F.col("row_min"), F.col("col_max") - F.col("col_min")
     return found.withColumns({
         "area_m2": F.col("area_px") * pixel_area,

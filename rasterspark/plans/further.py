@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar, geometry, probability, spectral
 from ..operators import analytics, assembly, augment, catalog, checks, classify, cleaning, composite, dataset, epochs, figures, harmonise, labels, losses, metrics, overlays, regions, reports, tiling
-from ..sources import manifests, views
-from ..streaming import running
+from ..sources import commitlog, manifests, views
+from ..streaming import change, running
 from .queries import _BUCKET, _CELLS, _LOSSES, _MASKS, _MATRIX, _OBS, _PER_CLASS, _RANDOM, _REGIONS, _SAMPLES, _SCENES, _SEASON, _TEMPORAL, _labelled, _masks, _rounded, _sample_metrics, _soft
 
 FIRST = ["v0", "v1", "v2"]
@@ -630,9 +630,10 @@ def appended_manifest(spark, folder):
     """Three batches of which the later ones repeat ids; each id stays as it came first."""
     path = manifests.scratch(spark, "manifest-append")
     rows = views.table(spark, folder, "orders").select(F.col("o_orderkey").alias("patch_id"), F.month("o_orderdate").alias("month"))
+    log = commitlog.ManifestLog(spark, path, "patch_id")
     for low, high in ((1, 6), (4, 9), (7, 12)):
-        manifests.append_new(rows.where(F.col("month").between(low, high)), path, "patch_id")
-    return spark.read.parquet(path).groupBy("month").agg(F.count("*").alias("n"))
+        log.append_new(rows.where(F.col("month").between(low, high)))
+    return log.snapshot().groupBy("month").agg(F.count("*").alias("n"))
 
 
 def label_masks(spark, folder):
@@ -671,9 +672,18 @@ def statistics_files(spark, folder):
 
 # Streams
 
+#: Micro-batches of a stream, at least.
+BATCHES = 4
+
+
 def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    path = f"{folder}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{folder}/{name}.parque[t]")  # as a pattern it may name a file too
+    """A table as a stream of several micro-batches; a table of few files is dealt out to new ones first."""
+    path, rows = f"{folder}/{name}.parquet", views.table(spark, folder, name)
+    n_files = len(rows.inputFiles())
+    if n_files < BATCHES:
+        path, n_files = manifests.scratch(spark, "arriving"), BATCHES
+        rows.repartition(BATCHES).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-n_files // BATCHES)).parquet(path)
 
 
 def stream_confusion(spark, folder):
@@ -702,9 +712,10 @@ def stream_areas(spark, folder):
 
 
 def stream_change(spark, folder):
-    """Change per event type and user group against the day before, as days arrive."""
+    """Change per event type and user group against the day before, as days arrive; every file holds rows of all days."""
     rows = _stream(spark, folder, "events").select("event_type", (F.col("user_id") % 5).alias("aoi"), F.col("ts").cast("timestamp").cast("date").alias("acq_date"), F.floor("value").cast("long").alias("pixels"))
-    return running.run_once(running.running_change(rows, "event_type", "aoi"), manifests.scratch(spark, "stream"), "append")
+    with change.rocks(spark):
+        return running.run_once(change.running_change(rows, "event_type", "aoi", late="400 days"), manifests.scratch(spark, "stream"), "update", lambda out: change.newest(out, "event_type", "aoi"))
 
 
 _SAMPLE_ROWS = f"""{_REGIONS},

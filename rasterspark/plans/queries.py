@@ -215,7 +215,7 @@ def dataset_issues(spark, folder):
 
 
 def weighted_draws(spark, folder):
-    """As many draws as there are samples, by valid share; no SQL has the hash, so a test holds shares to weights."""
+    """As many draws as there are samples, by valid share."""
     samples = dataset.valid_weights(views.samples(spark, folder))
     return augment.weighted_draws(samples, samples.count())
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from . import documents
+
 # The fields of each kind of manifest, in order.
 SCENE = "scene_id string, image_path string, metadata_path string, export_timestamp string, num_bands int, width int, height int, crs string, start_date string, end_date string, sensors string, composite_method string, cloud_cover_limit double, num_spectral_indices int, file_size_bytes long, is_valid boolean"
 PATCH = "patch_id string, scene_id string, source_image_path string, patch_path string, row_index int, col_index int, row_off int, col_off int, height int, width int, num_bands int, crs string, valid_pixel_ratio double, file_size_bytes long, created_at string"
@@ -34,6 +36,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the shared folder and read back: cuts the lineage, so a lost executor costs a read only."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _schema(kind) -> StructType:
     return kind if isinstance(kind, StructType) else StructType.fromDDL(SCHEMAS[kind])
 
@@ -55,7 +64,9 @@ def read_csv(spark: SparkSession, path: str, kind) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, kind) -> DataFrame:
-    """Rows of the ``entries`` of {version, entry_count, entries}."""
+    """Rows of the ``entries`` of {version, entry_count, entries}: a document in parts, or one file."""
+    if documents.is_document(spark, path):
+        return _complete(documents.read(spark, path, _schema(kind)), kind)
     whole = StructType([StructField("version", StringType()), StructField("entry_count", LongType()), StructField("entries", ArrayType(_schema(kind)))])
     return _complete(spark.read.json(path, schema=whole, multiLine=True).select(F.inline("entries")), kind)
 
@@ -76,8 +87,8 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def write_json(rows: DataFrame, path: str, version: str = "1.0") -> None:
-    """One document {version, entry_count, entries}: a manifest, so of a size that one file holds."""
-    rows.agg(F.lit(version).alias("version"), F.count("*").alias("entry_count"), F.collect_list(F.struct("*")).alias("entries")).coalesce(1).write.json(path)
+    """One document {version, entry_count, entries}, in parts that their tasks write."""
+    documents.write(rows, path, version)
 
 
 def write_by_split(rows: DataFrame, path: str) -> None:
@@ -86,26 +97,9 @@ def write_by_split(rows: DataFrame, path: str) -> None:
     rows.write.partitionBy("split").option("header", True).csv(f"{path}/by_split")
 
 
-def append_new(rows: DataFrame, path: str, key: str) -> int:
-    """Append the rows whose key the table doesn't have yet; starts a table that isn't there or can't be read.
-
-    Returns how many rows were duplicates, of each other or of the table.
-    """
-    spark, given = rows.sparkSession, rows.count()
-    new = rows.dropDuplicates([key])
-    try:
-        old = spark.read.parquet(path).select(key)
-        before = old.count()
-    except Exception:  # no table yet, or none that can be read
-        new.write.mode("overwrite").parquet(path)
-        return given - spark.read.parquet(path).count()
-    new.join(old, key, "left_anti").write.mode("append").parquet(path)
-    return given - (spark.read.parquet(path).count() - before)
-
-
-def write_pixels(pixels: DataFrame, path: str, by: str = "scene_id") -> None:
-    """Rasters, masks or predictions as Parquet, a folder for each scene or sample."""
-    pixels.repartition(by).write.partitionBy(by).parquet(path)
+def write_pixels(pixels: DataFrame, path: str, by: str = "scene_id", rows_a_file: int = 10_000_000) -> None:
+    """Rasters, masks or predictions as Parquet, a folder for each scene or sample, files of ``rows_a_file`` rows at most."""
+    pixels.withColumn("_salt", F.pmod(F.xxhash64("r", "c"), F.lit(64)) if {"r", "c"} <= set(pixels.columns) else F.lit(0)).repartition(by, "_salt").drop("_salt").write.option("maxRecordsPerFile", rows_a_file).partitionBy(by).parquet(path)
 
 
 def write_labels(cells: DataFrame, path: str, by: str = "patch_id", nodata: int = 255) -> None:
@@ -113,6 +107,31 @@ def write_labels(cells: DataFrame, path: str, by: str = "patch_id", nodata: int
     write_pixels(cells.select(by, "r", "c", F.coalesce(F.col("class_id"), F.lit(nodata)).cast("short").alias("class_id")), path, by)
 
 
+def write_scenes(pixels: DataFrame, scenes: DataFrame, path: str, bands, key: str = "scene_id") -> None:
+    """Georeferenced rasters: ``pixels`` (key, row, col, bands) below ``path``/pixels, a folder a scene, and ``path``/headers.
+
+    ``scenes`` has (key, crs, transform), ``transform`` a struct of the six
+    numbers of AFFINE.  Headers, one row a scene, hold these, the names of the
+    bands in order, and width, height and valid share of what was written; a
+    scene without a header in ``scenes`` is an error.
+    """
+    own = pixels.select(key, F.col("row").alias("r"), F.col("col").alias("c"), *bands)
+    sizes = own.groupBy(key).agg((F.max("r") + 1).alias("height"), (F.max("c") + 1).alias("width"), *[F.count(b).alias(f"n_{k}") for k, b in enumerate(bands)], F.count("*").alias("n"))
+    valid = F.array(*[F.col(f"n_{k}") / F.col("n") for k in range(len(bands))])
+    headers = kept(sizes.join(scenes.select(key, "crs", "transform"), key, "left").select(key, "crs", "transform", "width", "height", F.array(*map(F.lit, bands)).alias("band_names"), valid.alias("valid_shares")), "headers")
+    if bare := headers.where("crs IS NULL OR transform IS NULL").limit(1).count():
+        raise ValueError(f"{bare} scene or more without reference system or transform")
+    write_pixels(own, f"{path}/pixels", key)
+    headers.write.parquet(f"{path}/headers")
+
+
+def read_scenes(spark: SparkSession, path: str, key: str = "scene_id") -> DataFrame:
+    """Pixels of ``write_scenes`` with the place of their centre: (key, r, c, bands, crs, x, y)."""
+    pixels, headers = spark.read.parquet(f"{path}/pixels"), spark.read.parquet(f"{path}/headers").select(key, "crs", "transform")
+    at = lambda a, b, c: F.col(f"transform.{a}") * (F.col("c") + 0.5) + F.col(f"transform.{b}") * (F.col("r") + 0.5) + F.col(f"transform.{c}")
+    return pixels.join(headers, key).withColumns({"x": at("a", "b", "c"), "y": at("d", "e", "f")}).drop("transform")
+
+
 def product(cells: DataFrame, samples: DataFrame, classes, key: str = "sample_id") -> DataFrame:
     """Prediction product: predicted class, a probability band for each class, confidence, and the sample's columns."""
     bands = [F.get("probs", F.lit(k)).alias(f"prob_{name}") for k, name in enumerate(classes)]
@@ -144,3 +163,23 @@ def write_split_statistics(statistics: DataFrame, path: str) -> None:
     """One JSON line for each split."""
     rows = statistics.groupBy("split").agg(F.array_sort(F.collect_list(F.struct(*[c for c in statistics.columns if c != "split"]))).alias("classes"))
     rows.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+
+
+def quality_report(score: DataFrame, issues: DataFrame, statistics: DataFrame) -> DataFrame:
+    """One row: the score's columns, issues (a row each) and splits (split, class_id, n_samples, pixels, share, imbalance) as sorted arrays.
+
+    Issues are one for each kind and split, statistics one for each class and split, so all of it fits a row.
+    """
+    told = issues.agg(F.array_sort(F.collect_list(F.struct(*sorted(issues.columns)))).alias("issues"), F.count("*").alias("n_issues"))
+    splits = statistics.agg(F.array_sort(F.collect_list(F.struct("split", "class_id", "n_samples", "pixels", "share", "imbalance"))).alias("splits"))
+    return rounded(score).crossJoin(F.broadcast(told)).crossJoin(F.broadcast(splits))
+
+
+def write_quality_report(report: DataFrame, path: str) -> None:
+    """The report of ``quality_report`` as one JSON object."""
+    report.coalesce(1).write.json(path)
+
+
+def of_type(rows: DataFrame, value: str, column: str = "artifact_type") -> DataFrame:
+    """Figures or artifacts of a type, in any case; no such type gives no rows."""
+    return rows.where(F.lower(F.trim(column)) == value.strip().lower())

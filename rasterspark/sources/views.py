@@ -58,6 +58,14 @@ def patch_cells(spark: SparkSession, folder: str) -> DataFrame:
     return cells.select("patch_id", F.floor(F.col("pos") / 8).cast("int").alias("r"), (F.col("pos") % 8).cast("int").alias("c"), *[at(k).alias(f"v{k}") for k in range(8)])
 
 
+def scene_cells(spark: SparkSession, folder: str, side: int = 4) -> DataFrame:
+    """Class masks of the patches, ``side`` times ``side`` of them laid out as one scene."""
+    v, n = F.col("patch_id"), side * side
+    bucket = F.when(F.col("v0") < -0.1, 0).when(F.col("v0") < 0, 1).when(F.col("v0") < 0.1, 2).otherwise(3)
+    place = {"row": F.floor(v % n / side) * 8 + F.col("r"), "col": v % side * 8 + F.col("c")}
+    return patch_cells(spark, folder).select(F.floor(v / n).alias("scene_id"), *[x.cast("long").alias(k) for k, x in place.items()], bucket.alias("class_id"), F.least(F.abs("v0") * 2, F.lit(1.0)).alias("confidence"))
+
+
 def pred_truth(spark: SparkSession, folder: str) -> DataFrame:
     """Class of a cell by its value, against the class of the next cell's value."""
     bucket = lambda c: F.when(F.col(c) < -0.1, 0).when(F.col(c) < 0, 1).when(F.col(c) < 0.1, 2).otherwise(3)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,33 +33,6 @@ def area_series(stream: DataFrame, time: str, *by: str, every: str = "30 days",
     return stream.withWatermark(time, late).groupBy(F.window(time, every).alias("span"), *by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def running_change(stream: DataFrame, *keys: str, date: str = "acq_date", value: str = "pixels") -> DataFrame:
-    """Change of a key's total against its date before, as dates arrive.
-
-    Each key's state is its latest date and total.  A date may arrive in one
-    batch only, its rows add up; dates older than the latest are dropped.
-    """
-    names = [*keys, "from_date", "to_date", "from_value", "to_value", "delta"]
-    kinds = [f"{k} {stream.schema[k].dataType.simpleString()}" for k in keys]
-    out = ", ".join([*kinds, "from_date date", "to_date date", "from_value long", "to_value long", "delta long"])
-
-    def step(key, frames, state):
-        last, total = state.get if state.exists else (None, None)
-        rows = pd.concat(list(frames))
-        found = []
-        for day, amount in rows.groupby(date)[value].sum().sort_index().items():
-            if last is not None and day <= last:
-                continue
-            if last is not None:
-                found.append((*key, last, day, total, int(amount), int(amount) - total))
-            last, total = day, int(amount)
-        if last is not None:
-            state.update((last, total))
-        yield pd.DataFrame(found, columns=names)
-
-    return stream.groupBy(*keys).applyInPandasWithState(step, out, "last date, total long", "append", "NoTimeout")
-
-
 def run_once(result: DataFrame, path: str, mode: str, shape: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Run a streaming result over what is there now; each batch's output goes to a folder of its own under ``path``.
 

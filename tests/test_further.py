@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from rasterspark.functions import calendar, geometry, probability, spectral
 from rasterspark.operators import analytics, augment, catalog, checks, classify, cleaning, composite, dataset, epochs, harmonise, labels, losses, overlays, reports, tiling
-from rasterspark.sources import manifests
-from rasterspark.streaming import running
+from rasterspark.sources import commitlog, manifests
+from rasterspark.streaming import change, running
 
 
 def test_each_family_has_its_own_bands_scale_and_mask(spark):
@@ -198,10 +198,11 @@ def test_confidence_by_name_or_function(spark):
 
 def test_manifests(spark, tmp_path):
     rows = spark.createDataFrame([("p1", "s"), ("p2", "t")], "patch_id string, scene_id string")
-    assert manifests.append_new(rows, f"{tmp_path}/m", "patch_id") == 0
+    log = commitlog.ManifestLog(spark, f"{tmp_path}/m", "patch_id")
+    assert log.append_new(rows) == 0
     more = spark.createDataFrame([("p2", "x"), ("p3", "y"), ("p3", "z")], "patch_id string, scene_id string")
-    assert manifests.append_new(more, f"{tmp_path}/m", "patch_id") == 2
-    assert sorted(r.patch_id for r in spark.read.parquet(f"{tmp_path}/m").collect()) == ["p1", "p2", "p3"]
+    assert log.append_new(more) == 2
+    assert sorted(r.patch_id for r in log.snapshot().collect()) == ["p1", "p2", "p3"]
     spark.createDataFrame([("a", "not a number")], "patch_id string, scene_id string").write.option("header", True).csv(f"{tmp_path}/bad")
     with pytest.raises(Exception, match="CAST_INVALID_INPUT|cannot be cast"):
         from pyspark.sql.types import StructType
@@ -253,19 +254,32 @@ def test_temporal_defaults(spark):
 
 
 def test_streams_of_several_batches(spark, tmp_path):
-    """Files arrive one after another; each is a batch of its own."""
-    batches = [[("a", "2024-01-01", 5), ("a", "2024-01-01", 2), ("b", "2024-01-02", 1)], [("a", "2024-01-05", 10), ("b", "2023-12-31", 100)], [("a", "2024-01-03", 99), ("a", "2024-01-09", 4), ("b", "2024-01-04", 1)]]
+    """Files arrive one after another; each is a batch of its own.  A date comes in three of them, others come late."""
+    batches = [[("a", "2024-01-01", 5), ("a", "2024-01-05", 2), ("b", "2024-01-02", 1)], [("a", "2024-01-05", 7), ("b", "2023-12-31", 100)], [("a", "2024-01-03", 99), ("a", "2024-01-09", 4), ("a", "2024-01-05", 1), ("b", "2024-01-04", 1), ("a", None, 50), ("a", "2024-01-09", None)]]
     schema = "aoi string, day string, pixels long"
     for k, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
         stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*").select("aoi", F.col("day").cast("date").alias("acq_date"), "pixels")
-        changes = running.run_once(running.running_change(stream, "aoi"), f"{tmp_path}/change", "append")
-        ids = running.run_once(running.new_patches(stream, "acq_date"), f"{tmp_path}/ids", "append")
-    got = sorted((r.aoi, str(r.from_date), str(r.to_date), r.delta) for r in changes.collect())
-    assert got == [("a", "2024-01-01", "2024-01-05", 3), ("a", "2024-01-05", "2024-01-09", -6), ("b", "2024-01-02", "2024-01-04", 0)]
+        with change.rocks(spark):
+            changes = running.run_once(change.running_change(stream, "aoi"), f"{tmp_path}/change", "update", lambda out: change.newest(out, "aoi"))
+        ids = running.run_once(running.new_patches(stream.where("acq_date IS NOT NULL"), "acq_date"), f"{tmp_path}/ids", "append")
+    got = sorted((r.aoi, str(r.from_date), str(r.to_date), r.from_value, r.delta) for r in changes.collect())
+    assert got == [("a", "2024-01-01", "2024-01-03", 5, 94), ("a", "2024-01-03", "2024-01-05", 99, -89), ("a", "2024-01-05", "2024-01-09", 10, -6), ("b", "2023-12-31", "2024-01-02", 100, -99), ("b", "2024-01-02", "2024-01-04", 1, 0)]
     assert ids.count() == ids.select("acq_date").distinct().count() == 7
 
 
+def test_dates_that_cannot_change_any_more_leave_the_state(spark, tmp_path):
+    """What lies behind the watermark is dropped when it comes, and of the dates there only the last stays to compare with."""
+    batches = [[("2024-01-01", 1), ("2024-01-02", 2)], [("2024-03-01", 5)], [("2024-03-02", 7)], [("2024-01-02", 100), ("2024-03-03", 9)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame([("a", d, n) for d, n in rows], "aoi string, day string, pixels long").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        stream = spark.readStream.schema("aoi string, day string, pixels long").parquet(f"{tmp_path}/in/*").select("aoi", F.col("day").cast("date").alias("acq_date"), "pixels")
+        with change.rocks(spark):
+            changes = running.run_once(change.running_change(stream, "aoi", late="10 days"), f"{tmp_path}/change", "update", lambda out: change.newest(out, "aoi"))
+    got = sorted((str(r.from_date), str(r.to_date), r.delta) for r in changes.collect())
+    assert got == [("2024-01-01", "2024-01-02", 1), ("2024-01-02", "2024-03-01", 3), ("2024-03-01", "2024-03-02", 2), ("2024-03-02", "2024-03-03", 2)]
+
+
 def test_registered_queries_equal_their_sql(spark):
     import duckdb
 
