@@ -10,7 +10,7 @@ order of the passages in the document.
 Items are cut into seeds by a Spark job.  One scan of the documents keeps those
 that hold a seed, by a bit table of 2 ** ``filter_bits`` bits (8 MB by default,
 whatever the size of the benchmark; a fuller table only lets more through), and a
-join on the seed gives the pairs to tile.  Documents of equal text are tiled
+join on each item's rarest seeds gives the pairs to tile (``_rare``).  Documents of equal text are tiled
 once.  Neither benchmark nor documents pass through the driver.
 
 Null or empty documents and items match nothing.  Items that repeat id and text
@@ -29,7 +29,7 @@ import string
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import RangeHash, free_names, in_slices, lean, materialise, quoted, with_output
@@ -181,12 +181,33 @@ def _scan(docs: DataFrame, text_col: str, seeds: DataFrame, widths: list[int], b
     return found.groupBy("key1", "key2").agg(*[F.first(c).alias(c) for c in ("seeds", "words", "origins")])
 
 
+def _needed(threshold: float) -> Column:
+    """Seeds that a text must share with an item: a tile of n words has n - width + 1 seeds, n / width at least."""
+    return F.ceil((threshold * F.col("n_words") - 1e-9) / F.col("width"))
+
+
+def _rare(seeds: DataFrame, threshold: float) -> DataFrame:
+    """(item_key, seed): the seeds of each item, those of fewest items first, of which a text must hold one.
+
+    A text that holds only seeds behind these shares fewer than are needed, so
+    phrases that many items have bring no pairs of their own.
+    """
+    often = seeds.groupBy("seed").agg(F.count("*").alias("often"))
+    item = Window.partitionBy("item_key")
+    before = F.coalesce(F.sum("times").over(item.orderBy("often", "seed").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = seeds.join(often, "seed").select("item_key", "seed", before.alias("before"), (F.sum("times").over(item) - _needed(threshold)).alias("spare"))
+    return ranked.where("before <= spare").select("item_key", "seed")
+
+
 def _tiled(pairs: DataFrame, seed_words: int) -> DataFrame:
-    """(key1, key2, item, coverage, tiles) of pairs with the words of both sides."""
+    """(key1, key2, item, coverage, tiles) of pairs with the words of both sides that share the ``needed`` seeds."""
 
     def each(pdf):
-        for key1, key2, item, pattern, words, origins in zip(*(pdf[c] for c in ("key1", "key2", "item", "item_words", "words", "origins")), strict=True):
-            pattern, words, origins = np.frombuffer(pattern, np.uint64).tolist(), np.frombuffer(words, np.uint64).tolist(), np.frombuffer(origins, np.int32).tolist()
+        for key1, key2, item, pattern, words, origins, seeds, width, needed in zip(*(pdf[c] for c in ("key1", "key2", "item", "item_words", "words", "origins", "seeds", "width", "needed")), strict=True):
+            pattern = np.frombuffer(pattern, np.uint64)
+            if np.isin(RangeHash(pattern, 31).all(width).view(np.int64), seeds).sum() < needed:
+                continue
+            pattern, words, origins = pattern.tolist(), np.frombuffer(words, np.uint64).tolist(), np.frombuffer(origins, np.int32).tolist()
             text, origin = [], []
             for k, place in enumerate(origins):
                 if k and place != origins[k - 1] + 1:
@@ -208,10 +229,9 @@ def overlapping_texts(docs: DataFrame, items: DataFrame, threshold: float = 0.5,
     seeds = known.select("item_key", "n_words", "width", F.explode("seeds").alias("s")).select("item_key", "n_words", "width", "s.seed", "s.times")
     widths = sorted(r["width"] for r in known.select("width").distinct().collect())  # seed_words values at most
     held = materialise(_scan(docs, text_col, seeds, widths, filter_bits), "seeded")
-    # a tile of n words has n - width + 1 seeds, n / width at least: fewer can't reach the threshold
-    pairs = held.select("key1", "key2", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("key1", "key2", "item_key").agg(F.sum("times").alias("n"), F.first("n_words").alias("n_words"), F.first("width").alias("width"))
-    pairs = pairs.where(F.col("n") * F.col("width") >= threshold * F.col("n_words") - 1e-9).select("key1", "key2", "item_key")
-    pairs = pairs.join(held.drop("seeds"), ["key1", "key2"]).join(known.select("item_key", "item", F.col("words").alias("item_words")), "item_key")
+    pairs = held.select("key1", "key2", F.explode("seeds").alias("seed")).join(_rare(seeds, threshold), "seed").select("key1", "key2", "item_key").distinct()
+    items_of = known.select("item_key", "item", "width", _needed(threshold).alias("needed"), F.col("words").alias("item_words"))
+    pairs = pairs.join(held, ["key1", "key2"]).join(items_of, "item_key")
     found = _tiled(pairs, seed_words).where(F.col("coverage") >= threshold)
     return materialise(found.groupBy("key1", "key2").agg(F.array_sort(F.collect_list(F.struct("item", "coverage", "tiles"))).alias("matches")), "overlaps")
 

@@ -137,12 +137,16 @@ def test_ngram_join(docs):
     assert sum(r.n_links > 0 for r in got.values()) >= 4
 
 
+def executions(spark):
+    """Ids of the executions that Spark still keeps: only the newest ones."""
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return [runs.apply(k).executionId() for k in range(runs.size())]
+
+
 def join_rows(spark, after):
-    """The most rows that a join has made in the executions after the first ``after``."""
+    """The most rows that a join has made in the executions whose id is above ``after``."""
     store, most = spark._jsparkSession.sharedState().statusStore(), 0
-    runs = store.executionsList()
-    for k in range(after, runs.size()):
-        run = runs.apply(k).executionId()
+    for run in (k for k in executions(spark) if k > after):
         nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
         for node in (nodes.apply(i) for i in range(nodes.size())):
             for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
@@ -156,7 +160,7 @@ def test_many_texts_under_one_id_meet_their_own_text_only(spark, doc_id):
     base = [[f"d{k}w{j}" for j in range(40)] for k in range(60)]
     texts = [" ".join(w) for w in base] + [" ".join([*w, "end"]) for w in base] + [" ".join(base[0])] * 30
     df = spark.createDataFrame([(doc_id, t) for t in texts] + [(k + 10, f"other {k}") for k in range(20)], "doc_id long, text string").repartition(4)
-    before = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    before = max(executions(spark), default=-1)
     got = [r for r in ngram_join.jaccard_join(df).collect() if r.n_links]
     assert 0 < join_rows(spark, before) <= 24 * 140  # 24 bands of each class of the 140; the 120 linked with the 150 texts of their id would be 18000
     assert sorted(r.n_links for r in got) == [1] * 118 + [31] * 32
