@@ -51,24 +51,24 @@ def touching(scenes: DataFrame, areas: DataFrame) -> DataFrame:
     def placed(df, prefix):
         side = F.greatest(F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat"))
         level = F.when(side <= 0, LEVELS - 1).otherwise(F.least(F.greatest(F.floor(F.log2(WORLD / side)), F.lit(0)), F.lit(LEVELS - 1))).cast("int")
-        return df.where(side.isNotNull()).select(F.struct("*").alias(prefix), level.alias("level"), *[F.col(k).alias(f"_{k}") for k in ("min_lon", "max_lon", "min_lat", "max_lat")])
+        return df.where(side.isNotNull()).select(F.struct("*").alias(prefix), level.alias("level"), *[F.col(k).alias(f"{prefix}_{k}") for k in ("min_lon", "max_lon", "min_lat", "max_lat")])
 
-    def cells(df, levels):
+    def cells(df, levels, prefix):
         """A row for each cell of the given levels that the box touches."""
         size = F.lit(WORLD) / F.pow(F.lit(2.0), F.col("at_level"))
         over = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size)))
-        rows = df.withColumn("at_level", F.explode(levels)).withColumn("gx", over("_min_lon", "_max_lon")).withColumn("gy", over("_min_lat", "_max_lat"))
-        return rows.drop("_min_lon", "_max_lon", "_min_lat", "_max_lat")
+        rows = df.withColumn("at_level", F.explode(levels))
+        return rows.withColumn("gx", over(f"{prefix}_min_lon", f"{prefix}_max_lon")).withColumn("gy", over(f"{prefix}_min_lat", f"{prefix}_max_lat"))
 
     def one_way(large, small, name_large, name_small, equal: bool):
         """Pairs whose ``large`` box lies on a coarser level (or, with ``equal``, on the same)."""
         used = F.array(*[F.lit(r[0]) for r in large.select("level").distinct().orderBy("level").collect()]).cast("array<int>")  # LEVELS values at most
         above = F.filter(used, lambda k: (k <= F.col("level")) if equal else (k < F.col("level")))
         salt = lambda rows, every: rows.withColumn("salt", F.when(F.col("at_level") < COARSE, every).otherwise(0) if isinstance(every, Column) else F.explode(F.when(F.col("at_level") < COARSE, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-        own = salt(cells(large, F.array("level")), None).drop("level")
-        low = salt(cells(small, above), F.pmod(F.xxhash64(name_small), F.lit(SALTS)).cast("int")).drop("level")
+        own = salt(cells(large, F.array("level"), name_large), None).drop("level")
+        low = salt(cells(small, above, name_small), F.pmod(F.xxhash64(name_small), F.lit(SALTS)).cast("int")).drop("level")
         pairs = own.join(low, ["at_level", "gx", "gy", "salt"])
-        s, a = (lambda k: F.col(f"scene.{k}")), (lambda k: F.col(f"area.{k}"))
+        s, a = (lambda k: F.col(f"scene_{k}")), (lambda k: F.col(f"area_{k}"))
         meets = (s("min_lon") <= a("max_lon")) & (s("max_lon") >= a("min_lon")) & (s("min_lat") <= a("max_lat")) & (s("max_lat") >= a("min_lat"))
         size = F.lit(WORLD) / F.pow(F.lit(2.0), F.col("at_level"))
         corner = (F.floor(F.greatest(s("min_lon"), a("min_lon")) / size) == F.col("gx")) & (F.floor(F.greatest(s("min_lat"), a("min_lat")) / size) == F.col("gy"))

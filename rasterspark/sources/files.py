@@ -6,17 +6,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _all(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+
+
+def _empty(found: DataFrame) -> DataFrame:
+    """(path) of the empty files, which a scan leaves out: those of its listing, which the driver holds for any scan, without a row."""
+    plain = lambda path: F.regexp_replace(path, "^([a-z0-9]+):/+", "$1:/")
+    named = found.sparkSession.createDataFrame([(p,) for p in found.inputFiles()], "path string").select(plain(F.col("path")).alias("path"))
+    return named.join(found.select(plain(F.col("path")).alias("path")), "path", "left_anti")
+
+
 def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, length, modified) of every file below a folder; contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    return found.select("path", "length", F.col("modificationTime").alias("modified"))
+    """(path, length) of every file below a folder, empty ones too; contents are not read."""
+    found = _all(spark, folder, pattern)
+    return found.select("path", "length").unionByName(_empty(found).select("path", F.lit(0).cast("long").alias("length")))
 
 
 def headers(spark: SparkSession, folder: str, pattern: str = "*", n_bytes: int = 16, most: int = 64 << 20) -> DataFrame:
     """(path, length, head) with the first bytes of the files of at most ``most`` bytes; NULL for larger ones, which are not read."""
-    read = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    small = read().where(F.col("length") <= most).select("path", "length", F.substring("content", 1, n_bytes).alias("head"))
-    return small.unionByName(read().where(F.col("length") > most).select("path", "length", F.lit(None).cast("binary").alias("head")))
+    small = _all(spark, folder, pattern).where(F.col("length") <= most).select("path", "length", F.substring("content", 1, n_bytes).alias("head"))
+    bare = listing(spark, folder, pattern).where(f"length = 0 OR length > {most}")
+    return small.unionByName(bare.select("path", "length", F.lit(None).cast("binary").alias("head")))
 
 
 def name_of(path: Column, depth: int = 1) -> Column:
