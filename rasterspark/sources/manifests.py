@@ -26,14 +26,25 @@ VERSIONS = {"scene": "1.0", "patch": "1.0", "label": "1.1", "dataset": "1.0"}
 DEFAULTS = {"label": {"generation_strategy": "spectral_rules"}}
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the folder that driver and executors share; only a local session may do without ``spark.checkpoint.dir``."""
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder within the one that driver and executors share; only a local session may do without ``spark.checkpoint.dir``."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.gettempdir()}"
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{found.rstrip('/')}/rasterspark-{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in this application's own; ``close`` deletes them all."""
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def close(spark: SparkSession) -> None:
+    """Delete what this application has kept in the shared folder; nothing may read it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def kept(rows: DataFrame, name: str) -> DataFrame:

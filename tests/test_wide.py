@@ -305,3 +305,11 @@ def test_areas_are_united_but_for_failed_ones(spark):
         assembly.united([assembly.AreaResult("b", patches), assembly.AreaResult("a", failed="no imagery")])
     with pytest.raises(ValueError):
         assembly.united([])
+
+
+def test_what_an_application_keeps_goes_with_close(spark):
+    held = manifests.kept(spark.range(5), "numbers")
+    assert held.count() == 5 and f"/rasterspark-{spark.sparkContext.applicationId}/numbers-" in held.inputFiles()[0]
+    manifests.close(spark)
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.schema("id long").parquet(held.inputFiles()[0]).count()
