@@ -37,6 +37,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder within the shared one."""
+    return f"{shared_dir(spark)}/rasterspark-llm-{spark.sparkContext.applicationId}"
+
+
+def close(spark: SparkSession) -> None:
+    """Delete every table that the operators of this application have kept; nothing may read one any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 @contextmanager
 def setting(spark: SparkSession, **values):
     """The session with other values of some settings (``__`` stands for a dot)."""
@@ -56,10 +67,11 @@ def materialise(df: DataFrame, name: str, batch: int = 2048) -> DataFrame:
 
     Cuts the lineage: a lost executor costs a re-read, not the steps before.
     Python steps get Arrow batches of ``batch`` rows, so that whole texts need
-    little memory.  ``discard`` deletes the table when nothing reads it any more.
+    little memory.  ``discard`` deletes the table when nothing reads it any more,
+    ``close`` all tables of an application.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     with setting(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(batch)):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

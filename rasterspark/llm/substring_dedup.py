@@ -39,7 +39,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, free_names, in_slices, lean, materialise, quoted, setting, shared_dir
+from .common import NO_ID, free_names, in_slices, lean, materialise, own_folder, quoted, setting
 from .repeats import DOC, MARKED, covered, cut, fetch, id_of, later_windows, marked, only, packed, rows_of, runs_of, tie_of, unpack, windows_of
 
 #: Bytes of text for each bucket of the runs, and the most buckets.
@@ -67,7 +67,7 @@ class FingerprintIndex:
         """An empty index in a new folder (by default one in the shared folder)."""
         if not 0 < gram <= window:
             raise ValueError("gram must lie between 1 and window")
-        path = path or f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
+        path = path or f"{own_folder(spark)}/fingerprints-{uuid.uuid4().hex}"
         index = cls(spark, {"path": path, "window": window, "gram": gram, "n_buckets": n_buckets, "max_runs": max_runs, "runs": [], "texts": [], "last": None, "version": 0})
         index._save()
         return index
