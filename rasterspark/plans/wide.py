@@ -11,8 +11,8 @@ from ..streaming import change, running
 from .further import _DISC, _PATCH_MANIFEST, _PLUS, _near, _patch_manifest
 from .queries import _BUCKET, _CELLS, _rounded
 
-#: Scenes are cut into tiles of one patch, so that most regions cross borders.
-SMALL = 8
+#: Scenes of 32 by 32 cells are cut into four tiles, so that many regions cross borders.
+SMALL = 16
 
 
 # Scenes cut into tiles
