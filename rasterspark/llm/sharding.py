@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 
 from .common import lean, materialise, mix64, quoted
 
-#: Grains in a shard.
-GRAINS = 1024
+#: Grains in a shard; the fewest where there are very many shards.
+GRAINS, FEWEST = 1024, 64
 #: Grains that one task packs.
 REGION = 1 << 18
 
@@ -144,10 +144,11 @@ def pack(groups: DataFrame, shards: int | None = None, capacity: int | None = No
     """
     if (shards is None) == (capacity is None) or (shards or capacity) < 1:
         raise ValueError("one of shards and capacity, above 0")
-    if shards is not None and shards * GRAINS > 16 * REGION:
+    grains = min(GRAINS, max(FEWEST, REGION // shards)) if shards else GRAINS
+    if shards is not None and shards * grains > 16 * REGION:
         raise ValueError(f"{shards} shards are too many for one task: give a capacity")
     n, total = groups.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    grain = max(1, (total // shards if shards else capacity) // GRAINS)
+    grain = max(1, (total // shards if shards else capacity) // grains)
     regions = 1 if shards else max(1, math.ceil(total / grain / REGION))
 
     def parcels(frames):
