@@ -34,8 +34,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import math
+import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,12 +51,18 @@ from tokenizers import Tokenizer
 
 from .common import lean, materialise, mix64, quoted
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+
 #: Units longer than this are not remembered.
 LONG_UNIT = 64
-#: Remembered units of a worker, and their characters.
-REMEMBER = 100_000
+#: Units that a worker remembers.
+REMEMBER = 500_000
 #: A pair (a, b) is the number a << SHIFT | b.
 SHIFT = 20
+#: Units that are coded in a row.
+RUN = 256
+#: Links of a group that are listed one by one.
+MOST_LINKS = 4096
 #: Keys in a slice of the hash, partial counts of a task, vectors that a task sums.
 SLICE, PARTIAL, FAN_IN = 32_768, 500_000, 16
 
@@ -77,20 +86,24 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         table = byte_table()
         size = max(self.a.get_vocab(with_added_tokens=True).values()) + 1
-        self.len_a = np.zeros(size, np.int64)
         self.bytes_a: list[bytes] = [b""] * size
         for token, k in self.a.get_vocab(with_added_tokens=True).items():
             own = bytes(table[c] for c in token) if all(c in table for c in token) else token.encode()
-            self.bytes_a[k], self.len_a[k] = own, len(own)
+            self.bytes_a[k] = own
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
-        self.len_b = np.array([len(x) for x in self.bytes_b])
+        self.len_a, self.len_b = (np.array([len(x) for x in names]) for names in (self.bytes_a, self.bytes_b))
+        self.marked = [f"{k}{mark}" for k in range(size) for mark in ",|"] + [f"{k}{mark}" for k in range(len(pieces)) for mark in ",;"]
         self.cuts = check_units(pieces)
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.told: list[tuple] = []  # by number: (sound, n_a, n_b, n_groups, n_links, groups, pairs, times)
+        self.groups: list[str] = []  # by number, like the rows of ``figures``
+        self.figures = np.zeros((0, 4), np.int64)  # tokens of A and of B, groups, links
+        self.ends = np.zeros(1, np.int64)  # where the pairs of a number end
+        self.pairs = self.times = np.zeros(0, np.int64)
+        self.unsound: set[int] = set()
         self.characters = 0
 
     def units(self, text: str) -> list[str]:
@@ -98,75 +111,122 @@ class Aligner:
         return CUT.split(text) if self.cuts else [text]
 
     def learn(self, units) -> None:
-        """Code the units that have no number yet."""
+        """Code the units that have no number yet, all at a time."""
         new = [u for u in dict.fromkeys(units) if u not in self.number]
         if not new:
             return
-        coded_a = self.a.encode_batch([" " + u for u in new], add_special_tokens=False)
-        coded_b = self.b.encode(new, num_threads=1)
-        for unit, a, b in zip(new, coded_a, coded_b, strict=True):
-            self.number[unit] = len(self.told)
-            self.told.append(self.aligned((" " + unit).encode(), a.ids, b))
-            self.characters += len(unit)
-
-    def aligned(self, own: bytes, a: list[int], b: list[int]) -> tuple:
-        if b"".join([self.bytes_a[k] for k in a]) != own or b"".join([self.bytes_b[k] for k in b]) != own:
-            return False, 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(a) == 1 or len(b) == 1:
-            ends_a, ends_b = np.array([len(a)]), np.array([len(b)])
-        else:
-            end_a, end_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
-            both = np.intersect1d(end_a, end_b)
-            ends_a, ends_b = np.searchsorted(end_a, both) + 1, np.searchsorted(end_b, both) + 1
-        groups, links, found = [], 0, {}
-        from_a = from_b = 0
-        for to_a, to_b in zip(ends_a.tolist(), ends_b.tolist(), strict=True):
-            part_a, part_b = a[from_a:to_a], b[from_b:to_b]
-            groups.append(",".join(map(str, part_a)) + "|" + ",".join(map(str, part_b)))
-            links += len(part_a) * len(part_b)
-            _add_pairs(found, part_a, part_b)
-            from_a, from_b = to_a, to_b
-        return True, len(a), len(b), len(groups), links, ";".join(groups), np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
-
-    def texts(self, texts: list) -> list[list[int] | None]:
-        """Unit numbers of each text; None where a text is not aligned.
+        order, sound, *coded = self._coded(new, [(" " + u).encode() for u in new])
+        first = len(self.groups)
+        self.number.update(zip(map(new.__getitem__, order), range(first, first + len(new)), strict=True))
+        self.unsound.update((first + np.flatnonzero(~np.array(sound, bool))).tolist())
+        self.characters += sum(map(len, new))
+        groups, figures, lengths, pairs, times = self._aligned(*coded)
+        self.groups += groups
+        self.figures = np.concatenate([self.figures, figures])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+        self.pairs, self.times = np.concatenate([self.pairs, pairs]), np.concatenate([self.times, times])
+
+    def _coded(self, new: list[str], own: list[bytes]) -> tuple:
+        """(order of the units, whether each is sound, ids of A behind each other, how many each has, the same of B).
+
+        A unit is sound if the tokens of both join to its own bytes; others have
+        no tokens.  Units after which a text may be cut are coded many in a row,
+        and their tokens told apart by bytes; what does not fit is coded alone.
+        """
+        ends_well = [self.cuts and ("!" <= u[-1:] <= "~" or CUT.match(u[-1:] + " ", 1) is not None) for u in new]
+        rows = [k for k, well in enumerate(ends_well) if well]
+        alone = [k for k, well in enumerate(ends_well) if not well]
+        chunks = [rows[k : k + RUN] for k in range(0, len(rows), RUN)]
+        texts = [" " + " ".join([new[k] for k in chunk]) for chunk in chunks]
+        coded = ([e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode([t[1:] for t in texts], num_threads=1)) if chunks else ([], [])
+        order, flat, counts = [], ([], []), ([], [])
+        for chunk, *each in zip(chunks, *coded, strict=True):
+            raw, ends, told = b"".join([own[k] for k in chunk]), np.cumsum([len(own[k]) for k in chunk]), []
+            for found, names, sizes in zip(each, (self.bytes_a, self.bytes_b), (self.len_a, self.len_b), strict=True):
+                at = np.cumsum(sizes[found])
+                to = np.searchsorted(at, ends)
+                if b"".join([names[k] for k in found]) == raw and (at[np.minimum(to, len(at) - 1)] == ends).all():
+                    told.append(np.diff(to, prepend=-1).tolist())
+            if len(told) < 2:
+                alone += chunk
+                continue
+            order += chunk
+            for side in (0, 1):
+                flat[side].extend(each[side])
+                counts[side].extend(told[side])
+        sound = [True] * len(order)
+        if alone:
+            a, b = self.a.encode_batch_fast([" " + new[k] for k in alone], add_special_tokens=False), self.b.encode([new[k] for k in alone], num_threads=1)
+            for k, x, y in zip(alone, (e.ids for e in a), b, strict=True):
+                fits = b"".join([self.bytes_a[i] for i in x]) == own[k] == b"".join([self.bytes_b[i] for i in y])
+                order.append(k)
+                sound.append(fits)
+                for side, ids in enumerate((x, y) if fits else ([], [])):
+                    flat[side].extend(ids)
+                    counts[side].append(len(ids))
+        return order, sound, *(np.array(x[side], np.int64) for side in (0, 1) for x in (flat, counts))
+
+    def _aligned(self, ids_a: np.ndarray, n_a: np.ndarray, ids_b: np.ndarray, n_b: np.ndarray) -> tuple:
+        """(groups as text, figures, number of pairs, pairs, how often each is linked) of units, which may have no tokens."""
+        end_a, end_b = np.cumsum(self.len_a[ids_a]), np.cumsum(self.len_b[ids_b])
+        cuts = np.intersect1d(end_a, end_b, assume_unique=True)
+        to_a, to_b = np.searchsorted(end_a, cuts) + 1, np.searchsorted(end_b, cuts) + 1
+        from_a, from_b = np.r_[0, to_a][:-1], np.r_[0, to_b][:-1]
+        wide_a, wide_b = to_a - from_a, to_b - from_b
+        unit = np.searchsorted(np.cumsum(n_a), to_a)  # of each group
+        links = wide_a * wide_b
+        figures = np.stack([n_a, n_b, np.bincount(unit, minlength=len(n_a)), np.zeros(len(n_a), np.int64)], axis=1)
+        np.add.at(figures[:, 3], unit, links)
+        # the groups as text: tokens in order, each with the mark that follows it
+        place_a, place_b = np.arange(len(ids_a)) + np.repeat(from_b, wide_a), np.arange(len(ids_b)) + np.repeat(to_a, wide_b)
+        code = np.zeros(len(ids_a) + len(ids_b), np.int64)
+        code[place_a], code[place_b] = 2 * ids_a, 2 * (len(self.bytes_a) + ids_b)
+        code[place_a[to_a - 1]] += 1
+        code[place_b[to_b - 1]] += 1
+        text, ends = list(map(self.marked.__getitem__, code.tolist())), np.cumsum(n_a + n_b).tolist()
+        groups = ["".join(text[low:high])[:-1] for low, high in zip([0, *ends], ends, strict=False)]
+        # each of a group's A tokens with each of its B tokens; of very large groups, each id pair once with its number
+        small = links <= MOST_LINKS
+        listed = np.where(small, links, 0)
+        of = np.repeat(np.arange(len(links)), listed)
+        within = np.arange(len(of)) - (np.cumsum(listed) - listed)[of]
+        pairs = ids_a[from_a[of] + within // wide_b[of]] << SHIFT | ids_b[from_b[of] + within % wide_b[of]]
+        owner, times = unit[of], np.ones(len(of), np.int64)
+        for g in np.flatnonzero(~small).tolist():
+            (x, m), (y, n) = (np.unique(ids, return_counts=True) for ids in (ids_a[from_a[g] : to_a[g]], ids_b[from_b[g] : to_b[g]]))
+            pairs, times = np.r_[pairs, (x[:, None] << SHIFT | y).ravel()], np.r_[times, np.outer(m, n).ravel()]
+            owner = np.r_[owner, np.full(len(x) * len(y), unit[g])]
+        if not small.all():
+            order = np.argsort(owner, kind="stable")
+            pairs, times, owner = pairs[order], times[order], owner[order]
+        return groups, figures, np.bincount(owner, minlength=len(n_a)), pairs, times
+
+    def texts(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """(unit numbers of all texts behind each other, how many each has); a text that is not aligned has none.
 
         Numbers of one call hold until the next, which may forget all units.
         """
-        if len(self.told) > REMEMBER or self.characters > 32 * REMEMBER:
+        if len(self.groups) > REMEMBER or self.characters > 16 * REMEMBER:
             self.forget()
-        split = [self.units(t) if t and "▁" not in t else None for t in texts]
-        self.learn(u for units in split if units for u in units)
-        out = []
-        for text, units in zip(texts, split, strict=True):
-            numbers = None if units is None else [self.number[u] for u in units]
-            if numbers and not all(self.told[k][0] for k in numbers):
-                self.learn([text])  # parts whose bytes differ may yet join to the text's own
-                numbers = [self.number[text]] if self.told[self.number[text]][0] else None
-            out.append(numbers)
-        for u in [u for u in self.number if len(u) > LONG_UNIT]:
-            del self.number[u]
-        return out
-
-
-def _add_pairs(found: dict[int, int], a: list[int], b: list[int]) -> None:
-    """Add how often each id pair of a group is linked; repeated ids are counted, not paired one by one."""
-    if len(a) == 1 and len(b) == 1:
-        pair = a[0] << SHIFT | b[0]
-        found[pair] = found.get(pair, 0) + 1
-        return
-    times_a, times_b = _times(a), _times(b)
-    for x, m in times_a.items():
-        for y, n in times_b.items():
-            pair = x << SHIFT | y
-            found[pair] = found.get(pair, 0) + m * n
-
-
-def _times(ids: list[int]) -> dict[int, int]:
-    out: dict[int, int] = {}
-    for k in ids:
-        out[k] = out.get(k, 0) + 1
-    return out
+        split = [self.units(t) if t and "▁" not in t else [] for t in texts]
+        self.learn(itertools.chain.from_iterable(split))
+        numbers = [list(map(self.number.__getitem__, units)) for units in split]
+        if self.unsound:
+            for k in [k for k, own in enumerate(numbers) if not self.unsound.isdisjoint(own)]:
+                self.learn([texts[k]])  # parts whose bytes differ may yet join to the text's own
+                whole = self.number[texts[k]]
+                numbers[k] = [] if whole in self.unsound else [whole]
+        for u in [u for units in split for u in units if len(u) > LONG_UNIT]:
+            self.number.pop(u, None)
+        lengths = np.fromiter(map(len, numbers), np.int64, len(numbers))
+        return np.fromiter(itertools.chain.from_iterable(numbers), np.int64, int(lengths.sum())), lengths
+
+    def linked(self, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``used``, pair, how often) of the pairs of some units."""
+        n = self.ends[used + 1] - self.ends[used]
+        owner = np.repeat(np.arange(len(used)), n)
+        at = np.arange(len(owner)) + np.repeat(self.ends[used] - (np.cumsum(n) - n), n)
+        return owner, self.pairs[at], self.times[at]
 
 
 def check_units(pieces: list[str]) -> bool:
@@ -257,19 +317,19 @@ def partial_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         aligner, task = _aligner(path_a, path_b), TaskContext.get().partitionId()
         held: dict[int, int] = {}
         for frame in frames:
-            texts = frame["text"].tolist()
-            numbers = aligner.texts(texts)
-            used = sorted({k for n in numbers if n for k in n})
-            if used:
-                pairs, at = np.unique(np.concatenate([aligner.told[k][6] for k in used]), return_inverse=True)
-                bounds = np.concatenate([[0], np.cumsum([len(aligner.told[k][6]) for k in used])])
-                place = {k: at[bounds[j] : bounds[j + 1]] for j, k in enumerate(used)}
-                times = np.zeros(len(pairs), np.int64)
-                for n in numbers:
-                    if n:
-                        times[np.unique(np.concatenate([place[k] for k in dict.fromkeys(n)]))] += 1
-                for pair, n in zip(pairs.tolist(), times.tolist(), strict=True):
-                    held[pair] = held.get(pair, 0) + n
+            numbers, lengths = aligner.texts(frame["text"].tolist())
+            used, numbers = np.unique(numbers, return_inverse=True)
+            owner, pairs, _ = aligner.linked(used)
+            known, at = np.unique(pairs, return_inverse=True)
+            start = np.searchsorted(owner, np.arange(len(used) + 1))
+            once = np.unique(np.repeat(np.arange(len(lengths)), lengths) * max(1, len(used)) + numbers)  # each unit of a document once
+            doc, unit = once // max(1, len(used)), once % max(1, len(used))
+            n = (start[1:] - start[:-1])[unit]
+            place = np.arange(int(n.sum())) + np.repeat(start[unit] - (np.cumsum(n) - n), n)
+            each = np.unique(np.repeat(doc, n) * max(1, len(known)) + at[place])  # each pair of a document once
+            times = np.bincount(each % max(1, len(known)), minlength=len(known))
+            for pair, k in zip(known.tolist(), times.tolist(), strict=True):
+                held[pair] = held.get(pair, 0) + k
             if len(held) > PARTIAL:
                 yield pd.DataFrame({"pair": np.fromiter(held, np.int64, len(held)), "n": np.fromiter(held.values(), np.int64, len(held)), "task": np.int32(task)})
                 held = {}
@@ -381,34 +441,29 @@ def align(docs: DataFrame, path_a: str, path_b: str, most_held: int = 2_000_000,
         held, slices, highest = shared.value
         counts = Counts(held, slices)
         for texts in frames:
-            numbers = aligner.texts(texts.tolist())
-            used = sorted({k for x in numbers if x for k in x})
-            place = {k: j for j, k in enumerate(used)}
-            told = [aligner.told[k] for k in used]
-            each = np.array([[t[1], t[2], t[3], t[4], 0, 0] for t in told], np.int64).reshape(len(used), 6)
+            numbers, lengths = aligner.texts(texts.tolist())
+            used, at = np.unique(numbers, return_inverse=True)
+            owner, pair, times = aligner.linked(used)
+            found = counts(pair)
+            each = np.concatenate([aligner.figures[used], np.zeros((len(used), 2), np.int64)], axis=1)
+            np.add.at(each[:, 4], owner, times * ((found > 0) & (found == highest[np.minimum(pair >> SHIFT, len(highest) - 1)])))
+            np.add.at(each[:, 5], owner, times * found)
+            stops = np.cumsum(lengths)
+            sums = np.zeros((len(lengths), 6), np.int64)
+            sums[lengths > 0] = np.add.reduceat(each[at], (stops - lengths)[lengths > 0], axis=0) if len(at) else 0
             missed: dict[int, list] = {}
-            if used:
-                pair, times = np.concatenate([t[6] for t in told]), np.concatenate([t[7] for t in told])
-                owner = np.repeat(np.arange(len(used)), [len(t[6]) for t in told])
-                found = counts(pair)
-                np.add.at(each[:, 4], owner, times * ((found > 0) & (found == highest[np.minimum(pair >> SHIFT, len(highest) - 1)])))
-                np.add.at(each[:, 5], owner, times * found)
-                for j in np.flatnonzero(found == 0):
-                    missed.setdefault(int(owner[j]), []).append((int(pair[j]), int(times[j])))
-            rows = []
-            for x in numbers:
-                if not x:
-                    rows.append((0, 0, 0, 0, 0, 0, "", "" if with_groups else None, []))
-                    continue
-                groups = ";".join([aligner.told[k][5] for k in x])
-                at = [place[k] for k in x]
-                rare: dict[int, int] = {}
+            for j in np.flatnonzero(found == 0).tolist():
+                missed.setdefault(int(owner[j]), []).append((int(pair[j]), int(times[j])))
+            named, rows = [aligner.groups[k] for k in used.tolist()], []
+            for low, high, figures_of in zip((stops - lengths).tolist(), stops.tolist(), sums.tolist(), strict=True):
+                own = at[low:high].tolist()
+                groups = ";".join([named[k] for k in own])
+                rare: Counter = Counter()
                 if missed:
-                    for j in at:
-                        for p, t in missed.get(j, ()):
-                            rare[p] = rare.get(p, 0) + t
-                sums = each[at].sum(axis=0).tolist()
-                rows.append((*sums, hashlib.sha256(groups.encode()).hexdigest(), groups if with_groups else None, [{"pair": p, "times": t} for p, t in rare.items()]))
+                    for k in own:
+                        for p, t in missed.get(k, ()):
+                            rare[p] += t
+                rows.append((*figures_of, hashlib.sha256(groups.encode()).hexdigest() if own else "", groups if with_groups else None, [{"pair": p, "times": t} for p, t in rare.items()]))
             yield pd.DataFrame(rows, columns=[*figures, "groups_sha256", "groups", "rare"])
 
     figures = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]

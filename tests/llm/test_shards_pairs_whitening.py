@@ -1,5 +1,6 @@
 """Sharding, cross-tokenizer alignment and whitening against plain versions that look at everything."""
 
+import bisect
 import hashlib
 import random
 import zlib
@@ -9,9 +10,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rasterspark.llm import queries, sharding, token_alignment, whitening
+from rasterspark.llm import decontamination, queries, sharding, token_alignment, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -139,10 +141,11 @@ def naive_alignment(texts):
             told.append(([], [], []))
             continue
         ends = lambda raw: set(np.cumsum([len(x) for x in raw]).tolist())
-        cuts, groups = sorted(ends(raw_a) & ends(raw_b)), []
-        for low, high in zip([0, *cuts], cuts, strict=False):
-            inside = lambda raw, ids: [k for k, end in zip(ids, np.cumsum([len(x) for x in raw]), strict=True) if low < end <= high]  # noqa: B023, E731
-            groups.append((inside(raw_a, ids_a), inside(raw_b, ids_b)))
+        cuts = sorted(ends(raw_a) & ends(raw_b))
+        groups = [([], []) for _ in cuts]
+        for side, (raw, ids) in enumerate(((raw_a, ids_a), (raw_b, ids_b))):
+            for k, end in zip(ids, np.cumsum([len(x) for x in raw]).tolist(), strict=True):
+                groups[bisect.bisect_left(cuts, end)][side].append(k)
         told.append((ids_a, ids_b, groups))
         count.update({(x, y) for g in groups for x in g[0] for y in g[1]})
     return told, count
@@ -314,3 +317,22 @@ def test_op13_query(spark):
     assert len(check) == 32 * len(df)
     for k in (1, 7, 32):
         assert abs(check[df[0]["vec_id"], k]["explained"] - values[k - 1] / values.sum()) < 1e-9
+
+
+# op5: phrases that many items and documents share
+
+
+def test_a_common_phrase_brings_no_pairs_of_its_own(spark):
+    """300 texts and 200 items share a phrase; only the texts that hold an item's own words, in any order, meet it."""
+    phrase = "once upon a time there".split()
+    items = [(k, " ".join([*phrase, *(f"i{k}w{j}" for j in range(25))])) for k in range(200)]
+    docs = [(k, " ".join([*(f"d{k}w{j}" for j in range(15)), *phrase])) for k in range(300)]
+    moved = [f"i7w{j}" for j in range(12, 25)] + ["and"] + [f"i7w{j}" for j in range(12)]
+    docs += [(900, " ".join(moved)), (901, items[8][1]), (902, " ".join(f"i9w{j}" for j in range(9)))]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    known = decontamination.seeded(items, 5, "item_id", "text")
+    seeds = known.select("item_key", "n_words", "width", F.explode("seeds").alias("s")).select("item_key", "n_words", "width", "s.seed", "s.times")
+    rare = decontamination._rare(seeds, 0.5)
+    assert rare.groupBy("seed").count().where("count > 1").count() == 0 and rare.groupBy("item_key").count().agg(F.min("count"), F.max("count")).first() == (24, 24)
+    found = decontamination.find_overlaps(docs, items).select("doc_id", F.explode("overlaps").alias("o")).select("doc_id", "o.item", "o.coverage").collect()
+    assert sorted((r.doc_id, r.item, round(r.coverage, 3)) for r in found) == [(900, "7", 0.833), (901, "8", 1.0)]
