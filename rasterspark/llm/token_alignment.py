@@ -77,10 +77,24 @@ def byte_table() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class Grown:
+    """Rows that are added to at the end; memory doubles when it is full."""
+
+    def __init__(self, *width: int):
+        self.buffer, self.n = np.zeros((1024, *width), np.int64), 0
+
+    def add(self, rows: np.ndarray) -> None:
+        if self.n + len(rows) > len(self.buffer):
+            self.buffer = np.concatenate([self.buffer[: self.n], np.zeros((self.n + 2 * len(rows), *self.buffer.shape[1:]), np.int64)])
+        self.buffer[self.n : self.n + len(rows)] = rows
+        self.n += len(rows)
+
+
 class Aligner:
     """Units of texts with their tokens, groups and pairs; numbers them as they come."""
 
-    def __init__(self, path_a: str, path_b: str):
+    def __init__(self, path_a: str, path_b: str, told: bool):
+        self.told = told  # whether groups are wanted as text
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
@@ -100,9 +114,10 @@ class Aligner:
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.groups: list[str] = []  # by number, like the rows of ``figures``
-        self.figures = np.zeros((0, 4), np.int64)  # tokens of A and of B, groups, links
-        self.ends = np.zeros(1, np.int64)  # where the pairs of a number end
-        self.pairs = self.times = np.zeros(0, np.int64)
+        self.figures = Grown(4)  # tokens of A and of B, groups, links
+        self.ends = Grown()  # where the pairs of a number end, behind a 0
+        self.ends.add(np.zeros(1, np.int64))
+        self.pairs, self.times = Grown(), Grown()
         self.unsound: set[int] = set()
         self.characters = 0
 
@@ -122,9 +137,10 @@ class Aligner:
         self.characters += sum(map(len, new))
         groups, figures, lengths, pairs, times = self._aligned(*coded)
         self.groups += groups
-        self.figures = np.concatenate([self.figures, figures])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
-        self.pairs, self.times = np.concatenate([self.pairs, pairs]), np.concatenate([self.times, times])
+        self.figures.add(figures)
+        self.ends.add(self.pairs.n + np.cumsum(lengths))
+        self.pairs.add(pairs)
+        self.times.add(times)
 
     def _coded(self, new: list[str], own: list[bytes]) -> tuple:
         """(order of the units, whether each is sound, ids of A behind each other, how many each has, the same of B).
@@ -178,13 +194,15 @@ class Aligner:
         figures = np.stack([n_a, n_b, np.bincount(unit, minlength=len(n_a)), np.zeros(len(n_a), np.int64)], axis=1)
         np.add.at(figures[:, 3], unit, links)
         # the groups as text: tokens in order, each with the mark that follows it
-        place_a, place_b = np.arange(len(ids_a)) + np.repeat(from_b, wide_a), np.arange(len(ids_b)) + np.repeat(to_a, wide_b)
-        code = np.zeros(len(ids_a) + len(ids_b), np.int64)
-        code[place_a], code[place_b] = 2 * ids_a, 2 * (len(self.bytes_a) + ids_b)
-        code[place_a[to_a - 1]] += 1
-        code[place_b[to_b - 1]] += 1
-        text, ends = list(map(self.marked.__getitem__, code.tolist())), np.cumsum(n_a + n_b).tolist()
-        groups = ["".join(text[low:high])[:-1] for low, high in zip([0, *ends], ends, strict=False)]
+        groups = [""] * len(n_a)
+        if self.told:
+            place_a, place_b = np.arange(len(ids_a)) + np.repeat(from_b, wide_a), np.arange(len(ids_b)) + np.repeat(to_a, wide_b)
+            code = np.zeros(len(ids_a) + len(ids_b), np.int64)
+            code[place_a], code[place_b] = 2 * ids_a, 2 * (len(self.bytes_a) + ids_b)
+            code[place_a[to_a - 1]] += 1
+            code[place_b[to_b - 1]] += 1
+            text, ends = list(map(self.marked.__getitem__, code.tolist())), np.cumsum(n_a + n_b).tolist()
+            groups = ["".join(text[low:high])[:-1] for low, high in zip([0, *ends], ends, strict=False)]
         # each of a group's A tokens with each of its B tokens; of very large groups, each id pair once with its number
         small = links <= MOST_LINKS
         listed = np.where(small, links, 0)
@@ -223,10 +241,11 @@ class Aligner:
 
     def linked(self, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in ``used``, pair, how often) of the pairs of some units."""
-        n = self.ends[used + 1] - self.ends[used]
+        first = self.ends.buffer[used]
+        n = self.ends.buffer[used + 1] - first
         owner = np.repeat(np.arange(len(used)), n)
-        at = np.arange(len(owner)) + np.repeat(self.ends[used] - (np.cumsum(n) - n), n)
-        return owner, self.pairs[at], self.times[at]
+        at = np.arange(len(owner)) + np.repeat(first - (np.cumsum(n) - n), n)
+        return owner, self.pairs.buffer[at], self.times.buffer[at]
 
 
 def check_units(pieces: list[str]) -> bool:
@@ -234,9 +253,10 @@ def check_units(pieces: list[str]) -> bool:
     return not any("▁" in p.lstrip("▁") for p in pieces)
 
 
-@functools.cache
-def _aligner(path_a: str, path_b: str) -> Aligner:
-    return Aligner(path_a, path_b)
+@functools.lru_cache(maxsize=1)
+def _aligner(path_a: str, path_b: str, told: bool) -> Aligner:
+    """A worker's aligner; that of another pass goes."""
+    return Aligner(path_a, path_b, told)
 
 
 # Minimal perfect hash
@@ -314,7 +334,7 @@ def partial_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """(pair, n, task): documents of a task that hold the pair; a task gives a pair more than once when it has very many."""
 
     def count(frames):
-        aligner, task = _aligner(path_a, path_b), TaskContext.get().partitionId()
+        aligner, task = _aligner(path_a, path_b, False), TaskContext.get().partitionId()
         held: dict[int, int] = {}
         for frame in frames:
             numbers, lengths = aligner.texts(frame["text"].tolist())
@@ -437,7 +457,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, most_held: int = 2_000_000,
     shared = spark.sparkContext.broadcast((held, slices, highest))
 
     def look(frames):
-        aligner = _aligner(path_a, path_b)
+        aligner = _aligner(path_a, path_b, True)
         held, slices, highest = shared.value
         counts = Counts(held, slices)
         for texts in frames:
@@ -445,7 +465,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, most_held: int = 2_000_000,
             used, at = np.unique(numbers, return_inverse=True)
             owner, pair, times = aligner.linked(used)
             found = counts(pair)
-            each = np.concatenate([aligner.figures[used], np.zeros((len(used), 2), np.int64)], axis=1)
+            each = np.concatenate([aligner.figures.buffer[used], np.zeros((len(used), 2), np.int64)], axis=1)
             np.add.at(each[:, 4], owner, times * ((found > 0) & (found == highest[np.minimum(pair >> SHIFT, len(highest) - 1)])))
             np.add.at(each[:, 5], owner, times * found)
             stops = np.cumsum(lengths)
