@@ -6,9 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions import stacks
 from ..sources.manifests import kept
 
 
@@ -139,23 +142,66 @@ def chain_of(settings: dict, size: int, bands, seed: int = 0) -> list:
 
 
 def rescale(cells: DataFrame, bands, size: int, scale: Column, *by: str, class_col: str | None = None) -> DataFrame:
-    """Square patches on a grid ``scale`` times as fine, corners kept: bands bilinear, classes from the nearest cell."""
-    grid = cells.select(*by, scale.alias("_scale")).groupBy(*by).agg(F.greatest(F.lit(1), F.rint(size * F.first("_scale")).cast("int")).alias("_n"))
-    places = F.sequence(F.lit(0), F.col("_n") - 1)
-    grid = grid.withColumn("r", F.explode(places)).withColumn("c", F.explode(places))
-    step = (size - 1) / F.greatest(F.col("_n") - 1, F.lit(1))
-    grid = grid.withColumns({"_y": F.col("r") * step, "_x": F.col("c") * step})
-    near = (F.col("_y") - F.floor("_y"), F.col("_x") - F.floor("_x"))
-    corner = [
-        F.struct(F.least(F.floor("_y") + dy, F.lit(size - 1)).cast("int").alias("r"), F.least(F.floor("_x") + dx, F.lit(size - 1)).cast("int").alias("c"), ((near[0] if dy else 1 - near[0]) * (near[1] if dx else 1 - near[1])).alias("share"))
-        for dy in (0, 1) for dx in (0, 1)
-    ]
-    is_nearest = (F.col("_f.r") == F.floor(F.col("_y") + 0.5)) & (F.col("_f.c") == F.floor(F.col("_x") + 0.5))
-    grid = grid.withColumn("_f", F.explode(F.filter(F.array(*corner), lambda x: x["share"] > 0))).select(*by, F.col("r").alias("_r"), F.col("c").alias("_c"), F.col("_f.r").alias("r"), F.col("_f.c").alias("c"), F.col("_f.share").alias("_share"), is_nearest.alias("_nearest"))
-    found = [F.sum(F.col(b) * F.col("_share")).alias(b) for b in bands]
-    if class_col:
-        found.append(F.max(F.when(F.col("_nearest"), F.col(class_col))).alias(class_col))
-    return grid.join(cells, [*by, "r", "c"]).groupBy(*by, "_r", "_c").agg(*found).withColumnsRenamed({"_r": "r", "_c": "c"})
+    """Square patches on a grid ``scale`` times as fine, corners kept: bands bilinear, classes from the nearest cell.
+
+    ``scale`` is one value for each patch.  Cells that are missing or null have
+    no part in a sum; a place of which all corners are missing has no row.
+    """
+    bands, by = list(bands), list(by)
+    kept_classes = [class_col] if class_col else []
+    inside = F.col("r").between(0, size - 1) & F.col("c").between(0, size - 1)
+    for k in by:
+        inside = inside & F.col(k).isNotNull()
+    fine = F.greatest(F.lit(1), F.rint(size * scale).cast("int"))
+    own = cells.where(inside).select(*by, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), *[F.col(b).cast("double").alias(b) for b in bands], *kept_classes, fine.alias("_n"))
+
+    def run(table: pa.Table) -> pa.Table:
+        group = stacks.group_numbers(table, by)
+        first = np.flatnonzero(np.r_[True, np.diff(group) > 0])
+        r, c, fines = table["r"].to_numpy(), table["c"].to_numpy(), table["_n"].to_numpy()[first]
+        values = [(x.fill_null(0.0).to_numpy(), x.is_valid().to_numpy()) for x in (table[b] for b in bands)]
+        made = []
+        for n in np.unique(fines):
+            of_size = np.flatnonzero((fines == n)[group])
+            names = np.unique(group[of_size])
+            most = max(1, stacks.CELLS // max(size * size, int(n) * int(n)))
+            for low in range(0, len(names), most):
+                some = of_size[slice(*np.searchsorted(group[of_size], (names[low], names[min(low + most, len(names)) - 1] + 1)))]
+                made.append(_finer(table, some, first[names[low : low + most]], np.searchsorted(names, group[some]) - low, r, c, values, int(n)))
+        return pa.concat_tables(made)
+
+    def _finer(table, rows, firsts, number, r, c, values, n):
+        at = np.minimum(np.arange(n) * ((size - 1) / max(n - 1, 1)), size - 1)
+        low = np.floor(at).astype(np.int64)
+        near, high, nearest = at - low, np.minimum(low + 1, size - 1), np.floor(at + 0.5).astype(np.int64)
+        sides = ((low, 1 - near), (high, near))
+        corners = [(y, x, sy[:, None] * sx[None, :]) for y, sy in sides for x, sx in sides]
+        shape, place = (len(firsts), size, size), (number, r[rows], c[rows])
+
+        def spread(weights):
+            return np.bincount(np.ravel_multi_index(place, shape), weights, len(firsts) * size * size).reshape(shape)
+
+        def summed(grid, shares=True):
+            return sum(np.where(share > 0, grid[:, y[:, None], x[None, :]] * (share if shares else 1), 0) for y, x, share in corners).reshape(-1)
+
+        there = np.flatnonzero(summed(spread(np.ones(len(rows))), False) > 0)
+        patch, within = np.divmod(there, n * n)
+        columns = [table[k].take(pa.array(firsts[patch])) for k in by]
+        columns += [pa.array(x.astype(np.int32)) for x in (within // n, within % n)]
+        for x, known in values:
+            some = np.where(known[rows], x[rows], 0.0)
+            counted = summed(spread(known[rows].astype(float)), False)
+            columns.append(pa.array(summed(spread(some))[there], mask=(counted == 0)[there]))
+        if class_col:
+            last = np.full(shape, -1)
+            last[place] = rows  # rows of one place come by class, null first, so the greatest stays
+            index = last[:, nearest[:, None], nearest[None, :]].reshape(-1)[there]
+            columns.append(table[class_col].take(pa.array(index, mask=index < 0)))
+        return pa.table(columns, schema=arrow)
+
+    out = own.select(*by, "r", "c", *bands, *kept_classes).schema
+    arrow = to_arrow_schema(out)
+    return stacks.per_table(own, by, run, out, *kept_classes)
 
 
 def chain(cells: DataFrame, steps, bands, stats: dict, train: bool = True) -> DataFrame:
