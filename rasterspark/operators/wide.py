@@ -16,11 +16,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..functions import masks
+from ..functions import masks, stacks
 from ..sources.manifests import kept
 from . import cleaning
 from .regions import with_shape
@@ -189,21 +189,21 @@ def clean(cells: DataFrame, *steps, classes: int = 4, tile: int = TILE, rim: int
     span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - far) / tile), F.floor((F.col(c) + far) / tile)))
     near = placed.join(ends, "scene_id").withColumn("_tr", span("row")).withColumn("_tc", span("col"))
     near = near.where("_tr >= 0 AND _tc >= 0 AND _tr * {0} < _height AND _tc * {0} < _width".format(tile))
-    kind = StructType([*cells.schema.fields, StructField("_own", IntegerType())])
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        _, tr, tc = key
-        top, left = max(0, tr * tile - far), max(0, tc * tile - far)
-        height, width = min(int(frame["_height"].iat[0]), (tr + 1) * tile + far) - top, min(int(frame["_width"].iat[0]), (tc + 1) * tile + far) - left
-        r, c = frame["row"].to_numpy(np.int64) - top, frame["col"].to_numpy(np.int64) - left
-        grid, known = np.full((height, width), cleaning.MISSING, np.int64), frame["class_id"].notna()
-        grid[r, c] = frame["class_id"].fillna(cleaning.MISSING)
-        for step in steps:
-            grid = step(grid)
-        own = (frame["row"] // tile == tr) & (frame["col"] // tile == tc)
-        return frame.assign(class_id=frame["class_id"].where(~known, grid[r, c]), _own=1)[own][kind.names]
-
-    done = near.groupBy("scene_id", "_tr", "_tc").applyInPandas(run, kind).drop("_own")
+    keys = ["scene_id", "_tr", "_tc"]
+
+    names = cells.columns
+
+    def run(table: pa.Table) -> pa.Table:
+        group = stacks.group_numbers(table, keys)
+        row, col, tr, tc, height, width = (table[x].to_numpy().astype(np.int64) for x in ("row", "col", "_tr", "_tc", "_height", "_width"))
+        top, left = np.maximum(0, tr * tile - far), np.maximum(0, tc * tile - far)
+        first = np.flatnonzero(np.r_[True, np.diff(group) > 0])
+        height = (np.minimum(height, (tr + 1) * tile + far) - top)[first]
+        width = (np.minimum(width, (tc + 1) * tile + far) - left)[first]
+        done = cleaning.with_classes(table, "class_id", steps, group, row - top, col - left, height, width)
+        return done.filter(pa.array((row // tile == tr) & (col // tile == tc))).select(names)
+
+    done = stacks.per_table(near, keys, run, cells.schema)
     return done.unionByName(cells.where("scene_id IS NULL OR row IS NULL OR col IS NULL"))
 
 
