@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions import masks
+from ..functions import masks, stacks
 
 
 def label(cells: DataFrame, patch: str = "patch_id", four=(1,), background: int = 0) -> DataFrame:
@@ -18,18 +19,22 @@ def label(cells: DataFrame, patch: str = "patch_id", four=(1,), background: int
     Classes in ``four`` join along edges, the others also across corners.
     """
 
-    def run(pdf):
-        out = np.zeros(len(pdf), np.int64)
-        r, c, classes = (pdf[x].to_numpy() for x in ("r", "c", "class_id"))
-        for k in np.unique(classes):
-            own = classes == k
-            mask = np.zeros((r.max() + 1, c.max() + 1), bool)
-            mask[r[own], c[own]] = True
-            out[own] = masks.components(mask, eight=k not in four)[r[own], c[own]]
-        return pdf.assign(region_id=out)
+    def run(table: pa.Table) -> pa.Table:
+        group = stacks.group_numbers(table, [patch])
+        r, c, classes = (table[x].to_numpy().astype(np.int64) for x in ("r", "c", "class_id"))
+        out = np.zeros(len(group), np.int64)
+        for rows, places, shape in stacks.stacks(group, r, c, *stacks.ends(group, r, c)):
+            for k in np.unique(classes[rows]):
+                own = classes[rows] == k
+                mask = np.zeros(shape, bool)
+                mask.reshape(-1)[places[own]] = True
+                named = masks.components(mask, eight=k not in four).reshape(len(mask), -1)
+                before = np.maximum.accumulate(np.r_[0, named.max(axis=1)[:-1]])  # numbers run on through the stack
+                out[rows[own]] = (named - before[:, None]).reshape(-1)[places[own]]
+        return table.append_column("region_id", pa.array(out))
 
     kept = cells.where((F.col("class_id") != background) & F.col("r").isNotNull() & F.col("c").isNotNull())
-    return kept.groupBy(patch).applyInPandas(run, StructType([*cells.schema.fields, StructField("region_id", LongType())]))
+    return stacks.per_table(kept, [patch], run, StructType([*cells.schema.fields, StructField("region_id", LongType())]))
 
 
 def regions(labelled: DataFrame, *by: str, least: int = 4, pixel_area: float = 900.0) -> DataFrame:
@@ -38,13 +43,16 @@ def regions(labelled: DataFrame, *by: str, least: int = 4, pixel_area: float = 9
     An edge is exposed unless two cells of the region share it.
     """
     keys = [*by, "class_id", "region_id"]
-    across, down = Window.partitionBy(*keys, "r").orderBy("c"), Window.partitionBy(*keys, "c").orderBy("r")
-    pairs = labelled.withColumn("shared", (F.coalesce(F.lag("c").over(across) == F.col("c") - 1, F.lit(False)).cast("int") + F.coalesce(F.lag("r").over(down) == F.col("r") - 1, F.lit(False)).cast("int")))
-    found = pairs.groupBy(*keys).agg(
+    place = F.col("r").cast("long") * (1 << 32) + F.col("c")
+    beside = lambda step: F.size(F.array_intersect("_places", F.transform("_places", lambda x: x + step)))
+    found = labelled.groupBy(*keys).agg(
         F.count("*").alias("area_px"), F.min("r").alias("row_min"), (F.max("r") + 1).alias("row_max"), F.min("c").alias("col_min"), (F.max("c") + 1).alias("col_max"),
-        (4 * F.count("*") - 2 * F.sum("shared")).alias("perimeter"), F.avg("confidence").alias("mean_confidence"), (F.count("*") / F.count_distinct("r")).alias("row_width"),
+        F.collect_list(place).alias("_places"), F.avg("confidence").alias("mean_confidence"),
     ).where(F.col("area_px") >= least)
-    return with_shape(found, pixel_area)
+    n_rows = F.size(F.array_distinct(F.transform("_places", lambda x: F.shiftright(x, 32))))
+    found = found.withColumns({"perimeter": 4 * F.col("area_px") - 2 * (beside(1) + beside(1 << 32)).cast("long"), "row_width": F.col("area_px") / n_rows})
+    order = [*keys, "area_px", "row_min", "row_max", "col_min", "col_max", "perimeter", "mean_confidence", "row_width"]
+    return with_shape(found.select(*order), pixel_area)
 
 
 def with_shape(found: DataFrame, pixel_area: float) -> DataFrame:
