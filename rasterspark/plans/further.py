@@ -676,13 +676,13 @@ def statistics_files(spark, folder):
 BATCHES = 4
 
 
-def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table as a stream of several micro-batches; a table of few files is dealt out to new ones first."""
-    path, rows = f"{folder}/{name}.parquet", views.table(spark, folder, name)
+def _stream(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """A table (or ``columns`` of it) as a stream of several micro-batches; a table of few files is dealt out to new ones first, more of them where it is larger."""
+    path, rows = f"{folder}/{name}.parquet", views.table(spark, folder, name).select(*(columns or ["*"]))
     n_files = len(rows.inputFiles())
     if n_files < BATCHES:
-        path, n_files = manifests.scratch(spark, "arriving"), BATCHES
-        rows.repartition(BATCHES).write.parquet(path)
+        path, n_files = manifests.scratch(spark, "arriving"), BATCHES * rows.rdd.getNumPartitions()
+        rows.repartition(n_files).write.parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-n_files // BATCHES)).parquet(path)
 
 
@@ -701,7 +701,7 @@ def stream_labels(spark, folder):
 
 
 def stream_new_patches(spark, folder):
-    ids = _stream(spark, folder, "lineitem").select(F.col("l_orderkey").alias("patch_id"))
+    ids = _stream(spark, folder, "lineitem", "l_orderkey").select(F.col("l_orderkey").alias("patch_id"))
     return running.run_once(running.new_patches(ids), manifests.scratch(spark, "stream"), "append")
 
 

@@ -125,3 +125,18 @@ def test_cells_without_a_row_are_outside(spark):
     only = cells.withColumn("class_id", F.when(F.col("class_id") == 1, 1).otherwise(F.lit(None)))
     got = wide.clean(only, cleaning.Cleaning(opening=1, closing=0), tile=5)
     assert {(x.scene_id, x.row, x.col) for x in got.where("class_id = 1").collect()} == want & mask
+
+
+def test_a_larger_table_is_dealt_to_more_files(spark, tmp_path, monkeypatch):
+    from rasterspark.plans import further
+
+    spark.range(200_000).selectExpr("id AS l_orderkey", "uuid() AS other").coalesce(1).write.option("parquet.block.size", 1 << 18).parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(further.manifests, "scratch", lambda spark, name: f"{tmp_path}/{name}")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        assert further._stream(spark, str(tmp_path), "lineitem", "l_orderkey").columns == ["l_orderkey"]
+        dealt = spark.read.parquet(f"{tmp_path}/arriving")
+        assert len(dealt.inputFiles()) > further.BATCHES and dealt.columns == ["l_orderkey"] and dealt.distinct().count() == 200_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
