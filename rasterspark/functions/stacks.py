@@ -73,3 +73,28 @@ def ends(group: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     """One more than the largest of each group's values, by group."""
     first = np.flatnonzero(np.r_[True, np.diff(group) > 0])
     return [np.maximum.reduceat(x, first) + 1 for x in values]
+
+
+def below(x: np.ndarray, y: np.ndarray, weights: np.ndarray, at_x: np.ndarray, at_y: np.ndarray, open_x: bool, open_y: bool) -> np.ndarray:
+    """Sums of the rows of ``weights`` whose (x, y) lies at or below (at_x, at_y) on both axes; on an open axis, below it.
+
+    Rows in order of x are dealt by the bits of their rank in y, high bits first;
+    a point's rows stay one range, so each bit costs two looks at running sums.
+    """
+    by_x, by_y = np.argsort(x, kind="stable"), np.argsort(y, kind="stable")
+    high = np.searchsorted(x[by_x], at_x, "left" if open_x else "right")
+    most = np.searchsorted(y[by_y], at_y, "left" if open_y else "right")
+    rank = np.empty(len(y), np.int64)
+    rank[by_y] = np.arange(len(y))
+    rank, weights, low = rank[by_x], weights[by_x], np.zeros(len(high), np.int64)
+    out = np.zeros((len(at_x), weights.shape[1]), weights.dtype)
+    for bit in reversed(range(len(y).bit_length())):
+        zero = (rank >> bit) & 1 == 0
+        before = np.r_[0, np.cumsum(zero)]
+        sums = np.concatenate([np.zeros((1, weights.shape[1]), weights.dtype), np.cumsum(weights[zero], axis=0)])
+        up = (most >> bit) & 1 == 1
+        out[up] += sums[before[high[up]]] - sums[before[low[up]]]
+        low, high = (np.where(up, before[-1] + k - before[k], before[k]) for k in (low, high))
+        order = np.r_[np.flatnonzero(zero), np.flatnonzero(~zero)]
+        rank, weights = rank[order], weights[order]
+    return out

@@ -5,9 +5,14 @@ from __future__ import annotations
 import datetime
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stacks import below
+from ..sources.manifests import kept
+
 
 def _date(text: str) -> datetime.date:
     return datetime.date.fromisoformat(text)
@@ -78,6 +83,74 @@ def touching(scenes: DataFrame, areas: DataFrame) -> DataFrame:
     return one_way(left, right, "scene", "area", True).unionByName(one_way(right, left, "area", "scene", False))
 
 
+#: Edges of a box, and parts that the edges of either side are cut into for counting.
+EDGES, CUTS = ("min_lon", "max_lon", "min_lat", "max_lat"), 256
+
+
+def touch_counts(scenes: DataFrame, areas: DataFrame, sums: tuple[str, ...] = (), count: str = "n_scenes") -> DataFrame:
+    """``areas`` plus the number of scenes whose box meets theirs and sums of integer columns of these; areas that none meets are left out.
+
+    The same pairs as ``touching``, but none is made.  A box needs all its edges,
+    the lower ones not beyond the upper.  Along an axis, the scenes that meet an
+    area are those that begin before its end less those that end before its
+    beginning; both axes give four sums over corners that lie below a point.  Each
+    is cut at quantiles of the edges: cells wholly below a point, the rest of its
+    column, and the rest of its row are groups of their own, and a value that is
+    a cut has a column of its own, which needs no rest.  Rows grow with scenes
+    plus areas; a column or row holds about 1 / ``CUTS`` of either's boxes that
+    differ, and the cells are a million at most for each of the four sums.
+    """
+    whole = lambda df: df.where(" AND ".join([*[f"{e} IS NOT NULL AND NOT isnan({e})" for e in EDGES], "min_lon <= max_lon AND min_lat <= max_lat"]))
+    as_double = lambda df: df.withColumns({e: F.col(e).cast("double") for e in EDGES})
+    totals = [f"_t{k}" for k in range(len(sums) + 1)]
+    boxes = kept(whole(as_double(scenes)).groupBy(*EDGES).agg(F.count("*").alias("_t0"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(t) for c, t in zip(sums, totals[1:], strict=True)]), "boxes")
+    asked = kept(whole(as_double(areas)).select(*EDGES).distinct(), "areas")
+    cuts = [[F.percentile_approx(e, [k / CUTS for k in range(CUTS + 1)]).alias(e) for e in EDGES]] * 2
+    of_boxes, of_areas = (df.agg(*c).first() for df, c in zip((boxes, asked), cuts, strict=True))
+    # a scene's lower edge is held against an area's upper one (up to it), its upper edge against the lower one (below it)
+    pairs = [(("min_lon", "max_lon"), ("max_lon", "min_lon")), (("min_lat", "max_lat"), ("max_lat", "min_lat"))]
+    at = [[np.unique(np.array([*(of_boxes[own] or []), *(of_areas[other] or [])], float)) for own, other in axis] for axis in pairs]
+
+    def parts(side: int, carried):
+        """Rows (part, x, y, carried) of the corners of scenes (``side`` 0) or of the points that areas ask for (1)."""
+        def code(v, cut, strict):
+            """Even between two cuts, odd on one; and whether the rest of the column counts: for areas, the last code wholly below."""
+            found = np.searchsorted(cut, v, "left") + np.searchsorted(cut, v, "right")
+            return (found, found, found % 2 == 0) if not side else (found, np.where(found % 2 == 1, found - int(strict), found - 1), found % 2 == 0)
+
+        def run(batches):
+            for batch in batches:
+                edge = {e: batch.column(e).to_numpy(zero_copy_only=False) for e in EDGES}
+                for kind in range(4):
+                    (x, (cx, wx, rx)), (y, (cy, wy, ry)) = [(v := edge[pairs[axis][h][side]], code(v, at[axis][h], h)) for axis, h in ((0, kind % 2), (1, kind // 2))]
+                    every = np.ones(len(x), bool)
+                    for which, (keep, strip, u, w) in enumerate(((every, 0 * cx, wx, wy), (rx, cx, x, y), (ry, cy, wx, y))):
+                        rows = np.flatnonzero(keep)
+                        own = [pa.array(((kind * 3 + which) * 8192 + strip[rows]).astype(np.int32)), pa.array(u[rows].astype(float)), pa.array(w[rows].astype(float))]
+                        yield pa.RecordBatch.from_arrays([*own, *[batch.column(c).take(pa.array(rows)) for c in carried]], ["part", "x", "y", *carried])
+
+        kinds = ", ".join(f"{c} {'double' if c in EDGES else 'long'}" for c in carried)
+        return (asked if side else boxes).mapInArrow(run, f"part int, x double, y double, {kinds}")
+
+    corners = parts(0, totals).groupBy("part", "x", "y").agg(*[F.sum(t).alias(t) for t in totals])
+    points = parts(1, EDGES)
+
+    def summed(table: pa.Table) -> pa.Table:
+        part, x, y, own = (table[c].to_numpy() for c in ("part", "x", "y", "_own"))
+        kind, which = divmod(int(part[0]) // 8192, 3)
+        ask = own == 0
+        weights = np.stack([table[t].to_numpy()[~ask] for t in totals], axis=1)
+        found = below(x[~ask], y[~ask], weights, x[ask], y[ask], which == 1 and bool(kind % 2), which > 0 and bool(kind // 2))
+        return pa.table({"part": part[ask], "x": x[ask], "y": y[ask]} | {t: found[:, k] * (-1) ** (kind % 2 + kind // 2) for k, t in enumerate(totals)})
+
+    both = corners.withColumn("_own", F.lit(1)).unionByName(points.select("part", "x", "y").distinct().select("*", *[F.lit(0).cast("long").alias(t) for t in totals], F.lit(0).alias("_own")))
+    found = both.groupBy("part").applyInArrow(summed, f"part int, x double, y double, {', '.join(f'{t} long' for t in totals)}")
+    told = points.join(found, ["part", "x", "y"]).groupBy(*EDGES).agg(*[F.sum(t).cast("long").alias(t) for t in totals]).where("_t0 > 0")
+    keys = {f"_{e}": F.col(e).cast("double") for e in EDGES}
+    joined = areas.withColumns(keys).join(told.withColumnsRenamed({e: f"_{e}" for e in EDGES}), [*keys]).drop(*keys)
+    return joined.withColumnsRenamed(dict(zip(totals, (count, *[f"sum_{c}" for c in sums]), strict=True)))
+
+
 def operating(sensors: DataFrame, start: str, end: str) -> DataFrame:
     """Sensors whose period (inclusive, may be open) overlaps [start, end]."""
     return sensors.where((F.coalesce("op_end", F.lit("9999-12-31").cast("date")) >= F.lit(start).cast("date")) & (F.col("op_start") <= F.lit(end).cast("date")))

@@ -241,6 +241,25 @@ def test_boxes_of_any_size_meet_as_all_pairs_do(spark):
     assert catalog.touching(scenes.where("s < 0"), areas).count() == 0
 
 
+def test_boxes_are_counted_without_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "touching", None)  # no pair is made
+    monkeypatch.setattr(catalog, "CUTS", 4)
+    rng = np.random.default_rng(8)
+
+    def boxes(n, name, step):
+        low, side = rng.integers(-40, 40, (n, 2)) / step, rng.choice([0.0, 0.25, 3.0, 60.0], (n, 2))
+        out = [(k, *map(float, (x, x + w, y, y + h))) for k, ((x, y), (w, h)) in enumerate(zip(low, side, strict=True))]
+        out += [(n + k, *box) for k, box in enumerate([(0.0, 9.0, 0.0, 9.0)] * 40 + [(None, 1.0, 1.0, 2.0), (5.0, 4.0, 0.0, 1.0), (1e9, 2e9, 0.0, 1.0)])]
+        return out, spark.createDataFrame(out, f"{name} long, min_lon double, max_lon double, min_lat double, max_lat double")
+
+    (a, scenes), (b, areas) = boxes(300, "s", 4), boxes(150, "a", 2.5)
+    good = lambda rows: [p for p in rows if p[1] is not None and p[1] <= p[2]]
+    met = {q[0]: [p[0] for p in good(a) if p[1] <= q[2] and p[2] >= q[1] and p[3] <= q[4] and p[4] >= q[3]] for q in good(b)}
+    got = catalog.touch_counts(scenes, areas, ("s",)).select("a", "n_scenes", "sum_s").collect()
+    assert sorted(map(tuple, got)) == sorted((k, len(v), sum(v)) for k, v in met.items() if v) and 0 < len(got) < len(b)
+    assert catalog.touch_counts(scenes.where("s < 0"), areas).count() == catalog.touch_counts(scenes, areas.where("a < 0")).count() == 0
+
+
 def test_files_of_a_folder_against_what_is_expected(spark, tmp_path):
     for name, text in (("a/1.bin", b"MAGIC rest"), ("a/b/2.bin", b""), ("a/3.bin", b"MA"), ("4.bin", b"other kind"), ("5.txt", b"x")):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
