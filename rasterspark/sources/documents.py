@@ -27,7 +27,7 @@ class Part(WriterCommitMessage):
     n_rows: int
 
 
-def _files(path: str):
+def file_system(path: str):
     """(file system, path within it) of a URI or an absolute path."""
     from pyarrow import fs
 
@@ -43,7 +43,7 @@ class DocumentWriter(DataSourceWriter):
     def write(self, rows) -> Part:
         from pyspark import TaskContext
 
-        files, path = _files(self.path)
+        files, path = file_system(self.path)
         files.create_dir(path, recursive=True)
         name, n = f".{uuid.uuid4().hex}", 0
         with files.open_output_stream(f"{path}/{name}") as out:
@@ -53,7 +53,7 @@ class DocumentWriter(DataSourceWriter):
         return Part(TaskContext.get().partitionId(), name, n)
 
     def commit(self, messages) -> None:
-        files, path = _files(self.path)
+        files, path = file_system(self.path)
         parts = sorted((m for m in messages if m), key=lambda m: m.task)
         full = [m for m in parts if m.n_rows]
         for k, m in enumerate(full):
@@ -68,7 +68,7 @@ class DocumentWriter(DataSourceWriter):
         self._put(files, f"{path}/0-head.json", f'{{"version": {json.dumps(self.version)}, "entry_count": {sum(m.n_rows for m in full)}, "entries": [\n')
 
     def abort(self, messages) -> None:
-        files, path = _files(self.path)
+        files, path = file_system(self.path)
         for m in messages:
             if m:
                 files.delete_file(f"{path}/{m.name}")

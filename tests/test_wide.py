@@ -271,6 +271,23 @@ def test_files_of_a_folder_against_what_is_expected(spark, tmp_path):
     assert {tuple(r) for r in files.file_issues(listed, expected.select("name")).collect()} == {("2.bin", "empty"), ("9.bin", "missing"), ("5.txt", "unexpected")}
 
 
+def test_folders_are_listed_and_written_by_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(type(spark.range(1)), "inputFiles", None)  # no list of files in the driver
+    rows = spark.range(300).selectExpr("concat('of=', id % 7, '/scene=', id, '/m.', if(id % 3 = 0, 'json', 'txt')) AS path", "if(id = 0, '', repeat('ä', cast(id AS int))) AS value")
+    for _ in range(2):  # written again: the same files
+        assert files.write_each(rows, f"file://{tmp_path}") == 300
+    for name in (".hidden", "_SUCCESS", "of=1/_x=1/a.json", "top.csv"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"12345")
+    assert len([p for p in tmp_path.rglob("*") if p.is_file()]) == 304
+    sizes = {r.path: r.length for r in files.listing(spark, str(tmp_path)).collect()}
+    assert len(sizes) == 302 and sizes[f"file:{tmp_path}/of=2/scene=9/m.json"] == 18 and sizes[f"file:{tmp_path}/of=0/scene=0/m.json"] == 0
+    assert files.listing(spark, str(tmp_path), "*.json").count() == 101 and files.listing(spark, str(tmp_path), "?.{txt,cs*}").count() == 200
+    heads = {r.path: r.head for r in files.headers(spark, str(tmp_path), "m.json", n_bytes=3, most=100).collect()}
+    assert heads[f"file:{tmp_path}/of=2/scene=9/m.json"] == "ä".encode() + b"\xc3" and heads[f"file:{tmp_path}/of=0/scene=0/m.json"] is None
+    assert sum(h is None for h in heads.values()) == 1 + sum(2 * k > 100 for k in range(0, 300, 3))
+
+
 def test_scenes_keep_their_reference(spark, tmp_path):
     pixels = spark.range(12).selectExpr("id % 2 AS scene_id", "id DIV 6 AS row", "id DIV 2 % 3 AS col", "IF(id = 0, NULL, id * 1.0D) AS Blue")
     scenes = spark.createDataFrame([(0, "EPSG:1", (2.0, 0.0, 100.0, 0.0, -2.0, 50.0)), (1, None, None)], "scene_id long, crs string, transform struct<a: double, b: double, c: double, d: double, e: double, f: double>")
