@@ -82,9 +82,9 @@ def read_json(spark: SparkSession, path: str, kind) -> DataFrame:
     return _complete(spark.read.json(path, schema=whole, multiLine=True).select(F.inline("entries")), kind)
 
 
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Nested scene metadata, one row per file."""
-    return spark.read.json(path, schema=METADATA, multiLine=True)
+def read_metadata(spark: SparkSession, path: str, any_depth: bool = False) -> DataFrame:
+    """Nested scene metadata, one row per file; with ``any_depth`` from folders below ``path`` too, whose names give no columns."""
+    return spark.read.json(path, schema=METADATA, multiLine=True, recursiveFileLookup=any_depth)
 
 
 def read_statistics(spark: SparkSession, path: str) -> DataFrame:
