@@ -70,6 +70,19 @@ def test_composites(spark):
         composite.composite(obs, "mode")
 
 
+def test_series_are_sorted_as_columns_not_in_a_table_for_each_pixel(spark):
+    value = "CASE WHEN id % 11 = 0 THEN NULL WHEN id % 37 = 5 THEN double('NaN') ELSE pmod(hash(id), 100) / 7 END"
+    obs = spark.range(4000).selectExpr("IF(id % 17 = 0, NULL, id % 13) AS aoi_id", "cast(sqrt(id) AS int) AS row", "concat('c', id % 2) AS col", f"{value} AS Red", "IF(id % 3 = 0, NULL, cast(id % 5 AS int)) AS NIR", "cast(NULL AS float) AS Blue")
+    bands = ("Red", "NIR", "Blue")
+    for method, share, options in (("median", 0.5, {}), ("percentile", 0.25, {"p": 25}), ("percentile", 1.0, {"p": 100})):
+        found = composite.composite(obs, method, bands=bands, **options)
+        assert "percentile(" not in found._jdf.queryExecution().toString() and "median(" not in found._jdf.queryExecution().toString()
+        want = obs.groupBy(*composite.PIXEL).agg(*[F.percentile(b, share).alias(b) for b in bands])
+        assert found.dtypes == want.dtypes
+        assert found.exceptAll(want).count() == want.exceptAll(found).count() == 0 < want.count()
+    assert composite.median(obs.where("row < 0"), bands).count() == 0
+
+
 def test_metrics_of_a_perfect_matrix(spark):
     pairs = spark.createDataFrame([(k % 4, k % 4) for k in range(40)] + [(255, 1), (0, 9)], "truth int, pred int")
     got = metrics.overall(metrics.confusion(pairs, 4)).first().asDict()
